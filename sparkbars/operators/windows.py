@@ -164,12 +164,12 @@ def with_diff(df: DataFrame, x: str = "adj") -> DataFrame:
     return df.withColumn("diff", F.col(x) - lagged(x))
 
 
-def rsi_cutler(n: int = 14, diff: str = "diff") -> Column:
-    """RSI from simple means of gains and losses; no movement at all is 50, no loss is 100."""
+def rsi_cutler(n: int = 14, diff: str = "diff", still: float = 50.0) -> Column:
+    """RSI from simple means of gains and losses; no movement at all is ``still``, no loss is 100."""
     gains = F.sum(F.greatest(F.col(diff), F.lit(0.0))).over(trail(n)) / n
     losses = F.sum(F.greatest(-F.col(diff), F.lit(0.0))).over(trail(n)) / n
     value = (
-        F.when((gains == 0) & (losses == 0), F.lit(50.0))
+        F.when((gains == 0) & (losses == 0), F.lit(still))
         .when(losses == 0, F.lit(100.0))
         .otherwise(100 - 100 / (1 + gains / losses))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("indicators",)
+FAMILIES = ("indicators", "screens")
 
 
 def catalogue():

@@ -44,7 +44,7 @@ class Tables:
     def shares(by: str) -> Column:
         if by == "supplier":
             return (F.lit(1_000_000) + 1000 * F.substring("sym", 2, 20).cast("long")).cast("long")
-        return F.lit(1_000_000).cast("long")
+        return F.lit(1 << 20).cast("long")
 
     def brand_bars(self) -> DataFrame:
         return self.bars("brand")
@@ -82,7 +82,7 @@ ref_bars AS (SELECT *, {shares} AS shares,
   LAG(close) OVER (PARTITION BY sym ORDER BY d) * CASE WHEN day(d) = 1 THEN 0.5 ELSE 1.0 END AS prev FROM raw_bars),
 bars AS (SELECT *, close - prev AS change, ROW_NUMBER() OVER (PARTITION BY sym ORDER BY d) AS rn FROM ref_bars)"""
 B1 = TRADES_SQL + ",\n" + BARS_SQL.format(shares="CAST(1000000 + 1000 * CAST(substr(sym, 2) AS BIGINT) AS BIGINT)")
-B3 = TRADES_BRAND_SQL + ",\n" + BARS_SQL.format(shares="CAST(1000000 AS BIGINT)")
+B3 = TRADES_BRAND_SQL + ",\n" + BARS_SQL.format(shares="CAST(1048576 AS BIGINT)")
 CALENDAR = """cal AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS s FROM (SELECT DISTINCT d FROM bars))"""
 B2 = B1 + ",\n" + CALENDAR + """,
 grid AS (SELECT f.sym, c.d, c.s FROM (SELECT sym, MIN(d) AS d0 FROM bars GROUP BY sym) f JOIN cal c ON c.d >= f.d0),

@@ -253,7 +253,7 @@ def _(t):
 
 
 @query("support_resistance_levels", "W32", "sym d:date resistance_20:4 support_20:4 resistance_55:4 support_55:4 "
-       "high_52w:4 low_52w:4 from_high_52w:6 from_low_52w:6",
+       "high_52w:4 low_52w:4 from_high_52w:6 from_low_52w:2",
        ADJ + f""", q AS (SELECT sym, d, MAX(adj_high) {over(-19)} AS resistance_20, MIN(adj_low) {over(-19)} AS support_20,
          MAX(adj_high) {over(-54)} AS resistance_55, MIN(adj_low) {over(-54)} AS support_55,
          MAX(adj_high) {over(-251)} AS high_52w, MIN(adj_low) {over(-251)} AS low_52w,
