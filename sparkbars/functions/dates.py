@@ -112,9 +112,9 @@ def period_key(x: Column | str, kind: str) -> Column:
     raise ValueError(f"unknown period: {kind}")
 
 
-# Days back of the named trailing windows.
+# Lengths in days of the named trailing windows, both ends included.
 TRAILING_DAYS = {
-    "1w": 7, "1m": 30, "3m": 90, "6m": 180, "1y": 365, "2y": 730, "3y": 1095, "5y": 1825,
+    "day": 1, "week": 7, "month": 30, "quarter": 90, "half": 180, "year": 365, "2y": 730, "3y": 1095, "5y": 1825,
 }
 ALL_DATA_START = "2020-01-02"
 
@@ -123,4 +123,4 @@ def period_start(newest: Column | str, kind: str, all_start: str = ALL_DATA_STAR
     """First day of a named trailing window that ends on ``newest``."""
     if kind == "all":
         return F.lit(all_start).cast("date")
-    return F.date_sub(col(newest), TRAILING_DAYS[kind])
+    return F.date_sub(col(newest), TRAILING_DAYS[kind] - 1)

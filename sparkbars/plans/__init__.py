@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("indicators", "screens")
+FAMILIES = ("indicators", "screens", "reports")
 
 
 def catalogue():
