@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "reports")
+FAMILIES = ("indicators", "screens", "reports", "learning")
 
 
 def catalogue():
