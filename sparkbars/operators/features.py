@@ -6,7 +6,7 @@ grouped map at the end, which keeps the partitioning. A feature of date d never
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,35 +63,96 @@ def ma_structure(df: DataFrame) -> DataFrame:
 
 
 def features(bars: DataFrame) -> DataFrame:
-    """sym, d, close and the feature columns; the first four rows of a symbol carry none."""
-    df = bars.select("sym", "d", F.col("open").cast("double").alias("open"), *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close")],
-                     *[num(c).alias(c) for c in ("volume", "value", "freq", "fbuy", "fsell")])
-    df = w.with_rn(df)
-    df = w.with_diff(w.with_pct_change(df), "close")
-    c = F.col("close")
+    """sym, d, close and the feature columns; the first four rows of a symbol carry none.
+
+    The windows are laid out in three levels, by what they read: previous rows of the input, then
+    frames over those, then frames over frames. Each level is one pass over the sorted rows; the
+    operators of ``windows`` say what each column means."""
+    c, nul = F.col("close"), F.lit(None).cast("double")
+    df = bars.select("sym", "d", F.col("open").cast("double").alias("open"), *[F.col(x).cast("double").alias(x) for x in ("high", "low", "close")],
+                     *[num(x).alias(x) for x in ("volume", "value", "freq", "fbuy", "fsell")])
+    df = df.withColumn("tp", (F.col("high") + F.col("low") + c) / 3)
+
+    # Level 1: lags.
     base = {n: w.lagged("close", n) for n in RETURN_LAGS}
+    df = df.withColumns({"rn": F.row_number().over(w.by_date()), **{f"_c{n}": base[n] for n in RETURN_LAGS}, "_tp1": w.lagged("tp")})
+    c1 = F.col("_c1")
+    df = df.withColumns({
+        "pc": F.try_divide(c, c1) - 1, "diff": c - c1, "_sign": F.signum(c - c1),
+        **{f"return_{n}d": F.try_divide(c, F.col(f"_c{n}")) - 1 for n in RETURN_LAGS},
+        **{f"log_return_{n}d": F.when(F.col(f"_c{n}") > 0, F.log(F.try_divide(c, F.col(f"_c{n}")))) for n in RETURN_LAGS},
+        "_net20": F.abs(c - F.col("_c20")),
+    })
+    has_open = F.coalesce(F.col("open") > 0, F.lit(False))
+    o, h, low = F.when(has_open, F.col("open")).otherwise(c), F.col("high"), F.col("low")
+    rng, some = h - low, h - low > 0
     df = df.withColumns({
-        **{f"return_{n}d": c / base[n] - 1 for n in RETURN_LAGS},
-        **{f"log_return_{n}d": F.when(base[n] > 0, F.log(c / base[n])) for n in RETURN_LAGS},
-        "roc10": w.roc(10), "williams_r": w.williams_r(),
-        **{f"hvol{n}": w.hvol(n) for n in VOL_WINDOWS}, **{f"downside_vol{n}": w.downside_vol(n) for n in VOL_WINDOWS},
+        "roc10": F.col("return_10d"),
+        "gap_open": F.when(has_open & (c1 > 0), F.col("open") / c1 - 1), "open_to_close": F.when(has_open & (c1 > 0), c / F.col("open") - 1),
+        "daily_range": F.when(some & (c > 0), rng / c), "body_pct": F.when(some, F.abs(c - o) / rng),
+        "upper_wick_pct": F.when(some, (h - F.greatest(c, o)) / rng), "lower_wick_pct": F.when(some, (F.least(c, o) - low) / rng),
+        "close_location": F.when(some, (c - low) / rng).otherwise(0.5), "bullish_candle": F.when(c >= o, 1.0).otherwise(0.0),
+        "_move": F.coalesce(F.col("_sign") * F.col("volume"), F.lit(0.0)), "_down": F.when(F.col("pc") < 0, F.col("pc")).otherwise(0.0),
+        "_am": F.abs("pc") / (F.col("value") + 1), "_idle": F.when(F.col("volume") == 0, 1.0).otherwise(0.0),
+        "_up_flow": F.when(F.col("tp") > F.col("_tp1"), F.col("tp") * F.col("volume")).otherwise(0.0),
+        "_dn_flow": F.when(F.col("tp") < F.col("_tp1"), F.col("tp") * F.col("volume")).otherwise(0.0),
+    }).drop("_tp1", *[f"_c{n}" for n in RETURN_LAGS])
+
+    # Level 2: frames over inputs and level 1.
+    t = w.trail
+    df = df.withColumns({
+        **{f"hvol{n}": w.hvol(n) for n in VOL_WINDOWS},
+        **{f"downside_vol{n}": w.full(F.stddev_samp("_down").over(t(n)) * w.YEAR, n + 1) for n in VOL_WINDOWS},
         **w.relative_activity(VOL_WINDOWS), **w.foreign_ratio(FLOW_WINDOWS), "vol_price_corr_5d": w.vol_price_corr(5),
+        "_hi14": F.max("high").over(t(14)), "_lo14": F.min("low").over(t(14)), "_path": F.sum(F.abs("diff")).over(t(20)),
+        "_hi20": F.max("close").over(t(20)), "_lo20": F.min("close").over(t(20)),
+        **{f"sma{n}": w.sma("close", n) for n in (5, 10, 20)}, "_sum10": F.sum("close").over(t(10)), "_sd20": w.full(F.stddev_samp("close").over(t(20)), 20),
+        "_obv": F.sum("_move").over(w.so_far()), "_mfi_up": F.sum("_up_flow").over(t(14)), "_mfi_dn": F.sum("_dn_flow").over(t(14)),
+        "amihud_20d": w.full(F.avg("_am").over(t(20)), 20), "zero_vol_pct_20d": w.full(F.avg("_idle").over(t(20)), 20),
+        "_turn": F.when(F.col("_sign") == w.lagged("_sign"), nul).otherwise(F.col("rn")),
     })
-    df = w.streak(df)
-    df = w.range_pos(df, RANGE_WINDOWS)
-    df = w.candle(df)
-    df = w.with_means(df, {f"sma{n}": ("close", n) for n in SMA_WINDOWS})
-    df = w.efficiency(df).withColumnRenamed("efficiency20", "efficiency_ratio_20d")
-    df = w.stoch(df, flat="epsilon")
-    df = w.bollinger(df, ddof=1)
-    df = w.hvol_percentile(df).withColumnRenamed("hvol_pctile", "hvol_percentile_60d")
-    df = w.obv(df)
-    df = w.mfi(df)
-    df = df.withColumns({"_am": F.abs("pc") / (F.col("value") + 1), "_idle": F.when(F.col("volume") == 0, 1.0).otherwise(0.0)})
+    hi, lo, s20 = F.col("_hi14"), F.col("_lo14"), F.col("sma20")
+    upper, lower = s20 + 2 * F.col("_sd20"), s20 - 2 * F.col("_sd20")
+    df = df.withColumns({
+        "stoch_k": w.full(100 * (c - lo) / (hi - lo + 1e-10), 14), "williams_r": w.full(-100 * (hi - c) / (hi - lo + 1e-10), 14),
+        "efficiency_ratio_20d": w.full(F.when(F.col("_path") > 0, F.col("_net20") / F.col("_path")).otherwise(0.0), 21),
+        "bb_width": F.when(s20 != 0, (upper - lower) / s20), "bb_position": (c - lower) / (upper - lower + 1e-10),
+        "mfi14": w.full(100 - 100 / (1 + F.col("_mfi_up") / (F.col("_mfi_dn") + 1e-10)), 14),
+    }).drop("_hi14", "_lo14", "_path", "_net20", "_sd20", "_mfi_up", "_mfi_dn", "_move", "_down", "_am", "_idle", "_up_flow", "_dn_flow", "diff", "tp")
+
+    # Level 3: frames over level 2; wide sums and extremes from lagged short ones.
+    back = lambda x, k: F.lag(x, k).over(w.by_date())
+    wide: dict[str, Column] = {}
+    for n in (50, 100, 200):
+        total = F.col("_sum10")
+        for k in range(10, n, 10):
+            total = total + back("_sum10", k)
+        wide[f"sma{n}"] = w.full(total / n, n)
+    for n in RANGE_WINDOWS[1:]:
+        steps = [*range(w.SHORT, n - w.SHORT, w.SHORT), n - w.SHORT]
+        wide[f"_hi{n}"] = F.greatest("_hi20", *[back("_hi20", k) for k in steps])
+        wide[f"_lo{n}"] = F.least("_lo20", *[back("_lo20", k) for k in steps])
     slope = w.lagged("sma20", 5)
     df = df.withColumns({
-        "amihud_20d": w.full(F.avg("_am").over(w.trail(20)), 20), "zero_vol_pct_20d": w.full(F.avg("_idle").over(w.trail(20)), 20),
-        "sma20_slope": F.when(slope > 0, F.col("sma20") / slope - 1),
+        **wide, "_k_n": F.count("stoch_k").over(t(3)), "_k_mean": F.avg("stoch_k").over(t(3)), "_bb_least": F.min("bb_width").over(t(20)),
+        "_seen": F.collect_list("hvol20").over(t(60)), "_obv20": F.avg("_obv").over(t(20)), "_start": F.max("_turn").over(w.so_far()),
+        "sma20_slope": F.when(slope > 0, s20 / slope - 1),
+    })
+    run, now, mean = F.col("rn") - F.col("_start") + 1, F.col("hvol20"), F.col("_obv20")
+    squeeze = F.when((F.col("rn") >= 39) & (F.col("bb_width") <= F.col("_bb_least") * 1.1), 1.0).otherwise(0.0)
+    zero = F.lit(0.0)
+    ranges: dict[str, Column] = {}
+    for n in RANGE_WINDOWS:
+        top, bottom = F.col(f"_hi{n}"), F.col(f"_lo{n}")
+        ranges[f"close_vs_high_{n}d"] = w.full(F.when(top > 0, (c - top) / top).otherwise(zero), n + 1)
+        ranges[f"close_vs_low_{n}d"] = w.full(F.when(bottom > 0, (c - bottom) / bottom).otherwise(zero), n + 1)
+        ranges[f"range_pct_{n}d"] = w.full(F.when(bottom > 0, (top - bottom) / bottom).otherwise(zero), n + 1)
+    df = df.withColumns({
+        **ranges, "stoch_d": F.when(F.col("_k_n") == 3, F.col("_k_mean")), "bb_squeeze": w.full(squeeze, 25),
+        "hvol_percentile_60d": F.when((F.col("rn") >= 60) & (F.size("_seen") >= 10) & now.isNotNull(),
+                                      F.size(F.filter("_seen", lambda v: v <= now)) / F.size("_seen")),
+        "obv_vs_ma20": F.when(F.col("rn") >= 21, (F.col("_obv") - mean) / (F.abs(mean) + 1e-10)),
+        "up_streak": F.when(F.col("_sign") > 0, run).otherwise(0), "dn_streak": F.when(F.col("_sign") < 0, run).otherwise(0),
         **{f"close_vs_sma{n}": F.when(F.col(f"sma{n}") > 0, c / F.col(f"sma{n}") - 1) for n in SMA_WINDOWS},
         "volume_today": F.col("volume"), "value_today": F.col("value"), "freq_today": F.col("freq"),
     })
@@ -103,13 +164,12 @@ def features(bars: DataFrame) -> DataFrame:
     df = ma_structure(df).withColumns({
         **{f"close_vs_ema{n}": F.when(F.col(f"ema{n}") > 0, c / F.col(f"ema{n}") - 1) for n in EMA_WINDOWS},
         **{f"atr{n}_pct": F.when(c > 0, F.col(f"atr{n}") / c) for n in ATR_WINDOWS},
-        **{f"macd_{p}": F.when(long_enough, F.col(f"_macd_{p}") / c) for p in ("line", "signal", "hist")},
+        **{f"macd_{p}": F.when(long_enough & (c != 0), F.col(f"_macd_{p}") / c) for p in ("line", "signal", "hist")},
         "macd_bullish": F.when(long_enough, F.when(F.col("_macd_hist") > 0, 1.0).otherwise(0.0)),
     })
     traded = (F.col("rn") >= 2) & (F.coalesce("volume_today", F.lit(0.0)) > 0)
-    df = df.withColumns({n: F.when(traded, F.col(n)) for n in VOLUME_BLOCK})
-    names = feature_names()
-    return df.filter(F.col("rn") >= MIN_ROWS).select("sym", "d", "close", "rn", *[F.col(n).cast("double").alias(n) for n in names])
+    out = [(F.when(traded, F.col(n)) if n in VOLUME_BLOCK else F.col(n)).cast("double").alias(n) for n in feature_names()]
+    return df.filter(F.col("rn") >= MIN_ROWS).select("sym", "d", "close", "rn", *out)
 
 
 # Columns that identify a row or hold an outcome; never inputs of a model.

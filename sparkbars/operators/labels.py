@@ -26,7 +26,7 @@ def labels(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit: float
         """Column x on session s + k: among the next k own bars, the one with that index."""
         hit = None
         for i in range(1, k + 1):
-            candidate = F.when(F.lead("s", i).over(w.W) == F.col("s") + k, F.lead(x, i).over(w.W))
+            candidate = F.when(F.lead("s", i).over(w.by_date()) == F.col("s") + k, F.lead(x, i).over(w.by_date()))
             hit = candidate if hit is None else F.coalesce(hit, candidate)
         return hit
 
@@ -68,9 +68,9 @@ def labels_fast(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit:
     """Training label on the symbol's own bars: entry at the close, exit h bars later, target and stop
     by the extremes of the bars after the entry. ``legacy_window`` looks h - 1 bars further instead."""
     lo, hi = (h - 1, 2 * h - 2) if legacy_window else (1, h)
-    frame = w.W.rowsBetween(lo, hi)
+    frame = w.by_date().rowsBetween(lo, hi)
     df = bars.withColumns({
-        "exit_price": F.lead("close", h).over(w.W), "_hi": F.max("high").over(frame), "_lo": F.min("low").over(frame)})
+        "exit_price": F.lead("close", h).over(w.by_date()), "_hi": F.max("high").over(frame), "_lo": F.min("low").over(frame)})
     entry = F.when(F.col("close") != 0, F.col("close"))
     df = df.filter(F.col("exit_price").isNotNull()).withColumn("trade_return", (F.col("exit_price") - F.col("close")) / entry)
     tp = F.coalesce((F.col("_hi") - F.col("close")) / entry >= take_profit, F.lit(False))

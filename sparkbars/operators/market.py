@@ -11,7 +11,10 @@ from . import scale
 from . import windows as w
 
 # Windows over dates alone hold at most one row per session.
-DAYS = Window.orderBy("d")
+
+def days():
+    return Window.orderBy("d")
+
 
 
 def day_aggregates() -> list[Column]:
@@ -39,14 +42,14 @@ def market_day(bars: DataFrame) -> DataFrame:
     return bars.filter(F.col("close") > 0).groupBy("d").agg(*day_aggregates())
 
 
-def breadth(bars: DataFrame, days: int | None = None) -> DataFrame:
+def breadth(bars: DataFrame, sessions: int | None = None) -> DataFrame:
     """Market days with breadth percent and the advance/decline line, which starts at 0."""
-    if days:
-        bars = bars.filter(F.col("d") >= sessions_cutoff(bars, days))
+    if sessions:
+        bars = bars.filter(F.col("d") >= sessions_cutoff(bars, sessions))
     day = market_day(bars)
-    step = F.when(F.row_number().over(DAYS) == 1, 0).otherwise(F.col("advancers") - F.col("decliners"))
+    step = F.when(F.row_number().over(days()) == 1, 0).otherwise(F.col("advancers") - F.col("decliners"))
     day = day.withColumn("_step", step)
-    line = F.sum("_step").over(DAYS.rowsBetween(Window.unboundedPreceding, 0))
+    line = F.sum("_step").over(days().rowsBetween(Window.unboundedPreceding, 0))
     moved = F.greatest(F.col("advancers") + F.col("decliners"), F.lit(1))
     return day.withColumns({"ad_line": line, "breadth_pct": F.col("advancers") / moved * 100}).drop("_step")
 
@@ -172,9 +175,9 @@ def quality_by_year(bars: DataFrame) -> DataFrame:
         F.count_if(F.col("close").isNull() | (F.col("close") <= 0)).alias("bad_close"))
 
 
-def active_symbols(bars: DataFrame, days: int = 60) -> DataFrame:
+def active_symbols(bars: DataFrame, within: int = 60) -> DataFrame:
     """Symbols that traded in the last calendar days."""
-    return bars.filter((F.col("d") > F.date_sub(latest_date(bars), days)) & (num("volume") > 0)).agg(
+    return bars.filter((F.col("d") > F.date_sub(latest_date(bars), within)) & (num("volume") > 0)).agg(
         F.count_distinct("sym").alias("active_symbols"))
 
 
@@ -192,7 +195,7 @@ def coverage(df: DataFrame, date: str, fields: tuple[str, ...], key: str = "sym"
 def xs_ranks(bars: DataFrame) -> DataFrame:
     """Percentile ranks per date (mean rank of ties over the non-null count) of the 1-, 5- and
     20-session returns and of traded value. The four measures are ranked in one pass."""
-    df = bars.withColumns({f"_r{n}": F.col("close") / w.lagged("close", n) - 1 for n in (1, 5, 20)})
+    df = bars.withColumns({f"_r{n}": F.try_divide(F.col("close"), w.lagged("close", n)) - 1 for n in (1, 5, 20)})
     long = df.select("d", "sym", F.explode(F.array(
         *[F.struct(F.lit(f"return_rank_{n}d").alias("measure"), F.col(f"_r{n}").alias("x")) for n in (1, 5, 20)],
         F.struct(F.lit("value_rank").alias("measure"), num("value").alias("x")))).alias("m")
@@ -207,7 +210,7 @@ def market_features(bars: DataFrame) -> DataFrame:
     """Market-level features per date from bars that traded: equal-weight returns, breadth, share
     above averages, new highs and lows, dispersion, index volatility, total value, regime."""
     df = w.with_rn(bars.filter((F.col("close") > 0) & (num("volume") > 0)))
-    df = df.withColumns({"pc": F.col("close") / w.lagged("close") - 1, "_r5": F.col("close") / w.lagged("close", 5) - 1})
+    df = df.withColumns({"pc": F.try_divide(F.col("close"), w.lagged("close")) - 1, "_r5": F.try_divide(F.col("close"), w.lagged("close", 5)) - 1})
     df = w.with_means(df, {"sma20": ("close", 20), "sma50": ("close", 50)})
     df = df.withColumns({
         "_hi": w.full(F.max("close").over(w.trail(20)), 20), "_lo": w.full(F.min("close").over(w.trail(20)), 20)})
@@ -224,8 +227,8 @@ def market_features(bars: DataFrame) -> DataFrame:
         F.sum(num("value").cast("decimal(28,2)")).cast("double").alias("market_total_value"),
     )
     median = scale.group_quantiles(df, ["d"], "pc", {"market_median_return": 0.5})
-    day = day.join(median, "d", "left").withColumn("k", F.row_number().over(DAYS))
-    last = lambda n: DAYS.rowsBetween(-(n - 1), 0)
+    day = day.join(median, "d", "left").withColumn("k", F.row_number().over(days()))
+    last = lambda n: days().rowsBetween(-(n - 1), 0)
     day = day.withColumns({
         **{f"market_return_{n}d": F.when(F.col("k") > n, F.avg("ew").over(last(n))) for n in (1, 5, 20, 60)},
         "market_hvol20": F.when(F.count("ew").over(last(20)) == 20, F.stddev_samp("ew").over(last(20)) * w.YEAR),
@@ -254,7 +257,7 @@ def sector_features(bars: DataFrame, master: DataFrame) -> DataFrame:
     """Per (symbol, date): mean 5-session return of its listing board, the share of the board below
     it, and the number of symbols listed on the board."""
     df = bars.filter((F.col("close") > 0) & (num("volume") > 0))
-    df = df.withColumn("ret5", F.col("close") / w.lagged("close", 5) - 1).select("sym", "d", "ret5")
+    df = df.withColumn("ret5", F.try_divide(F.col("close"), w.lagged("close", 5)) - 1).select("sym", "d", "ret5")
     boards = master.select("sym", "board")
     df = df.join(boards, "sym", "left").withColumn("board", F.coalesce("board", F.lit("Unknown")))
     size = boards.groupBy("board").agg(F.count_distinct("sym").alias("board_size"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import sessions_cutoff
-from ..functions.numbers import num
+from ..functions.numbers import num, ratio
 from ..functions.prices import depth_imbalance, spread_pct
 from . import windows as w
 
@@ -14,21 +14,66 @@ SNAPSHOT_SESSIONS = 261
 
 
 def technicals(bars: DataFrame) -> DataFrame:
-    """All snapshot metrics for every (symbol, date): a chain of windows over one exchange and sort."""
-    df = w.back_adjust(bars.filter(num("close") > 0))
-    df = w.with_diff(df)
-    df = w.returns(df)
-    df = w.with_sma(df)
-    df = df.withColumns({"rsi14": w.rsi_cutler(14), "max_drawdown60": w.max_drawdown(60)})
-    df = w.atr_pct(df)
-    df = w.vol_log(df)
-    df = w.activity_ratios(df)
-    df = w.foreign_flow(df)
-    df = w.breakout(df)
-    df = w.illiquidity(df)
-    gap = F.abs(F.col("ref") / F.col("c1") - 1) >= 0.05
-    is_event = F.when((F.col("ref") > 0) & (F.col("c1") > 0) & gap, 1).otherwise(0)
-    df = df.withColumn("gap_events", F.sum(is_event).over(w.SO_FAR))
+    """All snapshot metrics for every (symbol, date).
+
+    Four levels over one exchange and sort: previous rows, frames over raw columns, frames over
+    adjusted prices, frames over moves of adjusted prices."""
+    df = w.reference_gap(bars.filter(num("close") > 0))
+    close, ref = F.col("close"), F.col("ref")
+    high = F.when(num("high") != 0, num("high")).otherwise(close)
+    low = F.when(num("low") != 0, num("low")).otherwise(close)
+    prev, bn = num("prev"), num("value") / 1e9
+    gap_event = (ref > 0) & (F.col("c1") > 0) & (F.abs(ref / F.col("c1") - 1) >= 0.05)
+    df = df.withColumns({
+        "_high": high, "_low": low, "net_1d": num("fbuy") - num("fsell"), "_active": F.when(num("fbuy") + num("fsell") > 0, 1).otherwise(0),
+        "_tr": F.when(ref > 0, F.greatest(high - low, F.abs(high - ref), F.abs(low - ref)) / ref * 100),
+        "_turn": F.when(num("shares") > 0, num("volume") / num("shares")), "_idle": F.when(num("volume") > 0, 0.0).otherwise(1.0),
+        "_impact": F.when((prev > 0) & (bn > 0), F.abs(close / prev - 1) * 100 / bn), "_gap_event": F.when(gap_event, 1).otherwise(0),
+    })
+    t, b20 = w.trail, w.before(20)
+    n1 = F.col("net_1d")
+    flow: dict[str, Column] = {}
+    for n in (5, 20):
+        active = F.sum("_active").over(t(n))
+        positive, negative = F.sum(F.when(n1 > 0, 1).otherwise(0)).over(t(n)), F.sum(F.when(n1 < 0, 1).otherwise(0)).over(t(n))
+        volume = F.sum(num("volume")).over(t(n))
+        flow.update({
+            f"net_{n}d": w.full(F.sum(n1).over(t(n)), n), f"net_value_{n}d": w.full(F.sum(n1 * close).over(t(n)), n),
+            f"consistency_{n}": w.full(F.when(active > 0, positive / active * 100), n),
+            f"pos_days_{n}": w.full(positive, n), f"neg_days_{n}": w.full(negative, n), f"flat_days_{n}": w.full(F.lit(n) - positive - negative, n),
+            f"net_volume_pct_{n}": w.full(F.when(volume != 0, F.sum(n1).over(t(n)) / volume * 100), n)})
+    df = df.withColumns({
+        "cum_gap": F.product("gap").over(w.so_far()), "all_gap": F.product("gap").over(w.all_rows()), "gap_events": F.sum("_gap_event").over(w.so_far()),
+        "atr14_pct": F.when(F.count("_tr").over(t(14)) == 14, F.avg("_tr").over(t(14))),
+        **{f"avg_{c}_20": w.full(F.avg(num(c)).over(b20), 21) for c in ("volume", "value", "freq")},
+        "_avg_turn": F.when(F.count("_turn").over(b20) == 20, F.avg("_turn").over(b20)),
+        "price_impact_20": w.full(F.avg("_impact").over(t(20)), 20), "active_pct_20": w.full((1 - F.avg("_idle").over(t(20))) * 100, 20), **flow,
+    })
+    scale = F.col("all_gap") / F.col("cum_gap")
+    df = df.withColumns({
+        "adj": close * scale, "adj_high": F.col("_high") * scale, "adj_low": F.col("_low") * scale,
+        **{f"{c}_ratio": ratio(num(c), f"avg_{c}_20") for c in ("volume", "value", "freq")},
+        "turnover_ratio": ratio(F.coalesce("_turn", F.lit(0.0)), "_avg_turn"), "turnover_pct": F.col("_turn") * 100,
+    })
+    df = df.withColumn("confirmation_ratio", F.coalesce("turnover_ratio", "volume_ratio"))
+    df = df.drop("_high", "_low", "_active", "_tr", "_turn", "_idle", "_impact", "_gap_event", "_avg_turn", "cum_gap", "all_gap", "gap", "c1")
+    adj, base = F.col("adj"), {n: w.lagged("adj", n) for n in (1, 5, 20, 60)}
+    hi, lo = F.max("adj_high").over(b20), F.min("adj_low").over(b20)
+    enough = F.col("rn") > 20
+    df = df.withColumns({
+        "diff": adj - base[1], "log_ret": F.when((adj > 0) & (base[1] > 0), F.log(adj / base[1])), "max_drawdown60": w.max_drawdown(60),
+        **{f"ret_{n}": F.when(base[n] > 0, (adj / base[n] - 1) * 100) for n in base},
+        "high_20": hi, "low_20": lo, "breakout_20": F.coalesce(enough & (adj > hi), F.lit(False)), "new_low_20": F.coalesce(enough & (adj < lo), F.lit(False)),
+        "sma20": w.sma("adj", 20), "_sum10": F.sum("adj").over(t(10)),
+    })
+    total50 = total200 = F.col("_sum10")
+    for k in range(10, 200, 10):
+        total200 = total200 + F.lag("_sum10", k).over(w.by_date())
+        total50 = total50 + F.lag("_sum10", k).over(w.by_date()) if k < 50 else total50
+    vol = F.when(F.count("log_ret").over(t(20)) >= 2, F.stddev_pop("log_ret").over(t(20)) * (w.YEAR * 100))
+    df = df.withColumns({"sma50": w.full(total50 / 50, 50), "sma200": w.full(total200 / 200, 200), "rsi14": w.rsi_cutler(14), "volatility20": w.full(vol, 21)})
+    df = df.withColumns({f"dist_sma{n}": F.when(F.col(f"sma{n}") != 0, (adj / F.col(f"sma{n}") - 1) * 100) for n in (20, 50, 200)})
+    df = df.drop("diff", "log_ret", "_sum10")
     if {"bid", "offer"} <= set(df.columns):
         df = df.withColumn("spread_pct", spread_pct("bid", "offer"))
     if {"bid_vol", "offer_vol"} <= set(df.columns):
@@ -43,7 +88,7 @@ def snapshot(bars: DataFrame, sessions: int = SNAPSHOT_SESSIONS, per: str = "mar
     if per == "market":
         bars = bars.filter(F.col("d") >= sessions_cutoff(bars, sessions))
     df = technicals(bars)
-    newest = F.max("d").over(w.ALL_ROWS)
+    newest = F.max("d").over(w.all_rows())
     df = df.withColumn("_newest", newest).filter(F.col("d") == F.col("_newest")).drop("_newest")
     # The market's newest date is read off the bars, not off the computed snapshot.
     return df.filter(F.col("d") == bars.agg(F.max("d")).scalar()) if per == "market" else df
@@ -183,7 +228,7 @@ def stock_history(bars: DataFrame, n: int | None = None) -> DataFrame:
     df = w.levels(df)
     if n is None:
         return df
-    total = F.count(F.lit(1)).over(w.ALL_ROWS)
+    total = F.count(F.lit(1)).over(w.all_rows())
     return df.withColumn("_n", total).filter(F.col("rn") > F.col("_n") - n).drop("_n")
 
 
@@ -213,7 +258,7 @@ def watchlist(bars: DataFrame, codes: DataFrame) -> DataFrame:
         "sparkline": w.sparkline(30),
     })
     df = w.with_extremes(df, {"high_52w": ("max", "close", 252), "low_52w": ("min", "close", 252)})
-    newest = F.max("d").over(w.ALL_ROWS)
+    newest = F.max("d").over(w.all_rows())
     df = df.withColumn("_newest", newest).filter(F.col("d") == F.col("_newest"))
     c, atr, s20, s50 = F.col("close"), F.col("atr"), F.col("sma20"), F.col("sma50")
     trend = (

@@ -26,7 +26,7 @@ ELIGIBLE = ("ELIGIBLE", "CORPORATE_ACTION_WARNING")
 
 def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: DataFrame | None = None,
                     min_history: int = MIN_HISTORY, min_value: float = MIN_VALUE, min_freq: float = MIN_FREQ,
-                    min_price: float = MIN_PRICE, stat: str = "mean") -> DataFrame:
+                    min_price: float = MIN_PRICE, extreme_days: int = EXTREME_DAYS, stat: str = "mean") -> DataFrame:
     """Status of every symbol on every date it has a bar, from rows up to that date only. One window
     chain replaces the loop over dates; look-backs in calendar days are range frames over day numbers.
     ``actions`` has (sym, d, confidence); ``stat`` chooses mean or median of the last 20 bars."""
@@ -49,8 +49,8 @@ def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: D
         "close_20": middle("_priced").over(last20),
         "value_20": middle(num("value")).over(last20),
         "freq_20": middle(num("freq")).over(last20),
-        "zero_vol_ratio": F.avg("_idle").over(w.SO_FAR),
-        "last_active": F.max(F.when((num("volume") > 0) & (F.col("close") > 0), F.col("d"))).over(w.SO_FAR),
+        "zero_vol_ratio": F.avg("_idle").over(w.so_far()),
+        "last_active": F.max(F.when((num("volume") > 0) & (F.col("close") > 0), F.col("d"))).over(w.so_far()),
         "_warn": F.sum(F.when(F.col("_move") > WARNING_MOVE, 1).otherwise(0)).over(recent),
         "_extreme": F.sum(F.when(F.col("_move") >= EXTREME_MOVE, 1).otherwise(0)).over(recent),
         "_verified": F.sum(F.coalesce("_ca", F.lit(0))).over(recent),
@@ -64,19 +64,19 @@ def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: D
         "days_since_active": F.coalesce(F.datediff("d", "last_active"), F.lit(9999)),
         "on_watch_board": watch,
     })
-    return classify(df, min_history, min_value, min_freq, min_price).select(*COLUMNS)
+    return classify(df, min_history, min_value, min_freq, min_price, extreme_days).select(*COLUMNS)
 
 
 COLUMNS = ("sym", "d", "status", "history_days", "close_20", "value_20", "freq_20", "zero_vol_ratio", "last_active",
            "days_since_active", "has_action_warning", "has_verified_action", "pump_flag", "on_watch_board")
 
 
-def classify(df: DataFrame, min_history: int, min_value: float, min_freq: float, min_price: float) -> DataFrame:
+def classify(df: DataFrame, min_history: int, min_value: float, min_freq: float, min_price: float, extreme_days: int) -> DataFrame:
     """Flags and status, first match wins."""
     df = df.withColumns({
         "has_verified_action": F.coalesce(F.col("_verified"), F.lit(0)) > 0,
         "has_action_warning": (F.coalesce("_warn", F.lit(0)) > 0) | (F.coalesce("_verified", F.lit(0)) > 0),
-        "pump_flag": F.col("on_watch_board") | (F.coalesce("_extreme", F.lit(0)) >= EXTREME_DAYS),
+        "pump_flag": F.col("on_watch_board") | (F.coalesce("_extreme", F.lit(0)) >= extreme_days),
     })
     c20 = F.coalesce("close_20", F.lit(0.0))
     status = (
@@ -94,7 +94,7 @@ def classify(df: DataFrame, min_history: int, min_value: float, min_freq: float,
 
 def universe(bars: DataFrame, asof: Column, master: DataFrame | None = None, actions: DataFrame | None = None,
              min_history: int = MIN_HISTORY, min_value: float = MIN_VALUE, min_freq: float = MIN_FREQ,
-             min_price: float = MIN_PRICE) -> DataFrame:
+             min_price: float = MIN_PRICE, extreme_days: int = EXTREME_DAYS) -> DataFrame:
     """Every symbol's state as of one date, also for symbols without a bar on it: idle days and
     look-backs count to that date. One aggregation, and the last 20 bars by a per-task top 20."""
     past = bars.filter((F.col("d") <= asof) & F.col("close").isNotNull())
@@ -119,7 +119,7 @@ def universe(bars: DataFrame, asof: Column, master: DataFrame | None = None, act
     else:
         df = df.withColumn("on_watch_board", F.lit(False))
     df = df.withColumns({"d": asof, "days_since_active": F.coalesce(F.datediff(asof, F.col("last_active")), F.lit(9999))})
-    return classify(df, min_history, min_value, min_freq, min_price).select(*COLUMNS)
+    return classify(df, min_history, min_value, min_freq, min_price, extreme_days).select(*COLUMNS)
 
 
 def eligible(states: DataFrame) -> DataFrame:

@@ -17,20 +17,30 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import col, num, ratio
 
-W = Window.partitionBy("sym").orderBy("d")
-ALL_ROWS = W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
 YEAR = 252 ** 0.5
 
 
+def by_date():
+    """A symbol's rows in date order. A function, as a window needs a live session."""
+    return Window.partitionBy("sym").orderBy("d")
+
+
+def all_rows():
+    return by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far():
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def trail(n: int):
     """The last n rows, this one included."""
-    return W.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
 def before(n: int):
     """The n rows before this one."""
-    return W.rowsBetween(-n, -1)
+    return by_date().rowsBetween(-n, -1)
 
 
 def full(x: Column, n: int) -> Column:
@@ -38,11 +48,11 @@ def full(x: Column, n: int) -> Column:
 
 
 def with_rn(df: DataFrame) -> DataFrame:
-    return df if "rn" in df.columns else df.withColumn("rn", F.row_number().over(W))
+    return df if "rn" in df.columns else df.withColumn("rn", F.row_number().over(by_date()))
 
 
 def lagged(x: Column | str, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(W)
+    return F.lag(col(x), n).over(by_date())
 
 
 # ---- wide windows in two levels -------------------------------------------------------------
@@ -68,7 +78,7 @@ def with_extremes(df: DataFrame, wanted: dict[str, tuple[str, str, int]]) -> Dat
             continue
         base = F.col(f"_{kind}_{x}")
         offsets = list(range(SHORT, n - SHORT, SHORT)) + [n - SHORT]
-        out[name] = merge[kind](base, *[F.lag(base, k).over(W) for k in offsets])
+        out[name] = merge[kind](base, *[F.lag(base, k).over(by_date()) for k in offsets])
     df = df.withColumns(out)
     return df.drop(*[f"_{kind}_{x}" for kind, x in bases])
 
@@ -87,7 +97,7 @@ def with_means(df: DataFrame, wanted: dict[str, tuple[str, int]], step: int = 10
         base = F.col(f"_sum_{x}")
         total = base
         for k in range(step, n, step):
-            total = total + F.lag(base, k).over(W)
+            total = total + F.lag(base, k).over(by_date())
         out[name] = full(total / n, n)
     return df.withColumns(out).drop(*[f"_sum_{x}" for x in bases])
 
@@ -108,8 +118,8 @@ def back_adjust(bars: DataFrame) -> DataFrame:
     (linear per symbol), divided into its last value."""
     df = bars if "gap" in bars.columns else reference_gap(bars)
     df = df.withColumns({
-        "cum_gap": F.product("gap").over(SO_FAR),
-        "all_gap": F.product("gap").over(ALL_ROWS),
+        "cum_gap": F.product("gap").over(so_far()),
+        "all_gap": F.product("gap").over(all_rows()),
     })
     scale = F.col("all_gap") / F.col("cum_gap")
     close = num("close")
@@ -204,7 +214,7 @@ def vol_log(df: DataFrame, n: int = 20, x: str = "adj") -> DataFrame:
 
 
 def with_pct_change(df: DataFrame, x: str = "close") -> DataFrame:
-    return df.withColumn("pc", F.col(x) / lagged(x) - 1)
+    return df.withColumn("pc", F.try_divide(F.col(x), lagged(x)) - 1)
 
 
 def hvol(n: int) -> Column:
@@ -248,7 +258,7 @@ def max_drawdown(n: int = 60, x: str = "adj") -> Column:
 
 def drawdown_ath(x: str = "close") -> Column:
     """Percent below the highest value so far."""
-    return (F.col(x) / F.max(x).over(SO_FAR) - 1) * 100
+    return (F.try_divide(F.col(x), F.max(x).over(so_far())) - 1) * 100
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, ddof: int = 0, x: str = "close") -> DataFrame:
@@ -298,7 +308,7 @@ def obv(df: DataFrame, x: str = "close", volume: str = "volume") -> DataFrame:
     """On-balance volume (starts at 0), its 20-row mean and the relative distance to it."""
     move = F.signum(F.col(x) - lagged(x)) * F.col(volume)
     df = with_rn(df).withColumn("_move", F.coalesce(move, F.lit(0.0)))
-    df = df.withColumn("obv", F.sum("_move").over(SO_FAR)).drop("_move")
+    df = df.withColumn("obv", F.sum("_move").over(so_far())).drop("_move")
     # The mean starts with the second row, where the first move exists.
     mean = F.when(F.col("rn") >= 21, F.avg("obv").over(trail(20)))
     df = df.withColumn("obv_ma20", mean)
@@ -316,7 +326,7 @@ def mfi(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def roc(n: int = 10, x: str = "close") -> Column:
-    return F.col(x) / lagged(x, n) - 1
+    return F.try_divide(F.col(x), lagged(x, n)) - 1
 
 
 def efficiency(df: DataFrame, n: int = 20, x: str = "close") -> DataFrame:
@@ -333,7 +343,7 @@ def streak(df: DataFrame, x: str = "close") -> DataFrame:
     df = with_rn(df).withColumn("_sign", F.signum(F.col(x) - lagged(x)))
     turn = F.when(F.col("_sign") == lagged("_sign"), 0).otherwise(1)
     df = df.withColumn("_turn", turn)
-    df = df.withColumn("_start", F.max(F.when(F.col("_turn") == 1, F.col("rn"))).over(SO_FAR))
+    df = df.withColumn("_start", F.max(F.when(F.col("_turn") == 1, F.col("rn"))).over(so_far()))
     length = F.col("rn") - F.col("_start") + 1
     return df.withColumns({
         "up_streak": F.when(F.col("_sign") > 0, length).otherwise(0).cast("long"),
@@ -468,7 +478,7 @@ def foreign_ratio(ns: Sequence[int] = (1, 5, 10, 20)) -> dict[str, Column]:
     """Foreign shares over traded value (shares per unit of money); zero until there has been any
     foreign buying."""
     out: dict[str, Column] = {}
-    ever = F.sum(num("fbuy")).over(SO_FAR) > 0
+    ever = F.sum(num("fbuy")).over(so_far()) > 0
     for n in ns:
         frame = trail(n)
         base = F.sum(num("value")).over(frame) + 1
@@ -523,7 +533,10 @@ def flow_20d(n: int = 20) -> dict[str, Column]:
 
 
 def vol_price_corr(n: int = 5, x: str = "close") -> Column:
-    return full(F.corr(F.col("volume").cast("double"), F.col(x)).over(trail(n)), n)
+    """NULL where either side does not move (there the built-in correlation divides by zero)."""
+    v, frame = F.col("volume").cast("double"), trail(n)
+    spread = F.stddev_pop(v).over(frame) * F.stddev_pop(x).over(frame)
+    return full(F.try_divide(F.covar_pop(v, F.col(x)).over(frame), spread), n)
 
 
 def corporate_actions(bars: DataFrame) -> DataFrame:
@@ -549,7 +562,7 @@ def corporate_actions(bars: DataFrame) -> DataFrame:
 
 def local_bottoms(n: int = 20, x: str = "close") -> Column:
     """The only minimum of the 2n+1 rows centred here (full window needed)."""
-    frame = W.rowsBetween(-n, n)
+    frame = by_date().rowsBetween(-n, n)
     low = F.min(x).over(frame)
     ties = F.array_size(F.filter(F.collect_list(x).over(frame), lambda v: v == low))
     return (F.count(F.lit(1)).over(frame) == 2 * n + 1) & (F.col(x) == low) & (ties == 1)
@@ -562,7 +575,7 @@ def sparkline(n: int = 30, x: str = "close") -> Column:
 def downsample(df: DataFrame, n: int) -> DataFrame:
     """At most n evenly spaced rows per symbol, first and last included. A row stays when one of
     the n target positions rounds to it; no target list is joined."""
-    df = with_rn(df).withColumn("_cnt", F.count(F.lit(1)).over(ALL_ROWS))
+    df = with_rn(df).withColumn("_cnt", F.count(F.lit(1)).over(all_rows()))
     step = (F.col("_cnt") - 1) / F.lit(n - 1)
     i = F.col("rn") - 1
     nearest = F.ceil((i - 0.5) / step)  # least k with round(k * step) >= i, halves rounding up

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import rnd
 from ..sources.trades import bars_from_trades, densify, with_reference
 
 
@@ -134,7 +133,7 @@ def present(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "arr":
             c = F.array_join(c.cast("array<string>"), "|")
         elif kind:
-            c = rnd(c + NUDGE * 10 ** -int(kind), int(kind))
+            c = F.round(c + NUDGE * 10 ** -int(kind), int(kind))
         out.append(c.alias(name))
     return df.select(*out)
 

@@ -80,7 +80,7 @@ def _rules_sql() -> str:
     sl3 AS (SELECT *, CASE WHEN tg2 < 200 THEN 1 WHEN tg2 < 500 THEN 2 WHEN tg2 < 2000 THEN 5 WHEN tg2 < 5000 THEN 25 ELSE 50 END AS k1, CASE WHEN st < 200 THEN 1 WHEN st < 500 THEN 2 WHEN st < 2000 THEN 5 WHEN st < 5000 THEN 25 ELSE 50 END AS k2 FROM sl2),
     sl4 AS (SELECT *, CAST(round_even(tg2 / k1, 0) * k1 AS DOUBLE) AS tp, CAST(round_even(st / k2, 0) * k2 AS DOUBLE) AS sl FROM sl3),
     plan AS (SELECT *, ROUND((tp - close) / (close - sl), 2) AS rr_ratio, CASE WHEN score >= 78 THEN 'STRONG BUY' WHEN score >= 63 THEN 'BUY' WHEN score >= 50 THEN 'SPECULATIVE BUY' ELSE 'WATCH' END AS signal
-      FROM sl4 WHERE tp > close AND sl < close QUALIFY rr_ratio >= 1.2)"""
+      FROM sl4 WHERE tp > close AND sl < close AND ROUND((tp - close) / (close - sl), 2) >= 1.2)"""
 
 
 PLAN_SQL = _rules_sql()
@@ -168,9 +168,10 @@ def _(t: Tables):
        B3 + """, mvs AS (SELECT *, CASE WHEN prev > 0 THEN ABS((close - prev) / prev) END AS mv FROM bars),
        st AS (SELECT sym, d, rn, SUM(CASE WHEN mv >= 0.20 THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY d RANGE BETWEEN INTERVAL 120 DAYS PRECEDING AND CURRENT ROW) AS ext,
          AVG(value) OVER (PARTITION BY sym ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM mvs),
-       q AS (SELECT d, COUNT(*) AS symbols FROM st WHERE rn >= 20 AND ext < 4 AND v >= 0 GROUP BY d)""")
+       q AS (SELECT d, COUNT(*) AS symbols FROM st WHERE rn >= 20 AND ext < 40 AND v >= 0 GROUP BY d)""")
 def _(t: Tables):
-    states = un.universe_series(t.brand_bars(), min_history=20, min_value=0, min_freq=0, min_price=0)
+    # Suppliers' prices jump on most days, so the flag for repeated jumps would drop every row here.
+    states = un.universe_series(t.brand_bars(), min_history=20, min_value=0, min_freq=0, min_price=0, extreme_days=40)
     return un.eligible(states).groupBy("d").agg(F.count(F.lit(1)).alias("symbols"))
 
 
