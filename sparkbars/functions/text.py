@@ -121,12 +121,13 @@ EXPLANATION_RULES = (
     (r"^Foreign net buying 5-day \(([-\d.]+)% of turnover\)$", "Foreign investors bought net $1% of turnover in five days."),
     (r"^Strong trend efficiency \(([-\d.]+)\)$", "The move is smooth: efficiency $1 out of 1."),
     (r"^Closed near daily high \(strength\)$", "The close was near the day's high: buyers held on to the end."),
-    (r"^Low liquidity \(avg value ([-\d.]+)B\)$", "Little is traded (about $1 billion a day): selling may be hard."),
-    (r"^High volatility \(([-\d.]+)% annualized\)$", "Prices swing widely ($1% a year)."),
+    (r"^Low liquidity \(avg value ([-\d.]+)M IDR\)$", "Little is traded (about $1 million a day): selling may be hard."),
+    (r"^High volatility \(annualized: ([-\d.]+)%\)$", "Prices swing widely ($1% a year)."),
     (r"^RSI14 overbought \(([-\d.]+)\)$", "RSI is $1: the price rose a lot recently and may pull back."),
-    (r"^Adverse market regime \((\w+)\)$", "The market as a whole is against it (regime $1)."),
-    (r"^Downtrend over 20 days \(([-\d.]+)%\)$", "The price fell over the last month ($1%)."),
-    (r"^Near 120-day low \(([-\d.]+)% above\)$", "The price is only $1% above its half-year low."),
-    (r"^Inactive sessions \(([-\d.]+)% of 20 days\)$", "On $1% of recent days nothing was traded."),
-    (r"^Corporate action within 120 days$", "A corporate action may distort recent prices."),
+    (r"^Bearish market regime \((\w+)\)$", "The market as a whole is against it (regime $1)."),
+    (r"^High volatility market regime$", "The whole market swings widely at present."),
+    (r"^Stock in 20-day downtrend \(([-\d.]+)%\)$", "The price fell over the last month ($1%)."),
+    (r"^Price near 120-day low$", "The price is near its half-year low."),
+    (r"^Recent inactive trading days$", "On some recent days nothing was traded."),
+    (r"^Corporate action warning \(extreme past returns\)$", "An unusually large past move hints at a corporate action."),
 )
