@@ -305,19 +305,23 @@ def index_direction(panel: DataFrame, horizons: Sequence[int] = (5, 60), min_tra
     def per_index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", ignore_index=True)
         h, x, y, ok = int(pdf["h"].iloc[0]), pdf[cols].to_numpy(float), pdf["up"].to_numpy(float), pdf["ok"].to_numpy(bool)
-        p = np.full(len(pdf), np.nan)
-        for t in range(min_train, len(pdf), every):
+        n = len(pdf)
+        p = np.full(n, np.nan)
+        t = min_train
+        while t < n:
             known = ok[: t - h] & ~np.isnan(y[: t - h])
             target = y[: t - h][known]
-            if known.sum() < 30 or target.min() == target.max():
+            if not ok[t] or known.sum() < 30 or target.min() == target.max():
+                t += 1  # without a model every row is a new attempt
                 continue
             train = x[: t - h][known]
             mean, dev = train.mean(axis=0), train.std(axis=0)
             dev[dev == 0] = 1.0
             beta = _fit_logistic((train - mean) / dev, target)
-            stop = min(t + every, len(pdf))
+            stop = min(min_train + ((t - min_train) // every + 1) * every, n)
             z = ((x[t:stop] - mean) / dev) @ beta[1:] + beta[0]
             p[t:stop] = np.where(ok[t:stop], 1 / (1 + np.exp(-z)), np.nan)
+            t = stop
         out = pdf[["sym", "h", "d"]].assign(p_up=p, up=y)
         return out[~np.isnan(p)]
 
