@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import market_calendar
@@ -23,16 +23,12 @@ def labels(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit: float
     df = df.filter(F.col("close").isNotNull())
 
     def at(k: int, x: str) -> Column:
-        """Column x on session s + k: among the next k own bars, the one with that index."""
-        hit = None
-        for i in range(1, k + 1):
-            candidate = F.when(F.lead("s", i).over(w.by_date()) == F.col("s") + k, F.lead(x, i).over(w.by_date()))
-            hit = candidate if hit is None else F.coalesce(hit, candidate)
-        return hit
+        """Column x on session s + k: a range frame of width one holds that bar or nothing."""
+        return F.max(x).over(Window.partitionBy("sym").orderBy("s").rangeBetween(k, k))
 
     ks = sorted({*FORWARD, h})
-    df = df.withColumns({f"_c{k}": at(k, "close") for k in ks})
-    df = df.withColumns({"_o1": at(1, "open"), **{f"_h{k}": at(k, "high") for k in range(1, h + 1)}, **{f"_l{k}": at(k, "low") for k in range(1, h + 1)}})
+    df = df.withColumns({**{f"_c{k}": at(k, "close") for k in ks}, "_o1": at(1, "open"),
+                         **{f"_h{k}": at(k, "high") for k in range(1, h + 1)}, **{f"_l{k}": at(k, "low") for k in range(1, h + 1)}})
     positive = lambda x: F.when(x > 0, x)
     close = F.col("close")
     entry = F.coalesce(positive(F.col("_o1")), close)

@@ -118,12 +118,10 @@ def _(t: Tables):
     return df.select("sym", "d", "score", hits.alias("preset"))
 
 
-@query("screener_search_sort", "K5 X9", "pos sym d:date trend score:2",
-       T1 + ", " + LAST + """, q AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC NULLS LAST, sym) AS pos FROM last WHERE trend = 'Uptrend' AND sym LIKE '%1%')""")
+@query("screener_search_sort", "K5 X9", "sym d:date trend score:2",
+       T1 + ", " + LAST + """, q AS (SELECT * FROM last WHERE trend = 'Uptrend' AND sym LIKE '%1%')""")
 def _(t: Tables):
-    hits = s.screen(s.snapshot(t.bars(), per="sym"), search="1", trend="Uptrend")
-    # At most one row per listed symbol reaches this numbering.
-    return scale.top_n(hits, [F.desc_nulls_last("score"), F.asc("sym")], 1000, rank="pos")
+    return s.screen(s.snapshot(t.bars(), per="sym"), search="1", trend="Uptrend")
 
 
 @query("symbol_history", "K6", "sym d:date adj:4 sma20:4 sma50:4 rsi14:6 official_return:6 is_adjusted:int resistance_20:4 support_55:4 high_52w:4",
@@ -135,7 +133,7 @@ def _(t: Tables):
 
 
 @query("watchlist_signals", "K11 W14", "pos sym d:date close:4 change_pct:6 rsi14:6 atr:4 trend signal take_profit:4 stop_loss:4 high_52w:4 low_52w:4 vol_ratio:6",
-       B1 + f""", codes AS (SELECT ROW_NUMBER() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos, 'S' || CAST(s_suppkey AS VARCHAR) AS sym FROM supplier
+       B1 + f""", codes AS (SELECT s_suppkey + 1 AS pos, 'S' || CAST(s_suppkey AS VARCHAR) AS sym FROM supplier
          UNION ALL SELECT 0 AS pos, 'NONE' AS sym),
        df AS (SELECT *, close - LAG(close) {W} AS diff FROM bars),
        x AS (SELECT *, {_sma_sql(20, 'close')} AS s20, {_sma_sql(50, 'close')} AS s50, CASE WHEN rn >= 15 THEN AVG(ABS(diff)) {over(-13)} END AS atr,
@@ -156,10 +154,9 @@ def _(t: Tables):
 
 
 def _codes(t: Tables):
-    """A request list: all suppliers by account balance, and one unknown symbol."""
-    ranked = t.table("supplier").select(F.col("s_acctbal").alias("b"), "s_suppkey")
-    listed = scale.top_n(ranked, [F.desc("b"), F.asc("s_suppkey")], 10_000_000, rank="pos").select(
-        F.col("pos").cast("long").alias("pos"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sym"))
+    """A request list: every supplier, and one unknown symbol."""
+    k = F.col("s_suppkey")
+    listed = t.table("supplier").select((k + 1).alias("pos"), F.concat(F.lit("S"), k.cast("string")).alias("sym"))
     return listed.unionByName(t.spark.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit("NONE").alias("sym")))
 
 
