@@ -58,7 +58,7 @@ def breadth_score(tech: DataFrame) -> DataFrame:
     """Per date, from technicals: 40% advancers of active, 35% above SMA20, 25% above SMA50, with
     its label, the exact median return of active symbols, and new highs and lows."""
     active = num("volume") > 0
-    # The reference compares advancers of all listed symbols with the active ones.
+    # Advancers among all listed symbols over active ones, so the share may exceed that of active advancers.
     per = tech.groupBy("d").agg(
         F.count_if(F.col("change") > 0).alias("advancers"), F.count_if(active).alias("active"),
         F.count_if(active & F.col("sma20").isNotNull()).alias("n20"),
