@@ -551,7 +551,7 @@ def _(t: Tables):
 # ---- ticks: batch twins of the streaming operators ----------------------------------------------------------
 
 def _ticks(t: Tables):
-    return t.table("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sym"), F.col("value").alias("price"), F.lit(1).cast("long").alias("quantity"), F.col("event_id").alias("tick_id"))
+    return t.table("events").select("ts", F.col("event_type").alias("sym"), F.col("value").alias("price"), F.lit(1).cast("long").alias("quantity"), F.col("event_id").alias("tick_id"))
 
 
 @query("tick_day_bars", "T1", "sym day:date open:4 high:4 low:4 close:4 volume:int freq value:3",
