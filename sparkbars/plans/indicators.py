@@ -289,7 +289,7 @@ def _(t):
     return w.with_rn(t.bars()).withColumns(w.foreign_ratio())
 
 
-@query("illiquidity", "W35", "sym d:date price_impact_20:4 amihud_20:12 amihud_bn_20:4 zero_vol_20:6 active_pct_20:6",
+@query("illiquidity", "W35", "sym d:date price_impact_20:2 amihud_20:12 amihud_bn_20:2 zero_vol_20:6 active_pct_20:6",
        B1 + f""", i AS (SELECT *, CASE WHEN prev > 0 AND value > 0 THEN ABS(close / prev - 1) * 100 / (value / 1e9) END AS imp,
          ABS(close / LAG(close) {W} - 1) / (value + 1) AS am, ABS(close / LAG(close) {W} - 1) / value * 1e9 AS ambn,
          CASE WHEN volume > 0 THEN 0 ELSE 1 END AS idle FROM bars),
