@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, urls
+from . import bpe, chat, language, packing, urls
 
 RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict_held_out(_table(spark, folder, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"))
 
@@ -34,7 +38,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op3_byte_bpe, op6_chat_formatting, op10_packing)}
+    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_byte_bpe, op6_chat_formatting, op10_packing)}
 
 URL_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
