@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, neardup, packing, urls
+from . import bpe, chat, fingerprints, language, neardup, packing, urls
 
 RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -28,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_table(spark, folder, "documents"))
+
+
 def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, folder, "documents"), neardup.Plan(words=4))
 
@@ -42,7 +46,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_byte_bpe, op5_minhash, op6_chat_formatting, op10_packing)}
+    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_byte_bpe, op4_fingerprints, op5_minhash, op6_chat_formatting, op10_packing)}
 
 URL_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
