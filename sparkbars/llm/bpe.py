@@ -55,7 +55,7 @@ class Splitter:
         self.disputed = re.compile(f"[\\U{FIRST_DISPUTED:08x}-\\U0010ffff]")
 
     def pieces(self, text: str, at_once: int = 1 << 16) -> Iterator[list[str]]:
-        exact = self.disputed.search(text) is not None
+        exact = not text.isascii() and self.disputed.search(text) is not None
         cut = _class_pattern(self.pattern) if exact else self.usual
         if len(text) <= 8 * at_once:
             yield cut.findall(text)

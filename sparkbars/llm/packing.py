@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -23,37 +25,59 @@ FIRST_OTHER = 0x558
 
 
 class Encoder:
-    """Ids of a tokenizer file. Pieces are encoded once and remembered; texts with characters on which
-    Unicode versions differ, and vocabularies that don't split by ``pattern``, go to the library whole."""
+    """Ids of a tokenizer file. Stretches between single spaces and the pieces in them are encoded once and
+    remembered. Texts with characters on which Unicode versions differ, and vocabularies that don't split by
+    ``pattern``, go to the library whole."""
 
-    def __init__(self, path: str, pattern: str | None, most: int = 400_000):
+    def __init__(self, path: str, pattern: str | None, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.pattern = regex.compile(pattern) if pattern else None
         self.other = re.compile(f"[\\U{FIRST_OTHER:08x}-\\U0010ffff]")
-        self.known: dict[str, bytes] = {}
-        self.most = most
-
-    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        """Ids of each text. A text's pieces are held only while it is its turn."""
-        for text in texts:
-            if self.pattern is None or self.other.search(text):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-                continue
-            pieces = self.pattern.findall(text)
-            if len(self.known) > self.most:
-                self.known.clear()
-            fresh = list(set(pieces).difference(self.known))
-            for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, np.int32).tobytes()
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
+        # A space before a character that is none always opens a piece; before more white space, or at the end, it need not.
+        self.runs = re.compile(r" (?:\s|\Z)")
+        self.pieces, self.spans = _Known(self._piece, most), _Known(self._span, most // 2)
+
+    def _piece(self, piece: str) -> bytes:
+        return array(self.kind.char, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _span(self, span: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(span)))
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.pattern is None or not text.isascii() and self.other.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        if text[:1] == " " or self.runs.search(text):
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), self.kind)
+        first, *rest = text.split(" ")
+        return np.frombuffer(self.spans[first] + b"".join(map(self.spans.__getitem__, map(" ".__add__, rest))), self.kind)
+
+
+class _Known(dict):
+    """Answers of a function. When there are ``most``, they become the old generation, of which only those
+    asked for again are kept."""
+
+    def __init__(self, answer, most: int):
+        self.answer, self.most, self.old = answer, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.answer(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 @lru_cache(2)
 def encoder(path: str, pattern: str | None) -> Encoder:
-    gc.set_threshold(200_000, 50, 100)  # the table of pieces is free of cycles
+    gc.set_threshold(200_000, 50, 100)  # the tables of pieces are free of cycles
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     return Encoder(path, pattern)
 
 
@@ -70,7 +94,7 @@ def project(ids: np.ndarray) -> np.ndarray:
     """
     if not len(ids):
         return np.zeros(DIMS, np.uint64)
-    slots, counts = np.unique(ids & 0xFFFF, return_counts=True)
+    slots, counts = np.unique(ids & np.array(0xFFFF, ids.dtype), return_counts=True)
     x = counts @ _directions(1 << 16)[slots] / np.sqrt(np.square(counts, dtype=np.float64).sum())
     uniform = 1 / (1 + np.exp(-1.702 * x.astype(np.float64)))
     return np.minimum(uniform * (1 << BITS), (1 << BITS) - 1).astype(np.uint64)
@@ -116,11 +140,11 @@ def _tokenise(path: str, pattern: str | None, end_id: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                ids = list(coder.encode([t.as_py() or "" for t in part.column(1)]))
+                ids = [coder.encode(t.as_py() or "") for t in part.column(1)]
                 keys = hilbert(np.array([project(i) for i in ids])) if ids else np.empty(0, np.uint64)
                 tie = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64((1 << 32) - 1)
                 place = ((keys << np.uint64(32)) | tie).astype(np.int64)
-                packed = [np.append(i, np.int32(end_id)).astype("<u4").tobytes() for i in ids]
+                packed = [np.append(i, np.array(end_id, i.dtype)).tobytes() for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(place, pa.int64()), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(packed, pa.binary())],
                     schema=PLACED)
@@ -140,7 +164,8 @@ def _cut(offsets: dict[int, int], size: int, with_ids: bool):
                 if b.as_py() != bucket:
                     bucket = b.as_py()
                     at = offsets[bucket]
-                doc_id, n, data, start = doc_id.as_py(), n.as_py(), memoryview(ids.as_buffer()), 0
+                doc_id, n, ids, start = doc_id.as_py(), n.as_py(), ids.as_buffer(), 0
+                data = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")).cast("B")
                 while start < n:
                     length = min(n - start, size - at % size)
                     piece = data[4 * start:4 * (start + length)]
