@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +33,8 @@ class Plan:
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    pairs_up_to: int = 16  # members of a bucket within which pairs are compared directly
+    pairs_up_to: int = 64  # members of a bucket within which pairs are listed; larger ones are compared in blocks
+    slice_rows: int = 256  # a block holds two slices
 
 
 @lru_cache(2)
@@ -113,21 +115,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Memberships of the buckets that still hold more than one component, with the bucket's size."""
+    """Memberships of the buckets that still hold more than one component, with the bucket's size and smallest member."""
     placed = members.join(classes, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_up = placed.groupBy("key").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("key", "size")
-    return placed.join(mixed_up, "key")
+        F.min("component").alias("a"), F.max("component").alias("b"), F.min("doc_id").alias("first"), F.count("*").alias("size")).where("a <> b")
+    return placed.join(mixed_up.select("key", "first", "size"), "key")
+
+
+def _block(plan: Plan):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each document with the smallest one it hangs together with inside the block."""
+        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        ids, sets = pdf["doc_id"].to_numpy(), [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+        sizes = np.array([len(g) for g in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for start in range(0, int((times > 1).sum()), 4096):
+            here = slice(*np.searchsorted(column, [start, start + 4096]))
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[owner[here], column[here] - start] = 1
+            both += has @ has.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= plan.percent * (sizes[:, None] + sizes - both)
+        low = np.arange(len(sets))
+        for i in range(len(sets)):
+            if low[i] == i:
+                reach, edge = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+                reach[i] = edge[i] = True
+                while edge.any():
+                    edge = linked[edge].any(axis=0) & ~reach
+                    reach |= edge
+                low[reach] = i
+        return pd.DataFrame({"u": ids, "v": ids[low]})[low != np.arange(len(sets))]
+    return run
 
 
 def links(sketches: DataFrame, documents: DataFrame, plan: Plan) -> DataFrame:
-    """Components over verified links of ``sketches(doc_id, bands)``, one row per distinct shingle set.
+    """``(doc_id, component)`` over verified links of ``sketches(doc_id, bands)``, one row per distinct shingle set.
 
     Every bucket is first compared with its smallest member only: a bucket of near copies is settled by as many
-    comparisons as it has members. Where more than one component is left in a bucket, a bucket of up to
-    ``pairs_up_to`` members compares its members of different components, and a larger one is split by a
-    second band and starts over, with another centre each time. So no group is enumerated as pairs, and
-    nothing is left uncompared.
+    comparisons as it has members. Then only buckets with more than one component are left to look at. Up to
+    ``pairs_up_to`` members, those of different components are compared one by one. Larger buckets, which hold
+    families of texts somewhat below the bound, are put together by the documents they share, cut into
+    slices, and compared slice against slice inside tasks, which return no more than one link per document.
+    So no large group is listed as pairs, and nothing is left uncompared.
     """
     banded = sketches.select("doc_id", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -139,32 +175,22 @@ def links(sketches: DataFrame, documents: DataFrame, plan: Plan) -> DataFrame:
     pairs = members.join(centres, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     found = stage(_verified(pairs, sets, plan), "links")
     classes = components(found).select(F.col("node").alias("doc_id"), "component")
-    level = 1
-    while True:
-        open_ = stage(_unsettled(members, classes), "unsettled")
-        if open_.isEmpty():
-            return classes
-        level += 1
-        few, many = open_.where(F.col("size") <= plan.pairs_up_to), open_.where(F.col("size") > plan.pairs_up_to)
-        other = few.select("key", F.col("doc_id").alias("v"), F.col("component").alias("other"))
-        # every key has at most pairs_up_to rows on either side
-        pairs = few.join(other, "key").where((F.col("component") < F.col("other"))).select(
-            F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v"))
-        finer = many.join(sketches.select("doc_id", "bands"), "doc_id").select(
-            "doc_id", "component", F.col("key").alias("above"), F.explode("bands").alias("band")).where("above <> band").select(
-            "doc_id", "component", F.xxhash64("above", "band").alias("key"))
-        shared = finer.groupBy("key").agg(
-            F.min("component").alias("a"), F.max("component").alias("b"),
-            F.min_by("doc_id", F.xxhash64("doc_id", F.lit(level))).alias("v")).where("a <> b").select("key", "v")
-        finer = stage(finer.join(shared, "key").select("key", "doc_id", "v", "component"), "finer")
-        at_centre = finer.where("doc_id = v").select("key", F.col("component").alias("other")).distinct()
-        stars = finer.join(at_centre, "key").where("component <> other").select(F.col("doc_id").alias("u"), "v")
-        more = stage(_verified(pairs.union(stars).distinct(), sets, plan), "links")
-        # The centre has met all of its bucket; the others go on without it.
-        members = finer.where("doc_id <> v").select("key", "doc_id")
-        if not more.isEmpty():
-            found = stage(found.union(more), "links")
-            classes = components(found).select(F.col("node").alias("doc_id"), "component")
+    open_ = stage(_unsettled(members, classes), "unsettled")
+    few, many = open_.where(F.col("size") <= plan.pairs_up_to), open_.where(F.col("size") > plan.pairs_up_to)
+    other = few.select("key", F.col("doc_id").alias("v"), F.col("component").alias("other"))
+    # every key has at most pairs_up_to rows on either side
+    pairs = few.join(other, "key").where((F.col("component") < F.col("other"))).select(
+        F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct()
+    more = found.union(_verified(pairs, sets, plan))
+    if not many.isEmpty():
+        families = components(many.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))).select(
+            F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        sizes = families.groupBy("family").agg(F.ceil(F.count("*") / plan.slice_rows).cast("int").alias("slices"))
+        sliced = families.join(sizes, "family").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+        blocks = sliced.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+            "family", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "doc_id", "grams")
+        more = more.union(blocks.groupBy("family", "i", "j").applyInPandas(_block(plan), "u bigint, v bigint"))
+    return components(stage(more, "links")).select(F.col("node").alias("doc_id"), "component")
 
 
 def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -173,9 +199,9 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     A text's shingles are the distinct runs of ``plan.words`` of its words (A-Z lower-cased, cut at ASCII white
     space), the whole sequence if it has fewer words. component_id is the smallest doc_id reachable over
     links, kept says that it is the document's own. Links are confirmed on full sets (64-bit hashes of
-    shingles, 128-bit names of sets). A null, empty or blank text has no shingle and no link. Rows that
-    share a doc_id are one document of the graph. A null doc_id takes part in nothing and is kept, with a
-    null component_id. Extra columns are ignored; an empty table gives no rows.
+    shingles, 128-bit names of sets). A null, empty or blank text has no shingle and no link. doc_id is
+    taken to name one text; repeated rows get equal answers. A null doc_id takes part in nothing and is kept,
+    with a null component_id. Extra columns are ignored; an empty table gives no rows.
 
     Equal sets collapse to their smallest doc_id by one aggregation before any banding, so copies cost one
     row each, however many there are.
@@ -186,7 +212,6 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     sets = stage(full.groupBy("set_name").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select(
         "set_name", F.col("one.doc_id").alias("doc_id"), F.col("one.bands").alias("bands")), "distinct-sets")
     classes = links(sets.select("doc_id", "bands"), documents, plan)
-    # A doc_id with several texts ties their classes together.
     names = sets.select("set_name", F.col("doc_id").alias("rep")).join(
         classes.select(F.col("doc_id").alias("rep"), "component"), "rep", "left").select(
         "set_name", F.coalesce("component", "rep").alias("component_id"))
