@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, fingerprints, language, neardup, packing, urls, warc
+from . import bpe, chat, embeddings, fingerprints, language, neardup, packing, substrings, urls, warc
 
 RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -45,6 +45,10 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp")
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.removal_digests(_table(spark, folder, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
 
@@ -55,7 +59,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_byte_bpe, op4_fingerprints, op5_minhash, op6_chat_formatting, op7_warc, op9_embeddings, op10_packing)}
+    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_byte_bpe, op4_fingerprints, op5_minhash, op6_chat_formatting, op7_warc, op8_substring_dedup, op9_embeddings, op10_packing)}
 
 URL_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
