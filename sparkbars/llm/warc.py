@@ -115,8 +115,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, most_bytes
         F.col("page_id").alias("id"), F.col("sha").alias("id_sha"), "refers_to").distinct()
     rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("sha")).join(
         revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("id_sha")), "left")
-    ordered = rows.select("page_id", "url", "html", "refers_to").repartition(n_parts(pages.sparkSession), "page_id").sortWithinPartitions(
-        "page_id", "url", "html")
+    ordered = rows.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html")
     fs, base = opened(folder)
     fs.create_dir(base, recursive=True)
     return stage(ordered.mapInArrow(_writer(folder, most_bytes), "archive string, records bigint, bytes bigint"), "archives")
