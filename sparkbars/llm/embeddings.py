@@ -190,8 +190,9 @@ def shards(vectors: DataFrame, plan: Plan) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("shard").orderBy("slot"))
         pivots = pivots.withColumn("nth", nth).where("nth <= wanted").select("shard", "nth", "embedding")
         stretches = F.ceil(F.col("size") / 256).cast("int")
-        left = wide.withColumn("salt", F.pmod(F.xxhash64("vec", F.lit(-1)), stretches).cast("int"))
-        right = pivots.join(large, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), stretches - 1)))
+        left = wide.withColumn("salt", F.pmod(F.xxhash64("vec", F.lit(-1)), stretches).cast("int")).drop("size")
+        right = stage(pivots.join(large, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), stretches - 1))).select(
+            "shard", "salt", "nth", "embedding"), "pivots")
         children = stage(left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(
             _assign(plan), "vec bigint, copies bigint, embedding array<float>, shard bigint, child int, alone boolean"), "children")
         # No pivots at all (an unlucky draw) or a single one: a dense group.
