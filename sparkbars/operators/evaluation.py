@@ -16,7 +16,7 @@ from ..functions.numbers import num
 from ..functions.text import norm_reason
 from . import scale
 from .joins import asof_join
-from .models import ROUND_TRIP, wilson
+from .models import ROUND_TRIP, rate
 
 
 def _traded(bars: DataFrame) -> DataFrame:
@@ -78,8 +78,7 @@ def _rate_aggs() -> list[Column]:
 
 
 def _rates(df: DataFrame) -> DataFrame:
-    lo, hi = wilson(F.col("hits"), F.col("n"))
-    return df.withColumns({"misses": F.col("n") - F.col("hits"), "hit_rate": F.col("hits") / F.col("n"), "hit_lo": lo, "hit_hi": hi})
+    return df.withColumns({"misses": F.col("n") - F.col("hits"), **rate(F.col("hits"), F.col("n"), "hit")}).withColumnRenamed("hit", "hit_rate")
 
 
 def resolved(preds: DataFrame) -> DataFrame:

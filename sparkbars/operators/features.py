@@ -173,7 +173,7 @@ def features(bars: DataFrame) -> DataFrame:
 
 
 # Columns that identify a row or hold an outcome; never inputs of a model.
-NOT_FEATURES = ("sym", "d", "rn", "close", "status", "sector", "market_regime", "entry_price", "exit_price", "trade_return", "label",
+NOT_FEATURES = ("sym", "d", "rn", "close", "status", "sector", "market_regime", "entry_price", "exit_price", "exit_date", "trade_return", "label",
                 "has_labels", "is_inference", "tp_sl_success", "days_to_tp", "mfe", "mae", "current_close", "fold", "s",
                 "future_return_1d", "future_return_3d", "future_return_5d", "future_return_10d")
 

@@ -68,7 +68,8 @@ MIN_PAGE, MAX_PAGE = 20, 100
 def browse(bars: DataFrame, sym: str | None = None, start: Column | None = None, end: Column | None = None,
            page: int = 1, size: int = 50) -> DataFrame:
     """One page of bars, newest first, with net foreign and the total number of rows and pages.
-    The sort keeps only offset + size rows per task."""
+    The page is clamped to those there are. The total is a scalar subquery, and every task sorts only its first
+    page * size rows."""
     size = max(MIN_PAGE, min(size, MAX_PAGE))
     rows = bars
     if sym:
@@ -77,12 +78,13 @@ def browse(bars: DataFrame, sym: str | None = None, start: Column | None = None,
         rows = rows.filter(F.col("d") >= start)
     if end is not None:
         rows = rows.filter(F.col("d") <= end)
-    total = rows.count()
-    pages = max(1, -(-total // size))
-    page = max(1, min(page, pages))
-    cut = rows.orderBy(F.desc("d"), F.asc("sym")).offset((page - 1) * size).limit(size)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    top = rows.orderBy(F.desc("d"), F.asc("sym")).limit(max(1, page) * size)
     net = F.coalesce("fbuy", F.lit(0.0)) - F.coalesce("fsell", F.lit(0.0))
-    return cut.withColumns({"net_foreign": net, "total": F.lit(total), "pages": F.lit(pages), "page": F.lit(page)})
+    top = top.withColumns({"net_foreign": net, "total": total, "_n": F.row_number().over(Window.orderBy(F.desc("d"), F.asc("sym")))})
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int")
+    top = top.withColumns({"pages": pages, "page": F.least(F.lit(max(1, page)), pages)})
+    return top.filter(F.ceil(F.col("_n") / size) == F.col("page")).drop("_n")
 
 
 def eod_panel(tech: DataFrame, liquidity: DataFrame, flow: DataFrame, master: DataFrame) -> DataFrame:

@@ -62,18 +62,19 @@ def labels(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit: float
 def labels_fast(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit: float = 0.05, stop_loss: float = -0.02,
                 legacy_window: bool = False) -> DataFrame:
     """Training label on the symbol's own bars: entry at the close, exit h bars later, target and stop
-    by the extremes of the bars after the entry. ``legacy_window`` looks h - 1 bars further instead."""
+    by the extremes of the bars after the entry. ``legacy_window`` looks h - 1 bars further instead. ``exit_date`` is
+    the last date that the label looks at: a training row must have it before the validation starts."""
     lo, hi = (h - 1, 2 * h - 2) if legacy_window else (1, h)
     frame = w.by_date().rowsBetween(lo, hi)
     df = bars.withColumns({
-        "exit_price": F.lead("close", h).over(w.by_date()), "_hi": F.max("high").over(frame), "_lo": F.min("low").over(frame)})
+        "exit_price": F.lead("close", h).over(w.by_date()), "exit_date": F.lead("d", hi).over(w.by_date()), "_hi": F.max("high").over(frame), "_lo": F.min("low").over(frame)})
     entry = F.when(F.col("close") != 0, F.col("close"))
     df = df.filter(F.col("exit_price").isNotNull()).withColumn("trade_return", (F.col("exit_price") - F.col("close")) / entry)
     tp = F.coalesce((F.col("_hi") - F.col("close")) / entry >= take_profit, F.lit(False))
     sl = F.coalesce((F.col("_lo") - F.col("close")) / entry <= stop_loss, F.lit(False))
     label = (F.when(tp & sl, (F.col("trade_return") > 0).cast("int")).when(tp, 1).when(sl, 0)
              .otherwise((F.col("trade_return") >= target).cast("int")))
-    return df.select("sym", "d", F.col("close").alias("entry_price"), "exit_price", "trade_return", label.alias("label"))
+    return df.select("sym", "d", F.col("close").alias("entry_price"), "exit_price", "exit_date", "trade_return", label.alias("label"))
 
 
 LABEL_COLUMNS = ("weekly_bullish", "label", "tp_sl_success", "trade_return", "future_return_5d")
@@ -94,13 +95,14 @@ def leakage(features: DataFrame, feature_columns: list[str], feature_date: str =
 
 def purge_is_safe(purge_days: int, h: int) -> bool:
     """The gap between training and validation must exceed the label horizon."""
-    return purge_days >= h
+    return purge_days > h
 
 
 def dataset(features: DataFrame, labelled: DataFrame, universe: DataFrame | None = None, market: DataFrame | None = None,
             ranks: DataFrame | None = None, sector: DataFrame | None = None, every: int = 1, cap: int | None = None) -> DataFrame:
     """Features with labels by (symbol, date), only eligible rows of each date, every k-th session,
-    with market, rank and sector features where given. ``cap`` bounds the rows of a sample on request."""
+    with market, rank and sector features where given. ``cap`` bounds the rows of a sample on request: those first by a
+    hash of (symbol, date), the same on every run."""
     df = features.join(labelled.drop("current_close"), ["sym", "d"])
     if universe is not None:
         df = df.join(universe.filter(F.col("status").isin("ELIGIBLE", "CORPORATE_ACTION_WARNING")).select("sym", "d"), ["sym", "d"], "left_semi")
@@ -112,4 +114,4 @@ def dataset(features: DataFrame, labelled: DataFrame, universe: DataFrame | None
     for extra in (ranks, sector):
         if extra is not None:
             df = df.join(extra, ["sym", "d"], "left")
-    return df.limit(cap) if cap else df
+    return df.orderBy(F.xxhash64("sym", "d"), "sym", "d").limit(cap) if cap else df

@@ -24,32 +24,68 @@ ROUND_TRIP = BUY_FEE + SELL_FEE + 2 * SLIPPAGE
 Z95 = 1.96
 
 
-def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
-    """95% interval of a proportion; (0, 1) without observations."""
-    p = k / n
-    denom = 1 + z ** 2 / n
-    center = (p + z ** 2 / (2 * n)) / denom
-    half = z * F.sqrt(p * (1 - p) / n + z ** 2 / (4 * n * n)) / denom
+def rate(hits: Column, n: Column, prefix: str) -> dict[str, Column]:
+    """A proportion with its 95% score interval as columns ``<prefix>``, ``<prefix>_lo``, ``<prefix>_hi``.
+
+    The bounds are the two proportions q with (hits / n - q)^2 = z^2 q (1 - q) / n, the roots of
+    (n + z^2) q^2 - (2 hits + z^2) q + hits^2 / n = 0. Without observations: 0 within (0, 1)."""
+    z2 = Z95 ** 2
     some = n > 0
-    return (F.when(some, F.greatest(F.lit(0.0), center - half)).otherwise(F.lit(0.0)),
-            F.when(some, F.least(F.lit(1.0), center + half)).otherwise(F.lit(1.0)))
+    a, b = n + z2, 2 * hits + z2
+    root = F.sqrt(F.greatest(b * b - 4 * a * hits * hits / F.nullif(n.cast("double"), F.lit(0.0)), F.lit(0.0)))
+    return {
+        prefix: F.when(some, hits / n).otherwise(F.lit(0.0)),
+        f"{prefix}_lo": F.when(some, F.greatest((b - root) / (2 * a), F.lit(0.0))).otherwise(F.lit(0.0)),
+        f"{prefix}_hi": F.when(some, F.least((b + root) / (2 * a), F.lit(1.0))).otherwise(F.lit(1.0)),
+    }
 
 
 # ---- folds and pipelines -----------------------------------------------------------------------
 
-def folds(spark: SparkSession, start: str, end: str, train_months: int = 24, val_months: int = 3, purge_days: int = 5,
+def folds(spark: SparkSession, start: str | Column, end: str | Column, train_months: int = 24, val_months: int = 3, purge_days: int = 5,
           slide_months: int = 3) -> DataFrame:
-    """Walk-forward boundaries: train [start, start + months], a purge, then validation; the
-    validation end is cut to the period's end."""
-    df = spark.sql("SELECT explode(sequence(0, 1200)) AS fold").withColumn(
-        "train_start", F.add_months(F.lit(start).cast("date"), F.col("fold") * slide_months))
+    """Walk-forward boundaries: train [start, start + months], a purge, then validation; the validation end is cut to
+    the period's end. There are as many folds as the period has room for."""
+    first, limit = F.lit(start).cast("date"), F.lit(end).cast("date")
+    last = F.greatest(F.lit(0), F.ceil(F.months_between(limit, first) / slide_months))
+    df = spark.range(1).select(first.alias("_start"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("fold"))
+    df = df.withColumn("train_start", F.add_months("_start", F.col("fold") * slide_months)).drop("_start")
     df = df.withColumn("train_end", F.add_months("train_start", train_months))
     df = df.withColumn("val_start", F.date_add("train_end", purge_days))
-    limit = F.lit(end).cast("date")
     df = df.filter(F.col("val_start") <= limit)
     return df.withColumn("val_end", F.least(F.add_months("val_start", val_months), limit))
 
 
+def in_folds(rows: DataFrame, fold_table: DataFrame, embargo_days: int = 0) -> DataFrame:
+    """Every row of ``(d, exit_date, ...)`` once per fold it takes part in, with its ``part``: train, purged or val.
+
+    A training row whose label looks into the validation period, or up to ``embargo_days`` before it, is purged: the
+    exit date decides, not a fixed number of days. Rows meet folds by an equi-join: a row names the few folds
+    whose span can hold its date, from the table's own regular grid."""
+    grid = fold_table.agg(F.min("train_start").alias("a"), F.max("train_start").alias("b"), F.max("fold").alias("n"),
+                          F.max(F.datediff("val_end", "train_start")).alias("span"))
+    first, last, n, span = (grid.select(c).scalar() for c in ("a", "b", "n", "span"))
+    stride = F.greatest(F.datediff(last, first) / F.greatest(n, F.lit(1)), F.lit(1.0))
+    since = F.datediff("d", first)
+    low = F.greatest(F.lit(0), F.floor((since - span) / stride) - 1).cast("int")
+    high = F.least(n, F.ceil(since / stride) + 1).cast("int")
+    near = rows.filter(since >= 0).filter(low <= high).withColumn("fold", F.explode(F.sequence(low, high))).join(fold_table, "fold")
+    train = F.col("d").between(F.col("train_start"), F.col("train_end"))
+    late = F.coalesce(F.col("exit_date") >= F.date_sub("val_start", embargo_days), F.lit(False))
+    part = F.when(train & late, "purged").when(train, "train").when(F.col("d").between(F.col("val_start"), F.col("val_end")), "val")
+    return near.withColumn("part", part).filter("part is not null")
+
+
+def fold_rows(rows: DataFrame, fold_table: DataFrame, embargo_days: int = 0) -> DataFrame:
+    """Per fold: rows trained on, purged and validated on, and the last date a training label looks at. Rows are counted
+    per (date, exit date) before they meet the folds."""
+    counted = rows.groupBy("d", "exit_date").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda part: F.coalesce(F.sum(F.when(F.col("part") == part, F.col("n"))), F.lit(0))
+    return in_folds(counted, fold_table, embargo_days).groupBy("fold", "train_start", "train_end", "val_start", "val_end").agg(
+        of("train").alias("n_train"), of("purged").alias("n_purged"), of("val").alias("n_val"),
+        F.max(F.when(F.col("part") == "train", F.col("exit_date"))).alias("last_exit"))
+
+
 MODELS = ("logistic", "random_forest", "gradient_boosting")
 
 
@@ -85,28 +121,43 @@ def score(model, df: DataFrame, name: str = "p") -> DataFrame:
 
 
 def walk_forward(df: DataFrame, fold_table: DataFrame, columns: Sequence[str], model: str = "logistic", label: str = "label",
-                 min_rows: int = 100, keep: Sequence[str] = ("sym", "d", "trade_return")) -> DataFrame:
-    """Out-of-sample scores of every fold. The fold table (a few dozen boundary rows) is read by the
-    driver, which starts one distributed fit per fold; the data stay on the executors."""
+                 min_rows: int = 100, min_val: int = 20, min_class: int = 10, embargo_days: int = 0,
+                 fallback: tuple[str, str, str, str] | None = None, keep: Sequence[str] = ("sym", "d", "trade_return")) -> DataFrame:
+    """Out-of-sample scores of every fold. The fold table (a few boundary rows) is read by the driver, which starts one
+    distributed fit per fold; the data stay on the executors.
+
+    Training rows must have left their trade (``exit_date``) before the validation starts, less the embargo. Folds
+    with too few training or validation rows or too few of a class are skipped. Without any fold, ``fallback`` (train
+    start, train end, validation start, validation end) is the only one."""
     df = df.filter(F.col(label).isin(0, 1)).persist()
+    bounds = [(f.fold, f.train_start, f.train_end, f.val_start, f.val_end) for f in fold_table.orderBy("fold").toLocalIterator()]
+    if not bounds and fallback:
+        bounds = [(0, *[F.lit(x).cast("date") for x in fallback])]
     out = None
-    for f in fold_table.orderBy("fold").toLocalIterator():
-        train = df.filter(F.col("d").between(f.train_start, f.train_end))
-        val = df.filter(F.col("d").between(f.val_start, f.val_end))
-        sizes = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).first()
-        if sizes.n < min_rows or sizes.classes < 2:
+    for fold, train_start, train_end, val_start, val_end in bounds:
+        train = df.filter(F.col("d").between(train_start, train_end) & (F.col("exit_date") < F.date_sub(F.lit(val_start), embargo_days)))
+        val = df.filter(F.col("d").between(val_start, val_end))
+        sizes = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("ones")).first()
+        if sizes.n < min_rows or min(sizes.ones, sizes.n - sizes.ones) < min_class or val.limit(min_val).count() < min_val:
             continue
         fitted = make_pipeline(model, columns, label).fit(with_class_weights(train, label))
-        part = score(fitted, val).select(*keep, label, "p").withColumn("fold", F.lit(f.fold))
+        part = score(fitted, val).select(*keep, label, "p").withColumn("fold", F.lit(fold))
         out = part if out is None else out.unionByName(part)
     if out is None:
+        df.unpersist()
         raise ValueError("no fold has enough rows")
+    out = out.persist()
+    out.count()  # the scores are kept, the features may go
+    df.unpersist()
     return out
 
 
-def calibrate(scored: DataFrame, label: str = "label", p: str = "p"):
-    """Isotonic calibration, to be fitted on a slice that neither trains nor evaluates the model."""
-    return IsotonicRegression(featuresCol=p, labelCol=label, predictionCol="p_calibrated").fit(scored.withColumn(label, F.col(label).cast("double")))
+def calibrate(scored: DataFrame, label: str = "label", p: str = "p", step: float = 1e-4):
+    """Isotonic calibration, to be fitted on a slice that neither trains nor evaluates the model. Scores are pooled
+    into steps of ``step`` first, with their number as weight, so what the fit gathers is bounded."""
+    pooled = scored.groupBy((F.round(F.col(p) / step) * step).alias(p)).agg(
+        F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_n"))
+    return IsotonicRegression(featuresCol=p, labelCol=label, weightCol="_n", predictionCol="p_calibrated").fit(pooled)
 
 
 # ---- metrics ------------------------------------------------------------------------------------
@@ -122,11 +173,9 @@ def metrics(scored: DataFrame, threshold: float, by: Sequence[str] = (), label:
     base = scored.groupBy(*by).agg(
         n.alias("candidates"), F.count_if(hit).alias("signals"), F.count_if(hit & y).alias("correct"), F.count_if(y).alias("positives"),
         F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("brier"))
-    lo, hi = wilson(F.col("correct"), F.col("signals"))
     base = base.withColumns({
-        "false_positives": F.col("signals") - F.col("correct"),
-        "precision": F.when(F.col("signals") > 0, F.col("correct") / F.col("signals")).otherwise(F.lit(0.0)),
-        "precision_lo": lo, "precision_hi": hi, "coverage": F.col("signals") / F.col("candidates"),
+        "false_positives": F.col("signals") - F.col("correct"), **rate(F.col("correct"), F.col("signals"), "precision"),
+        "coverage": F.col("signals") / F.col("candidates"),
         "recall": F.when(F.col("positives") > 0, F.col("correct") / F.col("positives")).otherwise(F.lit(0.0))})
     one = [*by] if by else ["_all"]
     rows = scored if by else scored.withColumn("_all", F.lit(1))
@@ -166,10 +215,9 @@ def threshold_table(scored: DataFrame, by: Sequence[str] = (), label: str = "lab
     full = grid.join(hist, [*by, "bin"], "left").fillna(0, ["n", "k"])
     above = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     out = full.withColumns({"signals": F.sum("n").over(above), "correct": F.sum("k").over(above)}).filter(F.col("bin") >= 50)
-    lo, hi = wilson(F.col("correct"), F.col("signals"))
-    return out.select(*by, (F.col("bin") / 100).alias("threshold"), "candidates", "signals", "correct",
-                      F.when(F.col("signals") > 0, F.col("correct") / F.col("signals")).otherwise(F.lit(0.0)).alias("precision"),
-                      lo.alias("precision_lo"), hi.alias("precision_hi"), (F.col("signals") / F.col("candidates")).alias("coverage"))
+    precision = [c.alias(name) for name, c in rate(F.col("correct"), F.col("signals"), "precision").items()]
+    return out.select(*by, (F.col("bin") / 100).alias("threshold"), "candidates", "signals", "correct", *precision,
+                      (F.col("signals") / F.col("candidates")).alias("coverage"))
 
 
 def select_threshold(scored: DataFrame, by: Sequence[str] = (), target: float = 0.90, min_signals: int = 30, label: str = "label", p: str = "p") -> DataFrame:
@@ -214,10 +262,12 @@ def members(runs: DataFrame) -> DataFrame:
 
 
 def supersede(runs: DataFrame) -> DataFrame:
-    """Run lifecycle: of each algorithm's live runs only the newest stays live."""
+    """Run lifecycle: of each algorithm's live runs only the newest stays live. One row per algorithm is joined back, so
+    an algorithm with very many runs is no window of its own."""
     live = F.col("status").isin("ensemble_member", "active")
-    newest = F.max(F.when(live, F.col("run_id"))).over(Window.partitionBy("model_name"))
-    return runs.withColumn("status", F.when(live & (F.col("run_id") < newest), "superseded").otherwise(F.col("status")))
+    newest = runs.filter(live).groupBy("model_name").agg(F.max("run_id").alias("_newest"))
+    joined = runs.join(newest, "model_name", "left")
+    return joined.withColumn("status", F.when(live & (F.col("run_id") < F.col("_newest")), "superseded").otherwise(F.col("status"))).select(*runs.columns)
 
 
 def ensemble(long: DataFrame, keys: Sequence[str] = ("sym", "d")) -> DataFrame:
@@ -334,8 +384,7 @@ def direction_summary(scored: DataFrame) -> DataFrame:
     known = scored.filter(F.col("up").isNotNull())
     hit = (F.col("p_up") >= 0.5) == (F.col("up") == 1)
     out = known.groupBy("sym", "h").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
-    lo, hi = wilson(F.col("hits"), F.col("n"))
-    return out.withColumns({"hit_rate": F.col("hits") / F.col("n"), "hit_lo": lo, "hit_hi": hi})
+    return out.withColumns(rate(F.col("hits"), F.col("n"), "hit")).withColumnRenamed("hit", "hit_rate")
 
 
 def drawdown_analog(panel: DataFrame, window: int = 20, band: float = 5.0) -> DataFrame:

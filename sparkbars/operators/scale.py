@@ -27,11 +27,11 @@ def bucket(v: Column) -> Column:
 def cumulate(df: DataFrame, group: Sequence[str], value: str, sums: dict[str, Column],
              descending: bool = False) -> DataFrame:
     """Per distinct (group, value): each total, the running total before it (``<name>_before``)
-    and the group total (``<name>_all``), ordered by value. Rows with a NULL value are left out."""
+    and the group total (``<name>_all``), ordered by value. Rows without a finite value are left out."""
     names = list(sums)
     v = F.col(value).cast("double") + F.lit(0.0)
     per_value = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.abs(v) < F.lit(float("inf")))  # neither NULL nor NaN (which is above infinity) nor infinite
         .withColumn(value, v)
         .groupBy(*group, value)
         .agg(*[expr.alias(name) for name, expr in sums.items()])

@@ -40,15 +40,17 @@ def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: D
     recent = Window.partitionBy("sym").orderBy("_day").rangeBetween(-EVENT_DAYS, 0)
     move = F.when(F.col("prev") > 0, F.abs((F.col("close") - F.col("prev")) / F.col("prev")))
     idle = F.when(num("volume") > 0, 0.0).otherwise(1.0)
-    last20 = w.trail(20)
     middle = (lambda x: F.percentile(x, 0.5)) if stat == "median" else F.avg
-    priced = F.when(F.col("close") > 0, F.col("close"))
-    df = df.withColumns({"_move": move, "_idle": idle, "_priced": priced})
+    # The last 20 priced rows, not the priced ones of the last 20 rows: a row counter of priced rows as range.
+    some = F.col("close") > 0
+    df = df.withColumns({"_move": move, "_idle": idle, "_nth": F.count(F.when(some, 1)).over(w.so_far())})
+    df = df.withColumns({f"_{c}": F.when(some, F.col(c)) for c in ("close", "value", "freq")})
+    last20 = Window.partitionBy("sym").orderBy("_nth").rangeBetween(-19, 0)
     df = df.withColumns({
         "history_days": F.col("rn"),
-        "close_20": middle("_priced").over(last20),
-        "value_20": middle(num("value")).over(last20),
-        "freq_20": middle(num("freq")).over(last20),
+        "close_20": middle("_close").over(last20),
+        "value_20": middle("_value").over(last20),
+        "freq_20": middle("_freq").over(last20),
         "zero_vol_ratio": F.avg("_idle").over(w.so_far()),
         "last_active": F.max(F.when((num("volume") > 0) & (F.col("close") > 0), F.col("d"))).over(w.so_far()),
         "_warn": F.sum(F.when(F.col("_move") > WARNING_MOVE, 1).otherwise(0)).over(recent),

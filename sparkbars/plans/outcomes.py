@@ -300,17 +300,31 @@ def _(t: Tables):
 
 
 @query("walk_forward_folds", "M2", "fold train_start:date train_end:date val_start:date val_end:date n_train n_val",
-       B1 + """, f0 AS (SELECT k AS fold, CAST(DATE '1995-01-02' + to_months(CAST(k * 3 AS INT)) AS DATE) AS train_start FROM (SELECT UNNEST(range(0, 60)) AS k)),
+       B1 + """, r AS (SELECT MIN(d) AS a, MAX(d) AS z FROM bars), f0 AS (SELECT k AS fold, CAST(a + to_months(CAST(k * 3 AS INT)) AS DATE) AS train_start FROM r, (SELECT UNNEST(range(0, 400)) AS k)),
        f1 AS (SELECT *, CAST(train_start + to_months(24) AS DATE) AS train_end, CAST(train_start + to_months(24) AS DATE) + 5 AS val_start FROM f0),
-       f2 AS (SELECT *, LEAST(CAST(val_start + to_months(3) AS DATE), DATE '2001-10-31') AS val_end FROM f1 WHERE val_start <= DATE '2001-10-31'), c AS (SELECT d, COUNT(*) AS n FROM bars GROUP BY d),
+       f2 AS (SELECT f1.*, LEAST(CAST(val_start + to_months(3) AS DATE), z) AS val_end FROM f1, r WHERE val_start <= z), c AS (SELECT d, COUNT(*) AS n FROM bars GROUP BY d),
        q AS (SELECT fold, train_start, train_end, val_start, val_end, CAST((SELECT SUM(n) FROM c WHERE c.d BETWEEN train_start AND train_end) AS BIGINT) AS n_train, CAST((SELECT SUM(n) FROM c WHERE c.d BETWEEN val_start AND val_end) AS BIGINT) AS n_val FROM f2)""")
 def _(t: Tables):
-    # Rows are counted per date first: boundaries meet at most one row per session.
-    per_day = t.bars().groupBy("d").agg(F.count(F.lit(1)).alias("n"))
-    f = ml.folds(t.spark, "1995-01-02", "2001-10-31")
-    j = per_day.join(F.broadcast(f), F.col("d").between(F.col("train_start"), F.col("val_end")))
-    return j.groupBy("fold", "train_start", "train_end", "val_start", "val_end").agg(
-        F.sum(F.when(F.col("d") <= F.col("train_end"), F.col("n"))).alias("n_train"), F.sum(F.when(F.col("d") >= F.col("val_start"), F.col("n"))).alias("n_val"))
+    bars = t.bars().select("d", F.lit(None).cast("date").alias("exit_date"))
+    return ml.fold_rows(bars, _folds(t, bars))
+
+
+def _folds(t: Tables, rows, *shape: int):
+    """Folds over all dates there are."""
+    return ml.folds(t.spark, rows.agg(F.min("d")).scalar(), rows.agg(F.max("d")).scalar(), *shape)
+
+
+@query("walk_forward_rows", "M2 L3", "fold n_train n_purged n_val last_exit:date",
+       B1 + f""", lab AS (SELECT sym, d, LEAD(d, 5) {W} AS exit_date, LEAD(close, 5) {W} AS exit_price FROM bars), l AS (SELECT d, exit_date, COUNT(*) AS n FROM lab WHERE exit_price IS NOT NULL GROUP BY 1, 2),
+       r AS (SELECT MIN(d) AS a, MAX(d) AS z FROM l), f0 AS (SELECT k AS fold, CAST(a + to_months(CAST(k * 6 AS INT)) AS DATE) AS train_start FROM r, (SELECT UNNEST(range(0, 400)) AS k)),
+       f1 AS (SELECT *, CAST(train_start + to_months(24) AS DATE) AS train_end, CAST(train_start + to_months(24) AS DATE) + 6 AS val_start FROM f0),
+       f2 AS (SELECT f1.*, LEAST(CAST(val_start + to_months(6) AS DATE), z) AS val_end FROM f1, r WHERE val_start <= z),
+       q AS (SELECT fold, CAST(COALESCE(SUM(n) FILTER (d <= train_end AND exit_date < val_start - 2), 0) AS BIGINT) AS n_train,
+         CAST(COALESCE(SUM(n) FILTER (d <= train_end AND exit_date >= val_start - 2), 0) AS BIGINT) AS n_purged, CAST(COALESCE(SUM(n) FILTER (d >= val_start), 0) AS BIGINT) AS n_val,
+         MAX(exit_date) FILTER (d <= train_end AND exit_date < val_start - 2) AS last_exit FROM f2 JOIN l ON l.d BETWEEN train_start AND val_end GROUP BY fold)""")
+def _(t: Tables):
+    rows = lb.labels_fast(t.bars()).select("d", "exit_date")
+    return ml.fold_rows(rows, _folds(t, rows, 24, 6, 6, 6), embargo_days=2)
 
 
 MODEL_FEATURES = ["return_5d", "return_20d", "rsi14", "close_vs_sma20", "hvol20", "rel_volume_20d", "bb_position", "mfi14", "foreign_net_20d"]
@@ -319,8 +333,8 @@ MODEL_FEATURES = ["return_5d", "return_20d", "rsi14", "close_vs_sma20", "hvol20"
 @query("walk_forward_logistic", "M1 M2 M3 M4", "fold:int n:int precision:4 brier:4 roc_auc:4 brier_calibrated:4")
 def _(t: Tables):
     bars = t.bars()
-    data = lb.dataset(ft.features(bars), lb.labels_fast(bars)).select("sym", "d", "label", "trade_return", *MODEL_FEATURES)
-    scored = ml.walk_forward(data, ml.folds(t.spark, "1995-06-01", "2001-06-30", 36, 18, 5, 18), MODEL_FEATURES)
+    data = lb.dataset(ft.features(bars), lb.labels_fast(bars)).select("sym", "d", "exit_date", "label", "trade_return", *MODEL_FEATURES)
+    scored = ml.walk_forward(data, _folds(t, bars, 36, 18, 6, 18), MODEL_FEATURES)
     odd = F.xxhash64("sym", "d") % 2 != 0  # the calibrator learns on one half and is judged on the other
     fitted = ml.calibrate(scored.filter(odd))
     rest = fitted.transform(scored.filter(~odd))
@@ -543,7 +557,10 @@ def _(t: Tables):
 @query("payload_fields", "S7", "k:int n",
        "q AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, COUNT(*) AS n FROM events GROUP BY 1)")
 def _(t: Tables):
-    wrapped = t.table("events").select(F.concat(F.lit('{"status": "ok", "result": {"items": ['), "props", F.lit("]}}")).alias("payload"))
+    # Five shapes: a plain list, a record key, an unknown key four levels down, an empty record key before, two record keys.
+    shapes = ("[%]", '{"data": [%]}', '{"a": {"b": {"c": {"rows": [%]}}}}', '{"data": {"note": 1}, "result": {"items": [%]}}', '{"n": 1, "Results": {"Data": [%]}}')
+    shape = F.element_at(F.array(*map(F.lit, shapes)), F.pmod("event_id", F.lit(len(shapes))).cast("int") + 1)
+    wrapped = t.table("events").select(F.replace(shape, F.lit("%"), F.col("props")).alias("payload"))
     records = landing.extract_records(wrapped)
     return records.select(landing.pick(F.col("record"), ("id", "K")).cast("long").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 

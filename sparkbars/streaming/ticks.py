@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-from ..sources.store import replace_partitions
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 day", lateness: str = "14 days") -> DataFrame:
@@ -30,10 +30,12 @@ def sliding_activity(ticks: DataFrame, length: str = "20 days", step: str = "1 d
     return out.select(F.col("window.end").alias("ts"), "sym", "volume", "value", "freq")
 
 
-def recheck(bars: DataFrame, days: int = 14) -> DataFrame:
-    """Streaming late-data policy: repeats of a (symbol, date) inside the re-check horizon are dropped,
-    rows older than it are ignored by the watermark."""
-    return bars.withWatermark("ts", f"{days} days").dropDuplicatesWithinWatermark(["sym", "ts"])
+def recheck(bars: DataFrame, days: int = 14, version: str = "version") -> DataFrame:
+    """Streaming late-data policy: of the versions of a (symbol, date) that arrive inside the re-check horizon the
+    newest wins, and is emitted when the horizon has passed; older rows are ignored by the watermark."""
+    rest = [c for c in bars.columns if c not in ("sym", "ts")]
+    newest = bars.withWatermark("ts", f"{days} days").groupBy("sym", "ts").agg(F.max_by(F.struct(*rest), version).alias("_new"))
+    return newest.select(*[F.col(c) if c in ("sym", "ts") else F.col(f"_new.{c}") for c in bars.columns])
 
 
 def settle(bars: DataFrame, newest: Column, days: int = 14, version: str = "version") -> DataFrame:
@@ -46,10 +48,19 @@ def settle(bars: DataFrame, newest: Column, days: int = 14, version: str = "vers
 
 
 def write_days(stream: DataFrame, path: str, checkpoint: str):
-    """Idempotent sink: each micro-batch replaces the dates it touches. A repeated batch writes the same
-    partitions again, so a restart from the checkpoint changes nothing."""
+    """Idempotent sink: every micro-batch owns one folder per date it touches, ``d=.../batch=...``, and replaces only
+    that. A repeated batch writes the same folder again; a date that is spread over several batches keeps
+    all of them. ``read_days`` merges them by key."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        replace_partitions(batch, path, "d")
-        batch.unpersist()
+        (batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("d", "batch").parquet(path))
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+
+
+def read_days(spark: SparkSession, path: str, keys: Sequence[str] = ("sym", "d"), version: str | None = None) -> DataFrame:
+    """What ``write_days`` has written: per key the row of the greatest ``version``, by default of the last batch."""
+    rows = spark.read.parquet(path)
+    order = F.struct(*([version] if version else []), "batch")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_new"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_new.{c}") for c in rows.columns if c != "batch"])

@@ -8,14 +8,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from sparkbars.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from sparkbars.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", 4, "6g")
     session.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(session)
     yield session
     session.stop()
 
