@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkbars.llm import language, neardup, packing, substrings
 from sparkbars.llm.common import stage
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens along the content curve."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 STAGES = [

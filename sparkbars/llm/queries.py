@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, embeddings, fingerprints, language, neardup, packing, substrings, urls, warc
 
-RANKS, TOKENIZER = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, TOKENIZER, TOKENIZER_RANKS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,8 +54,8 @@ def op9_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN,
-                        with_ids=False).drop("ids")
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(TOKENIZER_RANKS),
+                        public_tokenizers.PATTERN, with_ids=False).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
