@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import EXPLANATION_RULES, explain, norm_reason
+from ..functions.text import norm_reason
 from ..operators import decisions as dc
 from ..operators import evaluation as ev
 from ..operators import features as ft
@@ -373,8 +373,8 @@ def _(t: Tables):
 def _(t: Tables):
     bars = t.brand_bars()
     df = ft.features(bars).join(m.market_features(bars).select("d", "market_regime"), "d", "left").withColumn("has_action_warning", F.lit(False))
-    texts = F.explode(F.concat(dc.reasons(), dc.risks()))
-    return df.select("sym", "d", texts.alias("text")).withColumn("sentence", explain("text", EXPLANATION_RULES))
+    sentences = dc.wording(F.concat(dc.reason_codes(), dc.risk_codes()), plain=True)
+    return df.select("sym", "d", F.explode(sentences).alias("sentence"))
 
 
 DEC_SQL = B1 + """, x AS (SELECT sym, d, CAST((rn * 7919) % 1000 AS DOUBLE) / 1000 AS p, close AS entry_price, round_even(close * 1.05, 0) AS target_price, round_even(close * 0.98, 0) AS stop_price, rn % 7 AS models, 6 AS models_expected,

@@ -183,7 +183,7 @@ def extract_records(raw: DataFrame) -> DataFrame:
     Nesting is unbounded, which column functions cannot walk: texts go through Arrow in batches. A text that is no
     JSON has no records.
     """
-    walk = F.pandas_udf(_records_of, "array<string>", functionType=F.PandasUDFType.SCALAR_ITER)
+    walk = F.pandas_udf(_records_of, "array<string>")
     return raw.withColumn("record", F.explode(walk("payload")))
 
 

@@ -182,6 +182,61 @@ def test_folds(spark):
     assert all((f.val_start - f.train_end).days == 5 and f.val_end <= dt.date(2023, 12, 31) for f in got) and len(got) == 8
 
 
+def test_training_rows_leave_before_validation(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(0, 1400)]
+    rng = np.random.default_rng(4)
+    rows = [(f"S{s}", d, d + dt.timedelta(days=5 if s else 60), int(x > 0.5), float(x), 0.0) for s in range(2) for d, x in zip(days, rng.uniform(0, 1, len(days)))]
+    df = spark.createDataFrame(rows, "sym string, d date, exit_date date, label int, f double, trade_return double")
+    table = ml.folds(spark, "2020-01-01", "2023-10-31", 24, 3, 5, 6)
+    bounds = {f.fold: f for f in table.collect()}
+    for embargo in (0, 10):
+        counts = {r.fold: r for r in ml.fold_rows(df, table, embargo).collect()}
+        assert set(counts) == set(bounds)
+        for k, f in bounds.items():
+            inside = [r for r in rows if f.train_start <= r[1] <= f.train_end]
+            kept = [r for r in inside if r[2] < f.val_start - dt.timedelta(days=embargo)]
+            assert (counts[k].n_train, counts[k].n_purged) == (len(kept), len(inside) - len(kept)) and counts[k].n_purged > 50
+            assert counts[k].last_exit == max(r[2] for r in kept) < f.val_start
+            assert counts[k].n_val == sum(f.val_start <= r[1] <= f.val_end for r in rows)
+    scored = ml.walk_forward(df, table.filter("fold < 2"), ["f"]).collect()
+    assert {r.fold for r in scored} == {0, 1} and len(scored) == sum(counts[k].n_val for k in (0, 1))
+    assert np.mean([(r.p > 0.5) == r.label for r in scored]) > 0.9
+
+
+def test_fold_rules(spark):
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), dt.date(2020, 1, 3) + dt.timedelta(days=i), i % 2, float(i % 2), 0.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "sym string, d date, exit_date date, label int, f double, trade_return double")
+    none = ml.folds(spark, "2020-01-01", "2020-10-01")
+    assert none.count() == 0
+    single = ml.walk_forward(df, none, ["f"], fallback=("2020-01-01", "2020-06-30", "2020-07-05", "2020-08-31"))
+    assert {r.fold for r in single.collect()} == {0} and single.count() == 58
+    few = ml.folds(spark, "2020-01-01", "2020-07-20", 6, 3)  # fewer than 20 validation rows
+    with pytest.raises(ValueError):
+        ml.walk_forward(df, few, ["f"])
+    with pytest.raises(ValueError):
+        ml.walk_forward(df.withColumn("label", (F.col("d") > "2020-01-06").cast("int")), none, ["f"], fallback=("2020-01-01", "2020-06-30", "2020-07-05", "2020-08-31"))
+    assert ml.folds(spark, "1700-01-01", "2020-12-31").count() > 1201
+
+
+def test_interval_of_a_proportion(spark):
+    df = spark.createDataFrame([(0, 0), (0, 10), (7, 10), (10, 10), (500, 900)], "k long, n long")
+    for r in df.withColumns(ml.rate(F.col("k"), F.col("n"), "r")).collect():
+        if not r.n:
+            assert (r.r, r.r_lo, r.r_hi) == (0, 0, 1)
+            continue
+        for q in (r.r_lo, r.r_hi):
+            assert q in (0, 1) or math.isclose((r.k / r.n - q) ** 2, 1.96 ** 2 * q * (1 - q) / r.n, rel_tol=1e-9, abs_tol=1e-12)
+        assert 0 <= r.r_lo <= r.r <= r.r_hi <= 1
+
+
+def test_calibration_of_pooled_scores(spark):
+    rng = np.random.default_rng(2)
+    p = rng.uniform(0, 1, 5000)
+    df = spark.createDataFrame([(float(x), int(rng.uniform() < x ** 2)) for x in p], "p double, label int")
+    got = ml.calibrate(df).transform(spark.createDataFrame([(0.3,), (0.9,)], "p double")).orderBy("p").collect()
+    assert abs(got[0].p_calibrated - 0.09) < 0.08 and abs(got[1].p_calibrated - 0.81) < 0.08
+
+
 def test_metrics_match_numpy(spark):
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 400)

@@ -45,3 +45,11 @@ def test_buckets_are_monotone(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("b", scale.bucket(F.col("x")))
     b = [r.b for r in df.orderBy("x").collect()]
     assert b == sorted(b)
+
+
+def test_only_finite_values_rank(spark):
+    values = [3.0, float("nan"), -0.0, 0.0, float("inf"), None, 1.0, float("-inf"), 1.0]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, id int, x double")
+    got = {r.id: (r["rank"], r.n) for r in scale.with_ranks(df, ["g"], "x").collect()}
+    assert {i: got[i] for i in (0, 2, 3, 6, 8)} == {0: (5, 5), 2: (1, 5), 3: (1, 5), 6: (3, 5), 8: (3, 5)}
+    assert all(got[i][0] is None for i in (1, 4, 5, 7))

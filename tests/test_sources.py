@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkbars.sources import landing, quality, store
@@ -41,10 +42,14 @@ def test_json_snapshots(spark):
 
 
 def test_tolerant_payloads(spark):
-    texts = ['[{"Code": "AB"}]', '{"data": [{"CODE": "CD", "name": ""}]}', '{"result": {"items": [{"kode": "EF"}, {"kode": "GH"}]}}', '{"x": 1}']
+    deep = '{"code": "DEEP"}'
+    for k in range(40):
+        deep = f'{{"k{k}": {deep if k else "[" + deep + "]"}}}'
+    texts = ['[{"Code": "AB"}]', '{"data": [{"CODE": "CD", "name": ""}]}', '{"result": {"items": [{"kode": "EF"}, {"kode": "GH"}]}}', '{"x": 1}', '{"payload": {"rows": [{"code": "IJ"}]}}',
+             '{"data": {"a": 1}, "result": {"items": [{"code": "KL"}]}}', '{"other": [{"code": "no"}], "data": [{"code": "MN"}, 7]}', '{"data": [], "other": [{"code": "no"}]}', "no json", None, "[]", deep]
     raw = spark.createDataFrame([(t,) for t in texts], "payload string")
     got = landing.extract_records(raw).select(landing.pick(F.col("record"), ("kode", "code")).alias("c")).collect()
-    assert sorted(r.c for r in got) == ["AB", "CD", "EF", "GH"]
+    assert sorted(r.c for r in got) == ["AB", "CD", "DEEP", "EF", "GH", "IJ", "KL", "MN"]
 
 
 def test_file_ledger(spark, tmp_path):
@@ -117,3 +122,23 @@ def test_exports(spark, bars, tmp_path):
     store.write_bars(bars, str(tmp_path / "bars"))
     plan = spark.read.parquet(str(tmp_path / "bars")).filter("year = 2024 and sym = 'AAAA'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "EqualTo(sym,AAAA)" in plan
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t"])
+def test_headers_and_separators(spark, tmp_path, sep):
+    accepted = {
+        "d": ["date", "trading date", "Trade Date", "tanggal"], "sym": ["code", "ticker", "symbol", "Stock_Code", "kode saham"], "name": ["name", "company", "company name", "nama perusahaan"],
+        "prev": ["previous", "prev", "previous price", "sebelumnya"], "open": ["open", "Opening Price", "harga pembukaan"], "first": ["first", "first trade", "perdagangan pertama"],
+        "high": ["high", "Highest", "harga tertinggi"], "low": ["low", "lowest", "harga terendah"], "close": ["close", "closing price", "harga penutupan"], "change": ["change", "perubahan"],
+        "value": ["value", "trading value", "nilai transaksi"], "freq": ["frequency", "freq", "frekuensi"], "index_indiv": ["individual index", "indeks individual"],
+        "offer": ["offer", "ask", "penawaran jual"], "offer_vol": ["offer volume", "ask volume", "volume penawaran jual"], "index_weight": ["index weight", "bobot indeks"],
+        "bid": ["bid", "penawaran beli"], "shares": ["listed shares", "saham tercatat"], "fsell": ["foreign sell", "jual asing"], "delisted": ["delisting date"],
+    }
+    for k in range(5):
+        names = {c: a[min(k, len(a) - 1)] for c, a in accepted.items()}
+        given = {c: "2026-01-05" if c in ("d", "delisted") else "AB" if c in ("sym", "name") else "3" for c in accepted}
+        folder = tmp_path / f"{k}"
+        folder.mkdir()
+        (folder / "x.csv").write_text(sep.join(names.values()) + "\n" + sep.join(given.values()) + "\n")
+        row = landing.read_bars(spark, str(folder)).first()
+        assert [c for c in accepted if row[c] is None] == []

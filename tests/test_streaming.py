@@ -56,10 +56,11 @@ def test_late_ticks(spark, tmp_path):
 
 
 def test_repeats_within_the_horizon(spark, tmp_path):
-    rows = [(dt.datetime(2026, 1, 1 + i // 2), "A", float(i)) for i in range(8)]
-    df = spark.createDataFrame(rows, "ts timestamp, sym string, close double")
-    got = drain(ticks.recheck(feed(spark, df, tmp_path / "in", 4, "ts")), "rechecked", tmp_path / "cp")
-    assert got.count() == 4
+    rows = [(dt.datetime(2026, 1, 1 + i // 3), "A", float(i), i * 7 % 10) for i in range(9)] + [(dt.datetime(2026, 2, 1), "A", 0.0, 0), (dt.datetime(2026, 2, 2), "A", 0.0, 0)]
+    df = spark.createDataFrame(rows, "ts timestamp, sym string, close double, version int")
+    got = drain(ticks.recheck(feed(spark, df, tmp_path / "in", 5, ["ts", "version"])), "rechecked", tmp_path / "cp")
+    batch = ticks.settle(df.withColumn("d", F.to_date("ts")), F.lit(dt.date(2026, 1, 5))).filter("ts < '2026-01-31'").drop("d")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect())) and got.count() == 3
 
 
 def test_indicators_stream_equals_batch(spark, bars, tmp_path):
@@ -99,11 +100,19 @@ def test_daily_sink_survives_a_restart(spark, tmp_path):
     run(tmp_path / "cp")
     land(1, [("2026-01-02", "B", 3)])
     run(tmp_path / "cp")
-    read = lambda: sorted((str(r.d), r.sym, r.v) for r in spark.read.parquet(out).collect())
-    want = [("2026-01-01", "A", 1), ("2026-01-02", "B", 3)]
+    read = lambda: sorted((str(r.d), r.sym, r.v) for r in ticks.read_days(spark, out).collect())
+    want = [("2026-01-01", "A", 1), ("2026-01-02", "A", 2), ("2026-01-02", "B", 3)]
     assert read() == want
     run(tmp_path / "cp")  # nothing new: nothing changes
     assert read() == want
-    run(tmp_path / "cp2")  # all batches again: the same partitions are written again
+    run(tmp_path / "cp2")  # all batches again: the same folders are written again
     assert read() == want
+    land(2, [("2026-01-02", "A", 9), ("2026-01-03", "C", 4)])
+    run(tmp_path / "cp")  # a correction
+    assert read() == [want[0], ("2026-01-02", "A", 9), want[2], ("2026-01-03", "C", 4)]
+    one = str(tmp_path / "one")  # all rows in one batch give the same table
+    q = ticks.write_days(spark.readStream.schema(schema).parquet(str(folder / "part=*")), one, str(tmp_path / "cp3")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(str(r.d), r.sym) for r in ticks.read_days(spark, one).collect()} == {(d, s) for d, s, _ in read()}
     shutil.rmtree(tmp_path / "cp2", ignore_errors=True)
