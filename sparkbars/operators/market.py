@@ -87,21 +87,21 @@ MOVER_COLUMNS = ("sym", "d", "close", "ret_1", "ret_20", "value", "volume_ratio"
 
 def movers(tech: DataFrame, k: int = 8) -> DataFrame:
     """Per date the top gainers and losers among liquid active symbols, and the most active ones."""
-    liquid = tech.filter((F.col("avg_value_20") >= 1e9) & (num("volume") > 0))
+    liquid = (F.col("avg_value_20") >= 1e9) & (num("volume") > 0)
     lists = {
-        "gainer": (liquid, F.desc_nulls_last("ret_1")),
-        "loser": (liquid, F.asc_nulls_last("ret_1")),
-        "most_active": (tech, F.desc_nulls_last("value")),
+        "gainer": (liquid, -F.col("ret_1")),
+        "loser": (liquid, F.col("ret_1")),
+        "most_active": (F.lit(True), -F.col("value")),
     }
-    return _ranked_lists(lists, MOVER_COLUMNS, k)
+    return _ranked_lists(tech, lists, MOVER_COLUMNS, k)
 
 
-def _ranked_lists(lists: dict[str, tuple[DataFrame, Column]], columns: tuple[str, ...], k: int) -> DataFrame:
-    out = None
-    for name, (rows, order) in lists.items():
-        part = scale.top_k(rows.select(*columns), ["d"], [order, F.asc("sym")], k).withColumn("list", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _ranked_lists(rows: DataFrame, lists: dict[str, tuple[Column, Column]], columns: tuple[str, ...], k: int) -> DataFrame:
+    """Per date and list the first k rows that meet the list's condition, by its value, least first and NULLs last. A row
+    names all its lists at once, so the rows are computed once, and one group-limited window serves all lists."""
+    entries = F.array(*[F.when(cond, F.struct(F.lit(name).alias("list"), value.cast("double").alias("by"))) for name, (cond, value) in lists.items()])
+    named = rows.withColumn("_e", F.explode(F.array_compact(entries))).select(*columns, "_e.list", F.col("_e.by").alias("_by"))
+    return scale.top_k(named, ["d", "list"], [F.asc_nulls_last("_by"), F.asc("sym")], k).drop("_by")
 
 
 def flow_rankings(tech: DataFrame, window: int = 20, k: int = 30, min_value: float = 1e9) -> DataFrame:
@@ -121,12 +121,12 @@ def flow_rankings(tech: DataFrame, window: int = 20, k: int = 30, min_value: flo
         context.alias("flow_context"),
     )
     lists = {
-        "accumulation": (e.filter(F.col("net_volume_pct") > 0), F.desc("net_volume_pct")),
-        "distribution": (e.filter(F.col("net_volume_pct") < 0), F.asc("net_volume_pct")),
-        "unusual_activity": (e.filter(F.col("activity_score") >= 1.2), F.desc("activity_score")),
-        "most_liquid": (e, F.desc("avg_value_20")),
+        "accumulation": (F.col("net_volume_pct") > 0, -F.col("net_volume_pct")),
+        "distribution": (F.col("net_volume_pct") < 0, F.col("net_volume_pct")),
+        "unusual_activity": (F.col("activity_score") >= 1.2, -F.col("activity_score")),
+        "most_liquid": (F.lit(True), -F.col("avg_value_20")),
     }
-    return _ranked_lists(lists, tuple(e.columns), k)
+    return _ranked_lists(e, lists, tuple(e.columns), k)
 
 
 # ---- data profile --------------------------------------------------------------------------------

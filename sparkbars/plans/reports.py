@@ -228,7 +228,7 @@ def _(t: Tables):
     return j.with_name(t.bars(), master)
 
 
-@query("bars_of_eligible_symbols", "J4 K10", "sym d:date close:4",
+@query("bars_of_eligible_symbols", "J4", "sym d:date close:4",
        B1 + f", {MASTER}, q AS (SELECT * FROM bars WHERE sym IN (SELECT sym FROM master WHERE board = 'EUROPE'))")
 def _(t: Tables):
     return j.restrict(t.bars(), t.master().filter(F.col("board") == "EUROPE"))

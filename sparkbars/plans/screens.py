@@ -72,7 +72,7 @@ def _(t: Tables):
     return s.snapshot(t.bars(), per="sym")
 
 
-@query("top_condition_scores", "K1 K3 X1 S22", "rank sym d:date adj:4 score:2 score_coverage:int ret_1:6 ret_20:6 rsi14:6 trend",
+@query("top_condition_scores", "K1 K3", "rank sym d:date adj:4 score:2 score_coverage:int ret_1:6 ret_20:6 rsi14:6 trend",
        T1 + ", " + LAST + """, q AS (SELECT *, ROW_NUMBER() OVER (ORDER BY score DESC, sym) AS rank FROM last WHERE score IS NOT NULL
          QUALIFY rank <= 25)""")
 def _(t: Tables):
@@ -235,7 +235,7 @@ def _(t: Tables):
     return m.movers(tech)
 
 
-@query("flow_rankings", "X2 A17", "list rank sym d:date net:2 net_volume_pct:6 activity_score:6 flow_context",
+@query("flow_rankings", "X2", "list rank sym d:date net:2 net_volume_pct:6 activity_score:6 flow_context",
        T1 + """, e AS (SELECT sym, d, ret_20 AS period_return, net_20d AS net, net_volume_pct_20 AS net_volume_pct, avg_value_20,
          CASE WHEN volume_ratio > 0 AND value_ratio > 0 AND freq_ratio > 0 THEN POW(volume_ratio * value_ratio * freq_ratio, 1.0 / 3) END AS activity_score,
          CASE WHEN COALESCE(ret_20, 0) >= 0 AND COALESCE(net_20d, 0) >= 0 THEN 'Price up + inflow' WHEN COALESCE(net_20d, 0) >= 0 THEN 'Price down + inflow'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.functions.dates import sessions_cutoff
 from sparkbars.operators import features as ft
+from sparkbars.operators import market
 from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
 
@@ -45,6 +46,13 @@ def test_top_k_is_cut_before_the_exchange(stored):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_ranked_lists_compute_their_rows_once(stored):
+    tech = sn.technicals(stored)
+    for df in (market.flow_rankings(tech), market.movers(tech.withColumn("score", F.lit(1.0)))):
+        text = plan(df)
+        assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 2 and text.count("WindowGroupLimit") == 2
+
+
 def test_no_cartesian_products(stored):
     for df in (sn.snapshot(stored), ft.features(stored)):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
