@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 #: Code points from here on are looked up in the class tables of the installed tokenizer library.
 FIRST_DISPUTED = 0x558
 
@@ -357,7 +359,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
     empty: no ids, the digests of nothing. Null and repeated doc_ids are kept as they are, extra columns are
     ignored. No exchange: each task streams its own rows; a text is handled in bounded runs of pieces.
     """
-    return documents.select("doc_id", "text").mapInArrow(_digests(path, pattern), ENCODED)
+    return in_small_batches(documents).select("doc_id", "text").mapInArrow(_digests(path, pattern), ENCODED)
 
 
 def _ids(path: str, pattern: str):
@@ -371,7 +373,7 @@ def _ids(path: str, pattern: str):
 
 def encode_ids(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` of whole texts; nulls as in encode_documents."""
-    return documents.select("doc_id", "text").mapInArrow(_ids(path, pattern), "doc_id bigint, ids array<int>")
+    return in_small_batches(documents).select("doc_id", "text").mapInArrow(_ids(path, pattern), "doc_id bigint, ids array<int>")
 
 
 def _texts(path: str, pattern: str):
@@ -385,4 +387,4 @@ def _texts(path: str, pattern: str):
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, text)`` of ``(doc_id, ids)``; null ids give an empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(_texts(path, pattern), "doc_id bigint, text string")
+    return in_small_batches(encoded).select("doc_id", "ids").mapInArrow(_texts(path, pattern), "doc_id bigint, text string")

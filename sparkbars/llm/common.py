@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +39,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, and at most ``rows`` rows in an Arrow batch of its session from here on: rows that hold whole texts are
+    large, and a batch is in memory at once, in the executor and in its Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,15 +66,10 @@ def bucket_of(key: str | Column, bounds: Sequence[int]) -> Column:
     return F.coalesce(F.size(F.filter(table, lambda b: b <= key)), F.lit(0))
 
 
-def chunks(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 class WordHashes(dict):
     """64-bit hash of each word seen; forgets everything when it is full, so memory is bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucket_of, mixed, n_parts
+from .common import bucket_bounds, bucket_of, in_small_batches, mixed, n_parts
 
 #: Values in a signature, and hexadecimal digits of each.
 KEPT, DIGITS = 128, 12
@@ -92,7 +92,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     Null and empty texts have an empty fingerprint; equal texts have equal ones. Rows are independent, so there
     is no exchange; null and repeated doc_ids are kept, extra columns ignored.
     """
-    return documents.select("doc_id", "text").mapInArrow(_prints, "doc_id bigint, fingerprint string")
+    return in_small_batches(documents).select("doc_id", "text").mapInArrow(_prints, "doc_id bigint, fingerprint string")
 
 
 COMPARED = pa.schema([
@@ -136,7 +136,7 @@ def compare_with_edits(documents: DataFrame) -> DataFrame:
     of every bucket also goes, as a look-ahead, to the end of the bucket before it. Only ids of first rows, one
     per bucket, reach the driver.
     """
-    spark = documents.sparkSession
+    spark = in_small_batches(documents).sparkSession
     parts = n_parts(spark)
     texts = F.coalesce("text", F.lit(""))
     bounds = bucket_bounds(documents, "doc_id", 2 * parts)

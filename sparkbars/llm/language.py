@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed
+from .common import in_small_batches, mixed
 
 ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
@@ -153,7 +153,7 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 class Scorer:
     """Scores of the words met, in one table that starts anew when it is full."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most = model, most
         self.row: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages) + 1), np.float32)
@@ -259,13 +259,13 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(documents: DataFrame, max_rows: int = 1500, max_chars: int = 2_000_000, max_languages: int = 256,
-        false_rejections: float = 0.001) -> Model:
+        usual_share: float = 0.999, slack: float = 6.0) -> Model:
     """Learn from the ``text`` and ``lang`` of labelled rows (nulls in either are skipped).
 
     The models are fitted on a bounded sample: per language at most ``max_rows`` texts of at most ``max_chars``
     characters together (the bound of everything that reaches the driver); four fifths of it train, one fifth
-    calibrates the rejection limits, so that about ``false_rejections`` of correct texts would pass them by
-    the same spread. No labelled row with a letter: no languages, and every text is undetermined.
+    calibrates the rejection: a text goes if its cross-entropy is ``slack`` times farther from the language's usual one
+    than that of ``usual_share`` of the correct texts, so that numbers, keys or a few foreign sentences reject none. No labelled row with a letter: no languages, and every text is undetermined.
     """
     sample = _labelled_sample(documents, max_rows, max_chars, max_languages).withColumn("calibrates", F.col("k") % 5 == 0).select(
         "text", "lang", "calibrates")
@@ -286,7 +286,7 @@ def fit(documents: DataFrame, max_rows: int = 1500, max_chars: int = 2_000_000,
         usual = np.average(own["cross_entropy"], weights=n)
         apart = (own["cross_entropy"].to_numpy() - usual) * np.sqrt(n)
         spread = max(float(np.sqrt(np.mean(apart ** 2))), 0.2)
-        limits[j] = usual, spread, 1.5 * max(float(np.quantile(apart / spread, 1 - false_rejections)), 4.0)
+        limits[j] = usual, spread, slack * max(float(np.quantile(apart / spread, usual_share)), 2.0)
     model.limits = limits
     return model
 
@@ -304,7 +304,7 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
     ``rejected`` says that even the best language lies beyond its calibrated limit. Columns of the same names
     in the input are replaced; other extra columns stay. Order and repeats of rows don't matter.
     """
-    rows = documents.drop(*NEW.names)
+    rows = in_small_batches(documents).drop(*NEW.names)
     schema = T.StructType(rows.schema.fields + NEW.fields)
     shipped = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
     column, names_out = rows.columns.index("text"), [*rows.columns, *NEW.names]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, WordHashes, gram_hashes, mixed, stage
+from .common import MULTIPLIER, WordHashes, gram_hashes, in_small_batches, mixed, stage
 from .graph import components
 
 CIRCLE = 1 << 20
@@ -206,7 +206,7 @@ def near_duplicates(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Equal sets collapse to their smallest doc_id by one aggregation before any banding, so copies cost one
     row each, however many there are.
     """
-    sketches = stage(documents.select("doc_id", "text").mapInArrow(
+    sketches = stage(in_small_batches(documents).select("doc_id", "text").mapInArrow(
         _sketches(plan), "doc_id bigint, n_shingles bigint, set_name binary, bands array<bigint>"), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     sets = stage(full.groupBy("set_name").agg(F.min(F.struct("doc_id", "bands")).alias("one")).select(

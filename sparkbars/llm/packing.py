@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, bucket_of, n_parts, stage
+from .common import bucket_bounds, bucket_of, in_small_batches, n_parts, stage
 
 #: Dimensions and bits per dimension of the curve: a 24-bit key. Of 63 bits, the rest orders equal keys by id.
 DIMS, BITS = 4, 6
@@ -116,16 +116,14 @@ def _tokenise(path: str, ranks: str | None, pattern: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, ranks, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                ids = [coder.encode(t.as_py() or "") for t in part.column(1)]
-                keys = hilbert(np.array([project(i) for i in ids])) if ids else np.empty(0, np.uint64)
-                tie = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64((1 << 32) - 1)
-                place = ((keys << np.uint64(32)) | tie).astype(np.int64)
-                packed = [np.append(i, np.array(end_id, i.dtype)).tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(place, pa.int64()), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(packed, pa.binary())],
-                    schema=PLACED)
+            ids = [coder.encode(t.as_py() or "") for t in batch.column(1)]
+            keys = hilbert(np.array([project(i) for i in ids])) if ids else np.empty(0, np.uint64)
+            tie = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64((1 << 32) - 1)
+            place = ((keys << np.uint64(32)) | tie).astype(np.int64)
+            packed = [np.append(i, np.array(end_id, i.dtype)).tobytes() for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(place, pa.int64()), pa.array([len(i) + 1 for i in ids], pa.int64()), pa.array(packed, pa.binary())],
+                schema=PLACED)
     return run
 
 
@@ -172,7 +170,7 @@ def pack(documents: DataFrame, path: str, ranks: str | None = None, pattern: str
     and a sum per bucket. A null text counts as empty and has the closing id only; null and repeated doc_ids
     are documents of their own; extra columns are ignored; an empty table gives no rows.
     """
-    spark = documents.sparkSession
+    spark = in_small_batches(documents).sparkSession
     tie = F.xxhash64(F.col("doc_id"), F.col("text"))
     tokens = stage(documents.select("doc_id", "text", tie.alias("tie")).mapInArrow(
         _tokenise(path, ranks, pattern, end_id), "doc_id bigint, place bigint, n_tokens bigint, ids binary"), "tokens")

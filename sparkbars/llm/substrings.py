@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, WordHashes, gram_hashes, mixed, stage
+from .common import MULTIPLIER, WordHashes, gram_hashes, in_small_batches, mixed, stage
 
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 DEPTH = 64
@@ -242,7 +242,7 @@ def shared_stretches(documents: DataFrame, plan: Plan) -> DataFrame:
     """Stretches whose anchor more than one document has. An anchor with very many different stretches, as at the
     borders of a passage that many documents share, would fill one shard: the windows of such anchors are sent
     by their own hash instead. There are at most a million of them, which bounds what is shipped to the tasks."""
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    rows = in_small_batches(documents).where("doc_id is not null and text is not null").select("doc_id", "text")
     crowded = np.empty(0, np.uint64)
     while True:
         every = stage(rows.mapInArrow(_stretches(plan, crowded), STRETCH), "stretches")

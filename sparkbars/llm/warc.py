@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, stage, work_path
+from .common import in_small_batches, n_parts, stage, work_path
 
 EPOCH = dt.datetime(2020, 1, 1)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,6 +116,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, most_bytes
     rows = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("sha")).join(
         revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("id_sha")), "left")
     ordered = rows.select("page_id", "url", "html", "refers_to").sortWithinPartitions("page_id", "url", "html")
+    in_small_batches(pages)
     fs, base = opened(folder)
     fs.create_dir(base, recursive=True)
     return stage(ordered.mapInArrow(_writer(folder, most_bytes), "archive string, records bigint, bytes bigint"), "archives")
