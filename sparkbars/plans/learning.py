@@ -155,13 +155,29 @@ def _(t: Tables):
 
 
 @query("universe_of_active_brands", "U1 U2", "sym d:date status history_days:int value_20:3 pump_flag:int",
-       B3 + """, mvs AS (SELECT *, CASE WHEN prev > 0 THEN ABS((close - prev) / prev) END AS mv FROM bars),
-       st AS (SELECT sym, d, rn AS history_days, AVG(close) OVER w20 AS close_20, AVG(value) OVER w20 AS value_20, AVG(freq) OVER w20 AS freq_20, 0.0 AS zero_vol_ratio, 0 AS days_since_active,
+       B3 + """, typed AS (SELECT *, (CAST(substr(sym, 7) AS INT) - 1) // 5 + 1 AS a, (CAST(substr(sym, 7) AS INT) - 1) % 5 + 1 AS b FROM bars),
+       fixed AS (SELECT * REPLACE (CASE WHEN a = 1 AND b = 2 THEN close * 0.02 ELSE close END AS close, CASE WHEN a >= 3 AND b = 2 THEN value * 0.01 ELSE value END AS value,
+         CASE WHEN b = 5 AND rn % 3 = 0 THEN 0 ELSE volume END AS volume) FROM typed),
+       mvs AS (SELECT *, CASE WHEN b = 3 AND rn % 300 = 0 THEN 0.28 WHEN b = 4 AND rn % 20 < a THEN 0.21 ELSE 0.1 END AS mv FROM fixed),
+       st0 AS (SELECT sym, d, rn AS history_days, AVG(close) OVER w20 AS close_20, AVG(value) OVER w20 AS value_20, AVG(freq) OVER w20 AS freq_20,
+         AVG(CASE WHEN volume > 0 THEN 0 ELSE 1 END) OVER wa AS zero_vol_ratio, MAX(CASE WHEN volume > 0 AND close > 0 THEN d END) OVER wa AS last_active,
          SUM(CASE WHEN mv > 0.25 THEN 1 ELSE 0 END) OVER wr > 0 AS has_action_warning, SUM(CASE WHEN mv >= 0.20 THEN 1 ELSE 0 END) OVER wr >= 4 AS pump_flag FROM mvs
-         WINDOW w20 AS (PARTITION BY sym ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), wr AS (PARTITION BY sym ORDER BY d RANGE BETWEEN INTERVAL 120 DAYS PRECEDING AND CURRENT ROW)),
+         WINDOW w20 AS (PARTITION BY sym ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), wa AS (PARTITION BY sym ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           wr AS (PARTITION BY sym ORDER BY d RANGE BETWEEN INTERVAL 120 DAYS PRECEDING AND CURRENT ROW)),
+       st AS (SELECT *, COALESCE(d - last_active, 9999) AS days_since_active FROM st0),
        q AS (SELECT *, """ + STATUS.format(z="0.20") + " AS status FROM st)")
 def _(t: Tables):
-    return un.universe_series(t.brand_bars(), min_value=2e3, min_freq=0.1)
+    # Each brand is made to meet one rule of the ladder, by its number, on both sides.
+    number = F.substring("sym", 7, 9).cast("int") - 1
+    a, b = F.floor(number / 5) + 1, number % 5 + 1
+    bars = w.with_rn(t.brand_bars())
+    bars = bars.withColumns({
+        "close": F.when((a == 1) & (b == 2), F.col("close") * 0.02).otherwise(F.col("close")),
+        "value": F.when((a >= 3) & (b == 2), F.col("value") * 0.01).otherwise(F.col("value")),
+        "volume": F.when((b == 5) & (F.col("rn") % 3 == 0), F.lit(0)).otherwise(F.col("volume"))})
+    move = F.when((b == 3) & (F.col("rn") % 300 == 0), 0.28).when((b == 4) & (F.col("rn") % 20 < a), 0.21).otherwise(0.1)
+    bars = bars.withColumn("prev", F.col("close") / (1 + move)).drop("rn")
+    return un.universe_series(bars, min_value=2e3, min_freq=0.1)
 
 
 @query("eligible_rows", "U2 J4", "d:date symbols",

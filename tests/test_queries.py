@@ -40,3 +40,21 @@ def test_spark_equals_sql(spark, name):
     got = sorted(tuple(norm(v) for v in r) for r in df.collect())
     want = sorted(tuple(norm(v) for v in r) for r in con.fetchall())
     assert got == want
+
+
+CLASSES = {
+    "market_regime": ("market_regime", {"HIGH_VOL", "NEUTRAL", "BULL_TREND", "BULL_RANGE", "BEAR_TREND", "BEAR_RANGE"}),
+    "universe_of_active_brands": ("status", {"ELIGIBLE", "INSUFFICIENT_HISTORY", "PENNY_STOCK", "SUSPENDED", "GORENGAN_SUSPECTED", "LOW_LIQUIDITY", "CORPORATE_ACTION_WARNING"}),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables not present")
+@pytest.mark.parametrize("name", CLASSES)
+def test_twins_reach_every_class(name):
+    """A rule that no row meets would be green whatever it says."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    column, classes = CLASSES[name]
+    found = dict(con.execute(f"SELECT {column}, COUNT(*) FROM ({catalogue()[name].sql()}) GROUP BY 1").fetchall())
+    assert set(found) == classes and min(found.values()) >= 20, found
