@@ -16,6 +16,7 @@ from ..functions.numbers import num
 from ..functions.text import norm_reason
 from . import scale
 from .joins import asof_join
+from .joins import one_page
 from .models import ROUND_TRIP, rate
 
 
@@ -132,12 +133,13 @@ def tally(preds: DataFrame, column: str, min_n: int = 3, k: int = 12) -> DataFra
 
 
 def evaluated(preds: DataFrame, sort_by: str = "date", sym: str | None = None, page: int = 1, size: int = 50) -> DataFrame:
-    """One page of resolved signals with entry, exit and percent move, by recency or by probability."""
+    """One page of resolved signals with entry, exit and percent move, by recency or by probability; with the totals,
+    and clamped to the pages there are."""
     rows = resolved(preds)
     if sym:
         rows = rows.filter(F.col("sym") == sym.strip().upper())
     order = [F.desc("d"), F.desc("p")] if sort_by == "date" else [F.desc("p"), F.desc("d")]
-    rows = rows.orderBy(*order, F.asc("sym"), F.asc("run_id")).offset((page - 1) * size).limit(size)
+    rows = one_page(rows, [*order, F.asc("sym"), F.asc("run_id")], page, size)
     return rows.withColumns({"exit_price": F.col("entry_price") * (1 + F.col("realized_return")), "pct_change": F.col("realized_return") * 100,
                              "signal_probability": F.col("p") * 100})
 
@@ -179,3 +181,14 @@ def equity_curve(preds: DataFrame, cost: float = ROUND_TRIP) -> DataFrame:
     day = rows.groupBy("run_id", "d").agg(F.count(F.lit(1)).alias("trades"), F.product(1 + net).alias("day_growth"), F.avg(net).alias("day_mean"))
     chain = Window.partitionBy("run_id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     return day.withColumns({"cumulative": F.product("day_growth").over(chain), "cumulative_mean": F.product(1 + F.col("day_mean")).over(chain)})
+
+
+def curve_stats(curve: DataFrame, per_year: int = 252) -> DataFrame:
+    """Per run of an ``equity_curve``: sessions, final growth, deepest fall from a peak so far (the start counts as one),
+    and the yearly Sharpe ratio of the session means."""
+    so_far = Window.partitionBy("run_id").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col("cumulative_mean")
+    fallen = curve.withColumn("_fall", c / F.greatest(F.max(c).over(so_far), F.lit(1.0)) - 1)
+    return fallen.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("sessions"), F.max_by("cumulative_mean", "d").alias("growth"), F.min("_fall").alias("max_drawdown"),
+        (F.avg("day_mean") / F.nullif(F.stddev_samp("day_mean"), F.lit(0.0)) * per_year ** 0.5).alias("sharpe"))

@@ -78,10 +78,15 @@ def browse(bars: DataFrame, sym: str | None = None, start: Column | None = None,
         rows = rows.filter(F.col("d") >= start)
     if end is not None:
         rows = rows.filter(F.col("d") <= end)
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    top = rows.orderBy(F.desc("d"), F.asc("sym")).limit(max(1, page) * size)
     net = F.coalesce("fbuy", F.lit(0.0)) - F.coalesce("fsell", F.lit(0.0))
-    top = top.withColumns({"net_foreign": net, "total": total, "_n": F.row_number().over(Window.orderBy(F.desc("d"), F.asc("sym")))})
+    return one_page(rows, [F.desc("d"), F.asc("sym")], page, size).withColumn("net_foreign", net)
+
+
+def one_page(rows: DataFrame, order: Sequence[Column], page: int, size: int) -> DataFrame:
+    """One page of ``rows`` in a total order, with ``total``, ``pages`` and ``page``, which is clamped to those there are."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    top = rows.orderBy(*order).limit(max(1, page) * size)
+    top = top.withColumns({"total": total, "_n": F.row_number().over(Window.orderBy(*order))})
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int")
     top = top.withColumns({"pages": pages, "page": F.least(F.lit(max(1, page)), pages)})
     return top.filter(F.ceil(F.col("_n") / size) == F.col("page")).drop("_n")

@@ -185,14 +185,27 @@ def _(t: Tables):
     return ev.decision_counts(_supplier_pred(t))
 
 
+CURVE_SQL = OUT_SQL + """, n AS (SELECT run_id, d, LEAST(GREATEST(realized_return, -0.03), 0.04) - 0.0061 AS r FROM done WHERE signal_status = 'HIGH_CONFIDENCE'),
+       g AS (SELECT run_id, d, COUNT(*) AS trades, PRODUCT(1 + r) AS f, AVG(r) AS a FROM n GROUP BY run_id, d)"""
+
+
 @query("equity_curves", "E12 W45 D17", "run_id:int d:date trades:int cumulative:6 cumulative_mean:6",
-       OUT_SQL + """, n AS (SELECT run_id, d, LEAST(GREATEST(realized_return, -0.03), 0.04) - 0.0061 AS r FROM done WHERE signal_status = 'HIGH_CONFIDENCE'),
-       g AS (SELECT run_id, d, COUNT(*) AS trades, PRODUCT(1 + r) AS f, AVG(r) AS a FROM n GROUP BY run_id, d),
-       q AS (SELECT *, PRODUCT(f) OVER (PARTITION BY run_id ORDER BY d) AS cumulative, PRODUCT(1 + a) OVER (PARTITION BY run_id ORDER BY d) AS cumulative_mean FROM g)""")
+       CURVE_SQL + ", q AS (SELECT *, PRODUCT(f) OVER (PARTITION BY run_id ORDER BY d) AS cumulative, PRODUCT(1 + a) OVER (PARTITION BY run_id ORDER BY d) AS cumulative_mean FROM g)")
 def _(t: Tables):
     # Returns are clipped because brand prices jump far more than stock prices do.
+    return ev.equity_curve(_clipped(t))
+
+
+def _clipped(t: Tables):
     clipped = F.least(F.greatest("realized_return", F.lit(-0.03)), F.lit(0.04))
-    return ev.equity_curve(_outcomes(t).withColumn("realized_return", F.when(F.col("realized_return").isNotNull(), clipped)))
+    return _outcomes(t).withColumn("realized_return", F.when(F.col("realized_return").isNotNull(), clipped))
+
+
+@query("equity_curve_stats", "E12 W45", "run_id:int sessions growth:6 max_drawdown:6 sharpe:4",
+       CURVE_SQL + """, h AS (SELECT *, PRODUCT(1 + a) OVER (PARTITION BY run_id ORDER BY d) AS c FROM g), p AS (SELECT *, c / GREATEST(MAX(c) OVER (PARTITION BY run_id ORDER BY d), 1) - 1 AS fall FROM h),
+       q AS (SELECT run_id, COUNT(*) AS sessions, arg_max(c, d) AS growth, MIN(fall) AS max_drawdown, AVG(a) / STDDEV_SAMP(a) * SQRT(252) AS sharpe FROM p GROUP BY run_id)""")
+def _(t: Tables):
+    return ev.curve_stats(ev.equity_curve(_clipped(t)))
 
 
 # ---- metrics and thresholds ---------------------------------------------------------------------------
