@@ -130,8 +130,8 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     context = None
     for k in range(ORDER):
         table = model.grams[k]
-        at = np.minimum(np.searchsorted(table, keys[k]), len(table) - 1)
-        found = (table[at] == keys[k]) & (place >= k)
+        at = np.minimum(np.searchsorted(table, keys[k]), max(len(table) - 1, 0))
+        found = (table[at] == keys[k]) & (place >= k) if len(table) else np.zeros(len(place), bool)
         if k:
             inside = np.zeros(len(place), bool)
             inside[1:] = context[1][:-1]

@@ -79,6 +79,11 @@ def test_no_labels_and_no_rows(documents):
     assert [r.lang_pred for r in language.predict_held_out(documents([(1, "hello", None), (1, "hello", None)])).collect()] == ["und"] * 2
 
 
+def test_words_too_short_for_long_grams(documents):
+    rows = [(i, "a b " * 5, "aa") for i in range(20)] + [(50, "abcdefgh", None)]
+    assert {r.lang_pred for r in language.predict_held_out(documents(rows)).collect()} == {"aa"}
+
+
 def test_annotate_keeps_columns(documents):
     docs = documents([(i, text("aa", 20, i), "aa") for i in range(40)], "clash")
     out = language.annotate(docs, language.fit(docs))

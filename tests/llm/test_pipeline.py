@@ -20,3 +20,13 @@ def test_stages_do_their_work(spark, documents, prose):
     assert all(texts[i] == rows[i][1] for i in clean) and passage in texts[102] and passage not in texts[103]
     assert seen["substring_dedup"].columns == documents([]).columns
     assert ids["packing"] == set(texts)
+
+
+def test_empty_tables_and_clashing_columns(spark, documents, prose):
+    for docs in (documents([], "clash"), documents([(1, None, None), (None, prose(5, 30), "en"), (2, prose(5, 30), "en")], "clash")):
+        before = docs.columns
+        for name, step in corpus_pipeline.STAGES[:-1]:
+            docs = stage(step(spark, docs, ""), name)
+            assert docs.columns == before
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert {str(r.doc_id) for r in packed.collect()} == {str(r.doc_id) for r in docs.collect()}
