@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, fingerprints, language, neardup, packing, substrings, urls, warc
+from . import bpe, chat, collocations, embeddings, fingerprints, hardneg, language, neardup, packing, pieces, substrings, urls, warc
 
 RANKS, TOKENIZER, TOKENIZER_RANKS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,8 +59,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
                         public_tokenizers.PATTERN, with_ids=False).drop("ids")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.phrases(_table(spark, folder, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hardneg.hard_negatives(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_url_filters, op3_byte_bpe, op4_fingerprints, op5_minhash, op6_chat_formatting, op7_warc, op8_substring_dedup, op9_embeddings, op10_packing)}
+    f.__name__: f for f in (
+        op1_language_id, op2_url_filters, op3_byte_bpe, op4_fingerprints, op5_minhash, op6_chat_formatting, op7_warc, op8_substring_dedup,
+        op9_embeddings, op10_packing, op11_collocations, op12_sentencepiece, op13_hard_negatives)}
 
 URL_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 
@@ -99,4 +114,50 @@ whole AS (
 classes AS (SELECT min(conv_id) AS conv_id, n, said, rendered, count(*) AS n_snapshots FROM whole GROUP BY n, said, rendered)
 SELECT a.conv_id, a.n AS n_turns, a.n_snapshots, a.rendered FROM classes a
 WHERE NOT EXISTS (SELECT 1 FROM classes b WHERE b.n > a.n AND b.said[1] = a.said[1] AND b.said[1:a.n] = a.said)""",
+    # Phrases of 2 to 5 words inside pieces, the lowest of their cuts, those no longer phrase explains away.
+    "op11_collocations": r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\f\r]')) AS piece FROM docs),
+said AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM said GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said),
+grams AS (SELECT lang, w[i:i + m - 1] AS g, count(*) AS f FROM starts, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+often AS (SELECT lang, g, f FROM grams WHERE f >= 100),
+cand AS (SELECT lang, g, f AS a, len(g) AS m FROM often WHERE len(g) >= 2),
+cuts AS (
+  SELECT c.lang, c.g, c.a, t.n, k, x.f AS l, y.f AS r,
+         (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cand c JOIN total t ON c.lang = t.lang, (SELECT unnest(range(1, 5)) AS k)
+  JOIN often x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN often y ON y.lang = c.lang AND y.g = c.g[k + 1:] WHERE k < c.m),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
+inside AS (
+  SELECT DISTINCT c.lang, c.g[i:i + m - 1] AS g, c.a
+  FROM cand c, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS m) WHERE m < c.m AND i + m - 1 <= c.m),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside s WHERE s.lang = b.lang AND s.g = b.g AND s.a >= b.a)),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    # Anchors against all rows: the first positives, then the first rows in each positive's window.
+    "op13_hard_negatives": """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+anchors AS (SELECT DISTINCT vec_id, label, e FROM fine WHERE vec_id % 100 = 0),
+met AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, a.e AS anchor, c.vec_id, c.label,
+         coalesce(list_sum(list_transform(list_zip(a.e, c.e), p -> p[1] * p[2])), 0)::BIGINT AS score
+  FROM anchors a JOIN fine c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e)),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, anchor_label, anchor ORDER BY score DESC, vec_id) AS nth
+                 FROM met WHERE label = anchor_label) WHERE nth <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, m.vec_id AS negative_id, m.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.anchor_label, p.anchor, p.nth ORDER BY m.score DESC, m.vec_id) AS rank
+  FROM positives p JOIN met m ON m.anchor_id = p.anchor_id AND m.anchor_label = p.anchor_label AND m.anchor = p.anchor
+  WHERE m.label <> p.anchor_label AND 30 * p.score <= 100 * m.score AND 100 * m.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10""",
 }
