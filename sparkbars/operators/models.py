@@ -35,8 +35,9 @@ def rate(hits: Column, n: Column, prefix: str) -> dict[str, Column]:
     root = F.sqrt(F.greatest(b * b - 4 * a * hits * hits / F.nullif(n.cast("double"), F.lit(0.0)), F.lit(0.0)))
     return {
         prefix: F.when(some, hits / n).otherwise(F.lit(0.0)),
-        f"{prefix}_lo": F.when(some, F.greatest((b - root) / (2 * a), F.lit(0.0))).otherwise(F.lit(0.0)),
-        f"{prefix}_hi": F.when(some, F.least((b + root) / (2 * a), F.lit(1.0))).otherwise(F.lit(1.0)),
+        # The proportion lies between its bounds; rounding must not let them cross it.
+        f"{prefix}_lo": F.when(some, F.greatest(F.least((b - root) / (2 * a), hits / n), F.lit(0.0))).otherwise(F.lit(0.0)),
+        f"{prefix}_hi": F.when(some, F.least(F.greatest((b + root) / (2 * a), hits / n), F.lit(1.0))).otherwise(F.lit(1.0)),
     }
 
 

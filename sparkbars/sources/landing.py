@@ -3,9 +3,12 @@ ledger of files already read."""
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,12 +96,69 @@ def separator_of(header: str) -> str:
     return max(SEPARATORS, key=bare.count)
 
 
-def read_bars(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]] = BAR_ALIASES, sep: str | None = None) -> DataFrame:
-    """CSV files of bars with any of the accepted headers; without ``sep`` the first file's header line tells it."""
-    if sep is None:
-        first = spark.read.text(path).limit(1).collect()
-        sep = separator_of(first[0].value if first else "")
-    return typed_bars(map_columns(spark.read.csv(path, header=True, sep=sep), aliases))
+@dataclass(frozen=True)
+class Layout:
+    """How a group of files is read: the separator, and what stands at each place (None: nothing of ours)."""
+
+    sep: str
+    places: tuple[str | None, ...]
+
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField(name or f"_unused_{i}", T.StringType()) for i, name in enumerate(self.places)])
+
+
+def layout_of(header: str, aliases: Mapping[str, Sequence[str]] = BAR_ALIASES, sep: str | None = None) -> Layout:
+    """The layout a header line tells. Of several spellings of one column the first accepted one counts; a column's
+    canonical name is accepted last; date and symbol are mandatory."""
+    header = header.removeprefix("\ufeff").rstrip("\r")
+    sep = sep or separator_of(header)
+    names = [_plain(c) for c in next(csv.reader([header], delimiter=sep), [])]
+    places: list[str | None] = [None] * len(names)
+    for name, spellings in aliases.items():
+        at = next((names.index(_plain(a)) for a in (*spellings, name) if _plain(a) in names), None)
+        if at is not None and places[at] is None:
+            places[at] = name
+    missing = [k for k in ("d", "sym") if k not in places]
+    if missing:
+        raise ValueError(f"mandatory columns not found: {missing}")
+    return Layout(sep, tuple(places))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, header)``: the first line of every file that has one. A file's first block is read by one task in
+    order, so its first line has the lowest running number there."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_block_start").alias("block"))
+    return lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+
+
+def read_bars(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]] = BAR_ALIASES, sep: str | None = None,
+              max_layouts: int = 1000) -> DataFrame:
+    """Bars of a folder of CSV files, each with its own accepted header, column order and separator.
+
+    A first pass reads the header lines; files of one layout are then read together by place, and all layouts are united
+    by name. The driver sees one line per file, as it does when it lists them. A file without a mandatory column
+    stops the import and is named, rather than being left out; files without any line hold no rows. Optional columns
+    that a layout lacks are NULL there, columns of no known name are ignored.
+    """
+    files: dict[Layout, list[str]] = {}
+    for row in headers(spark, path).toLocalIterator():
+        try:
+            layout = layout_of(row.header, aliases, sep)
+        except ValueError as e:
+            raise ValueError(f"{row.path}: {e}") from None
+        files.setdefault(layout, []).append(unquote(row.path))
+        if len(files) > max_layouts:
+            raise ValueError(f"more than {max_layouts} layouts in {path}")
+    out = None
+    for layout in sorted(files, key=lambda x: (x.sep, tuple(n or "" for n in x.places))):
+        rows = spark.read.schema(layout.schema()).csv(sorted(files[layout]), header=True, sep=layout.sep, enforceSchema=True)
+        rows = rows.select(*[n for n in layout.places if n])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in ("d", "sym")]))
+    return typed_bars(out)
 
 
 # Snapshot field of each bar column.
@@ -153,25 +213,29 @@ RECORD_KEYS = ("data", "Data", "results", "Results", "result", "Result", "aaData
 
 
 def _record_list(value) -> list[dict]:
-    """Depth-first: a list's objects; of an object, first what its record keys hold, then any other value."""
-    if isinstance(value, list):
-        return [x for x in value if isinstance(x, dict)]
-    if not isinstance(value, dict):
-        return []
-    for key in RECORD_KEYS:
-        inner = value.get(key)
-        found = _record_list(inner)
-        if found or isinstance(inner, list):
-            return found
-    return next((found for inner in value.values() if (found := _record_list(inner))), [])
+    """Depth-first, with a stack of its own since nesting is unbounded: a list's objects; of an object, first what its
+    record keys hold, then any other value. A list under a record key ends the search even if it holds no object."""
+    stack = [(value, False)]
+    while stack:
+        value, keyed = stack.pop()
+        if isinstance(value, list):
+            found = [x for x in value if isinstance(x, dict)]
+            if found or keyed:
+                return found
+        elif isinstance(value, dict):
+            inner = [(value[key], True) for key in RECORD_KEYS if key in value] + [(v, False) for k, v in value.items() if k not in RECORD_KEYS]
+            stack += reversed(inner)
+    return []
 
 
 def _records_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def records(text):
         try:
             return [json.dumps(r, ensure_ascii=False) for r in _record_list(json.loads(text))] if text else []
-        except (ValueError, RecursionError):
+        except ValueError:
             return []
+        except RecursionError:
+            raise ValueError("a payload is nested deeper than the JSON parser goes") from None
     for batch in texts:
         yield batch.map(records)
 
@@ -181,7 +245,7 @@ def extract_records(raw: DataFrame) -> DataFrame:
     it is a list, else the list that a depth-first search meets first, record keys before others.
 
     Nesting is unbounded, which column functions cannot walk: texts go through Arrow in batches. A text that is no
-    JSON has no records.
+    JSON has no records; one that nests beyond the parser (thousands of levels) stops the job rather than being lost.
     """
     walk = F.pandas_udf(_records_of, "array<string>")
     return raw.withColumn("record", F.explode(walk("payload")))

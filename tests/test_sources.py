@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbars.sources import landing, quality, store
+from sparkbars.sources.snapshots import Snapshots
 
 
 def test_csv_with_aliases(spark, tmp_path):
@@ -142,3 +143,72 @@ def test_headers_and_separators(spark, tmp_path, sep):
         (folder / "x.csv").write_text(sep.join(names.values()) + "\n" + sep.join(given.values()) + "\n")
         row = landing.read_bars(spark, str(folder)).first()
         assert [c for c in accepted if row[c] is None] == []
+
+
+def test_files_of_several_layouts(spark, tmp_path):
+    day = dt.date(2026, 1, 5)
+    (tmp_path / "a b.csv").write_text("Date,Stock Code,Close,Volume\n2026-01-05,AAAA,100,7\n2026-01-05,AAAB,101,8\n")
+    (tmp_path / "b.csv").write_text("Date,Stock Code,Volume,Close\n2026-01-05,BBBB,200,9\n")
+    (tmp_path / "c.csv").write_text("Stock_Code;note;TANGGAL;Penutupan\nCCCC;x;2026-01-05;300\n", encoding="utf-8-sig")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.csv").write_text("ticker|date|volume\r\nDDDD|2026-01-05|11\r\n")
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "f.csv").write_text("Trade Date,Code,Price,Volume,Close,Date\n2020-01-01,FFFF,1,2,3,2026-01-05\n")
+    got = {r.sym: (r.d, r.close, r.volume) for r in landing.read_bars(spark, str(tmp_path)).collect()}
+    assert got == {"AAAA": (day, 100.0, 7), "AAAB": (day, 101.0, 8), "BBBB": (day, 9.0, 200), "CCCC": (day, 300.0, None), "DDDD": (day, None, 11), "FFFF": (day, 3.0, 2)}
+    (tmp_path / "g.csv").write_text("Date,Close\n2026-01-05,1\n")
+    with pytest.raises(ValueError, match="g.csv.*sym"):
+        landing.read_bars(spark, str(tmp_path))
+
+
+def test_a_folder_of_many_files_of_one_layout_is_one_scan(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.csv").write_text(f"Date,Code,Close\n2026-01-{i + 1:02d},A{i},{i}\n")
+    df = landing.read_bars(spark, str(tmp_path))
+    assert df.count() == 12 and df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    (tmp_path / "empty").mkdir()
+    assert landing.read_bars(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_payloads_nested_beyond_the_parser_are_not_lost_silently(spark):
+    deep = '{"a": ' * 900 + '[{"code": "DEEP"}]' + "}" * 900
+    raw = spark.createDataFrame([(deep,)], "payload string")
+    assert landing.extract_records(raw).count() == 1
+    assert landing._record_list({"data": {"data": {"data": {"rows": [{"x": 1}]}}}}) == [{"x": 1}]
+
+
+class Killed(Exception):
+    pass
+
+
+def snapshot_rows(store_):
+    return sorted(tuple(r) for r in store_.read().select("d", "sym", "close").collect())
+
+
+def test_snapshot_commits_are_whole(spark, tmp_path):
+    day = lambda n: dt.date(2026, 1, n)
+    frame = lambda rows: spark.createDataFrame([(day(n), s, float(c)) for n, s, c in rows], "d date, sym string, close double")
+    table = Snapshots(spark, str(tmp_path))
+    assert table.log().count() == 0 and table.ledger().count() == 0
+    hashes = spark.createDataFrame([("h1", "a.csv")], "sha256 string, path string")
+    assert table.commit(frame([(1, "A", 1), (1, "B", 2), (2, "A", 3)]), "b1", sources=hashes)
+    before = snapshot_rows(table)
+    # Killed between the two halves: neither rows nor log row nor ledger show.
+    late = spark.createDataFrame([("h2", "b.csv")], "sha256 string, path string")
+    table.prepare(frame([(2, "A", 99), (3, "C", 4)]), "b2", late)
+    assert snapshot_rows(table) == before and table.log().count() == 2 and [r.sha256 for r in table.ledger().collect()] == ["h1"]
+    # Repeated with its final content, and once more: the same table.
+    for first in (True, False):
+        assert table.commit(frame([(2, "A", 5), (3, "C", 4)]), "b2", spark.createDataFrame([(day(4),)], "d date"), late) is first
+        assert snapshot_rows(table) == [(day(1), "A", 1.0), (day(1), "B", 2.0), (day(2), "A", 5.0), (day(3), "C", 4.0)]
+        assert [(r.d, r.batch, r.row_count) for r in table.log().orderBy("d").collect()] == [
+            (day(1), "b1", 2), (day(2), "b2", 1), (day(3), "b2", 1), (day(4), "b2", 0)]
+    assert sorted(r.sha256 for r in table.ledger().collect()) == ["h1", "h2"] and table.verify().count() == 0
+    assert [(r.batch, r.d) for r in table.obsolete().collect()] == [("b1", day(2))]
+    table.commit(frame([(5, "Z", 1)]), "b3", spark.createDataFrame([(day(1),)], "d date"))  # a date is emptied
+    assert day(1) not in {r[0] for r in snapshot_rows(table)}
+    for f in (tmp_path / "data" / "batch=b3").rglob("part-*"):
+        f.unlink()
+    for f in (tmp_path / "data" / "batch=b3").rglob(".part-*"):
+        f.unlink()
+    assert [(r.d, r.found) for r in table.verify().collect()] == [(day(5), 0)]
