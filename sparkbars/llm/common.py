@@ -52,7 +52,7 @@ def n_parts(spark: SparkSession) -> int:
 
 def bucket_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most ``n`` - 1 ascending split points of a bigint column, from one mergeable sketch."""
-    row = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 2000).alias("q")).first() if n > 1 else None
+    row = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(2000, 50 * n)).alias("q")).first() if n > 1 else None
     return sorted(set(row.q)) if row is not None and row.q else []
 
 
@@ -66,6 +66,29 @@ def bucket_of(key: str | Column, bounds: Sequence[int]) -> Column:
     return F.coalesce(F.size(F.filter(table, lambda b: b <= key)), F.lit(0))
 
 
+def cells(left: DataFrame, right: DataFrame, by: Sequence[str], per_left: int, per_right: int, left_key: str, right_key: str):
+    """Cogrouped cells in which every row of ``left`` meets every row of ``right`` that agrees with it in ``by``, each
+    pair once.
+
+    Both sides of a group are dealt over blocks by the hash of their key, as many as its counts ask for, so the size of
+    a cell is bounded whatever the group holds; a row is sent to each block of the other side of its group.
+    """
+    by = list(by)
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may come from one table
+    n_left, n_right = left.groupBy(*by).agg(F.count("*").alias("n_left")), right.groupBy(*by).agg(F.count("*").alias("n_right"))
+    sizes = stage(n_left.join(n_right, by).select(
+        *by, F.ceil(F.col("n_left") / per_left).cast("int").alias("l_blocks"), F.ceil(F.col("n_right") / per_right).cast("int").alias("r_blocks")), "sizes")
+
+    def dealt(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
+        blocks = df.join(sizes, by).withColumn(f"{own}_block", F.pmod(F.xxhash64(key), F.col(f"{own}_blocks")).cast("int"))
+        return blocks.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))).drop("l_blocks", "r_blocks")
+
+    cell, parts = [*by, "l_block", "r_block"], n_parts(left.sparkSession)
+    # The number of partitions is given: cells are small in bytes and long in work, and would be coalesced.
+    return dealt(left, "l", "r", left_key).repartition(parts, *cell).groupBy(*cell).cogroup(
+        dealt(right, "r", "l", right_key).repartition(parts, *cell).groupBy(*cell))
+
+
 class WordHashes(dict):
     """64-bit hash of each word seen; forgets everything when it is full, so memory is bounded."""
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import cells, n_parts, stage
 from .graph import components
 
 
@@ -18,16 +18,18 @@ class Plan:
     """Vectors of one label with cosine >= ``cosine`` are linked.
 
     A shard of more than ``most`` vectors is split around up to ``pivots`` of its own vectors, at least
-    ``apart`` (cosine) from each other; a vector goes to its nearest pivot and to others, ``overlap`` in all at
-    most, within ``margin`` degrees of that. A shard that is too dense to split is searched in blocks.
+    ``apart`` (cosine) from each other; a vector goes to its nearest pivot, its main shard, and to others, ``overlap`` in
+    all at most, within ``margin`` degrees of that. A part of more than half of what was split is too dense to
+    split on: it is compared in blocks of ``block`` vectors.
     """
 
     cosine: float = 0.98
-    most: int = 256
-    pivots: int = 48
+    most: int = 2048
+    pivots: int = 128
     apart: float = 0.9
     overlap: int = 3
     margin: float = 6.0
+    block: int = 2048
     degree: int = 24
     stretch: float = 1.2
     beam: int = 24
@@ -92,59 +94,59 @@ def search(x: np.ndarray, neighbours: list[np.ndarray], query: int, start: int,
 def _adjacency(plan: Plan):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["vec"].to_numpy()
-        x = matrix(pdf["embedding"])
-        lists = robust_prune(x @ x.T, plan.degree, plan.stretch)
-        return pd.DataFrame({"vec": ids, "neighbours": [ids[a].tolist() for a in lists]})
+        sims = (x := matrix(pdf["embedding"])) @ x.T
+        lists = robust_prune(sims.copy(), plan.degree, plan.stretch)
+        return pd.DataFrame({"vec": ids, "neighbours": [ids[a].tolist() for a in lists],
+                             "close": [ids[a[sims[i, a] >= plan.near]].tolist() for i, a in enumerate(lists)]})
     return run
 
 
+def roots(linked: np.ndarray) -> np.ndarray:
+    """The first row of each row's component: labels spread along links and along what they point at."""
+    low = np.arange(len(linked))
+    linked = linked | linked.T
+    busy = np.flatnonzero(linked.any(axis=1))
+    part = linked[np.ix_(busy, busy)]
+    label = np.arange(len(busy))
+    while len(busy):
+        spread = np.minimum(label, np.where(part, label[None, :], len(busy)).min(axis=1))
+        spread = spread[spread]
+        if (spread == label).all():
+            break
+        label = spread
+    low[busy] = busy[label]
+    return low
+
+
+FOUND = "vec bigint, links bigint, low bigint"
+
+
 def _found(plan: Plan):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Per member: the copies of the others it is linked to, as far as this shard counts the pair, and
-        the smallest member it hangs together with here."""
+        """Per row of a shard: for its main vectors the copies of the others they are linked to, and for all the smallest
+        row they hang together with here. The graph has the shard's vectors and those that other shards' lists
+        bring near them."""
         pdf = pdf.sort_values("vec", ignore_index=True)
-        ids, copies = pdf["vec"].to_numpy(), pdf["copies"].to_numpy()
+        ids, copies, main = pdf["vec"].to_numpy(), pdf["copies"].to_numpy(), pdf["main"].to_numpy()
         x, n = matrix(pdf["embedding"]), len(pdf)
         place = {v: i for i, v in enumerate(ids)}
-        lists = [np.array([place[v] for v in near if v in place], np.int64) for near in pdf["neighbours"]]
-        for i, near in enumerate([a.copy() for a in lists]):  # edges lead both ways
-            for j in near:
-                lists[j] = np.append(lists[j], i)
+        edges = np.array([(i, place[v]) for i, near in enumerate(pdf["neighbours"]) for v in near if v in place], np.int64).reshape(-1, 2)
+        edges = np.unique(np.concatenate([edges, edges[:, ::-1]]), axis=0)  # edges lead both ways
+        lists = np.split(edges[:, 1], np.searchsorted(edges[:, 0], np.arange(1, n)))
         medoid = int((x @ x.mean(axis=0)).argmax())
         linked = np.zeros((n, n), bool)
-        for i in range(n):
+        for i in np.flatnonzero(main):
             linked[i, search(x, lists, i, medoid, plan)] = True
         linked |= linked.T
-        low = np.arange(n)
-        for i in range(n):  # smallest member reachable, by walking each component once
-            if low[i] < i or not linked[i].any():
-                continue
-            reach, edge = np.zeros(n, bool), np.zeros(n, bool)
-            reach[i] = edge[i] = True
-            while edge.any():
-                edge = linked[edge].any(axis=0) & ~reach
-                reach |= edge
-            low[reach] = i
-        # A pair that meets in several shards is counted in the first; in blocks, a slice's own pairs in its own block.
-        shard, block = pdf["cluster"].iloc[0], pdf["block"].iloc[0]
-        homes = [set(h) for h in pdf["homes"]]
-        slices = pdf["slice"].to_numpy()
-        counts = np.zeros(n, np.int64)
-        across = len(set(slices)) > 1
-        for i in range(n):
-            js = np.flatnonzero(linked[i])
-            if across:
-                js = js[slices[js] != slices[i]]
-            counts[i] = sum(copies[j] for j in js if len(homes[i]) == 1 or min(homes[i] & homes[j]) == shard)
-        return pd.DataFrame({"vec": ids, "links": counts, "low": ids[low]})
+        return pd.DataFrame({"vec": ids, "links": np.where(main, linked @ copies, 0), "low": ids[roots(linked)]})
     return run
 
 
 def _assign(plan: Plan):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Children of one stretch of a shard: one row per vector and pivot it goes to."""
-        columns = ["vec", "copies", "embedding", "shard", "child", "alone"]
-        if not len(left) or not len(right):
+        """Parts of one stretch of a shard: one row per vector and pivot it goes to."""
+        columns = ["vec", "copies", "embedding", "shard", "main", "bound"]
+        if not len(left):
             return pd.DataFrame({c: [] for c in columns})
         right = right.sort_values("nth")
         p, kept = matrix(right["embedding"]), []
@@ -155,56 +157,78 @@ def _assign(plan: Plan):
         order = np.argsort(angles, axis=1, kind="stable")[:, :plan.overlap]
         ranked = np.take_along_axis(angles, order, axis=1)
         rows, cols = np.nonzero(ranked <= ranked[:, :1] + plan.margin)
-        out = left[["vec", "copies", "embedding", "shard"]].iloc[rows].reset_index(drop=True)
-        out["child"], out["alone"] = order[rows, cols], len(kept) == 1
+        out = left[["vec", "copies", "embedding"]].iloc[rows].reset_index(drop=True)
+        shard, main = left["shard"].to_numpy()[rows], left["main"].to_numpy()[rows]
+        out["shard"] = [f"{s}/{c}" for s, c in zip(shard, order[rows, cols])]
+        out["main"], out["bound"] = main & (cols == 0), left["size"].to_numpy()[rows] // 2
         return out[columns]
     return run
 
 
-def shards(vectors: DataFrame, plan: Plan) -> DataFrame:
-    """``(vec, copies, embedding, cluster, block, slice)``: overlapping shards of at most about ``plan.most`` vectors.
+def shards(points: DataFrame, plan: Plan) -> tuple[DataFrame | None, DataFrame | None]:
+    """``(vec, copies, embedding, shard, main)``: overlapping shards of at most ``plan.most`` vectors, and the dense ones.
 
-    Splitting a shard needs its pivots, a few of its own vectors by hash, and takes stretches of bounded size,
-    so neither a label nor a cluster ever meets in one task. Where all pivots are near each other, the
-    shard is one dense group: it is cut into slices, and each pair of slices is a block.
+    Every vector is main in one shard. Splitting a shard needs its pivots, the first of its own vectors by hash,
+    and takes stretches of bounded size, so neither a label nor a cluster ever meets in one task. What is split on is
+    at most half as large as what it came from, so there are at most log2(n) rounds; a part that stays larger is dense.
     """
-    open_, ready = vectors.select("vec", "copies", "embedding", F.xxhash64("label", F.size("embedding")).alias("shard")), None
-    columns = ["vec", "copies", "embedding", F.col("shard").alias("cluster")]
-    for level in range(20):
+    columns = ["vec", "copies", "embedding", "shard", "main"]
+    open_ = points.select("vec", "copies", "embedding", F.concat_ws(":", "label", F.size("embedding")).alias("shard"),
+                          F.lit(True).alias("main"), F.lit(None).cast("bigint").alias("bound"))
+    done: dict[str, DataFrame] = {}
+    while True:
         open_ = stage(open_, "placed")
-        sizes = stage(open_.groupBy("shard").agg(F.count("*").alias("size")), "sizes")
-        small = open_.join(sizes.where(F.col("size") <= plan.most).select("shard"), "shard").select(
-            *columns, F.lit(0).alias("block"), F.lit(0).alias("slice"))
-        ready = small if ready is None else ready.unionByName(small)
-        large = sizes.where(F.col("size") > plan.most)
-        if large.isEmpty():
-            return ready
-        draw = F.xxhash64("vec", F.lit(level))
-        wide = open_.join(large, "shard")
-        n_pivots = F.least(F.lit(plan.pivots), F.ceil(2 * F.col("size") / plan.most) + 1)
-        # About twice the pivots wanted pass the draw; of these the first by hash are taken.
-        drawn = wide.where(F.pmod(draw, F.lit(1 << 20)) < F.greatest(4 * n_pivots / F.col("size"), F.lit(0.0)) * (1 << 20))
-        pivots = stage(drawn.groupBy("shard", F.pmod(draw, F.col("size")).alias("slot")).agg(
-            F.min_by("embedding", draw).alias("embedding"), F.first("size").alias("size")).select(
-            "shard", "slot", "embedding", n_pivots.alias("wanted")), "pivots")
-        nth = F.row_number().over(Window.partitionBy("shard").orderBy("slot"))
-        pivots = pivots.withColumn("nth", nth).where("nth <= wanted").select("shard", "nth", "embedding")
-        stretches = F.ceil(F.col("size") / 256).cast("int")
-        left = wide.withColumn("salt", F.pmod(F.xxhash64("vec", F.lit(-1)), stretches).cast("int")).drop("size")
-        right = stage(pivots.join(large, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), stretches - 1))).select(
-            "shard", "salt", "nth", "embedding"), "pivots")
-        children = stage(left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(
-            _assign(plan), "vec bigint, copies bigint, embedding array<float>, shard bigint, child int, alone boolean"), "children")
-        # No pivots at all (an unlucky draw) or a single one: a dense group.
-        dense = children.where("alone").join(large, "shard")
-        slices = F.ceil(F.col("size") / (plan.most // 2)).cast("int")
-        sliced = dense.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("vec", F.lit(-2)), F.col("slices")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-        blocks = sliced.withColumn("other", other).select(
-            *columns, (F.least("slice", "other") * F.col("slices") + F.greatest("slice", "other") + 1).cast("int").alias("block"), "slice")
-        ready = ready.unionByName(blocks)
-        open_ = children.where("not alone").select("vec", "copies", "embedding", F.xxhash64("shard", "child").alias("shard"))
-    raise RuntimeError("a shard was split twenty times and is still too large")
+        sizes = stage(open_.groupBy("shard").agg(F.count("*").alias("size"), F.first("bound").alias("bound")).select(
+            "shard", "size", F.when(F.col("size") <= plan.most, "flat").when(F.col("size") > F.col("bound"), "dense").otherwise("split").alias("kind")), "sizes")
+        kinds = {r.kind for r in sizes.select("kind").distinct().collect()}
+        sized = open_.drop("bound").join(sizes, "shard")
+        for kind in kinds - {"split"}:
+            part = sized.where(F.col("kind") == kind).select(*columns)
+            done[kind] = done[kind].unionByName(part) if kind in done else part
+        if "split" not in kinds:
+            return done.get("flat"), done.get("dense")
+        wide = sized.where("kind = 'split'").drop("kind")
+        wanted = F.least(F.lit(plan.pivots), F.ceil(4 * F.col("size") / plan.most) + 1)
+        nth = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("vec", F.lit(3)), "vec"))
+        pivots = stage(wide.withColumn("nth", nth).where(F.col("nth") <= plan.pivots).where(F.col("nth") <= wanted).select(
+            "shard", "nth", "embedding", "size"), "pivots")
+        stretches = F.ceil(F.col("size") / 4096).cast("int")
+        left = wide.withColumn("salt", F.pmod(F.xxhash64("vec", F.lit(-1)), stretches).cast("int"))
+        right = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), stretches - 1))).select("shard", "salt", "nth", "embedding")
+        open_ = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(
+            _assign(plan), "vec bigint, copies bigint, embedding array<float>, shard string, main boolean, bound bigint")
+
+
+def _block(plan: Plan):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Links of the left rows to the right ones, and what hangs together with what here."""
+        if not len(left) or not len(right):
+            return pd.DataFrame({"vec": [], "links": [], "low": []}, dtype=np.int64)
+        a, b = left["vec"].to_numpy(), right["vec"].to_numpy()
+        hit = (matrix(left["embedding"]) @ matrix(right["embedding"]).T >= plan.cosine) & (a[:, None] != b)
+        ids = np.union1d(a, b)
+        at_a, at_b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        # Each side's smallest partner ties a row to a component; rounds of this tie all of it.
+        low = np.arange(len(ids))
+        while True:
+            before = low.copy()
+            np.minimum.at(low, at_a, np.where(hit, low[at_b][None, :], len(ids)).min(axis=1))
+            np.minimum.at(low, at_b, np.where(hit, low[at_a][:, None], len(ids)).min(axis=0))
+            low = low[low]
+            if (low == before).all():
+                break
+        links = np.zeros(len(ids), np.int64)
+        links[at_a] = hit @ right["copies"].to_numpy()
+        return pd.DataFrame({"vec": ids, "links": links, "low": ids[low]})
+    return run
+
+
+def block_links(placed: DataFrame, plan: Plan) -> DataFrame:
+    """``(vec, links, low)`` of the main rows of shards, each compared with all rows of its shard, block by block: exact
+    and quadratic in work, and a row is sent once per block of its shard."""
+    rows = placed.select("vec", "copies", "embedding", "shard")
+    return cells(placed.where("main").select("vec", "embedding", "shard"), rows, ["shard"], plan.block, plan.block, "vec", "vec").applyInPandas(
+        _block(plan), FOUND)
 
 
 def usable() -> Column:
@@ -214,14 +238,28 @@ def usable() -> Column:
     return F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def search_links(vectors: DataFrame, plan: Plan) -> DataFrame:
-    """``(vec, links, low)`` rows of all shards: partial link counts, and the members' local components."""
-    placed = stage(shards(vectors, plan), "shards")
-    homes = placed.groupBy("vec").agg(F.collect_set("cluster").alias("homes"))
-    graph = placed.groupBy("cluster", "block").applyInPandas(_adjacency(plan), "vec bigint, neighbours array<bigint>")
-    united = graph.groupBy("vec").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
-    members = placed.join(homes.join(united, "vec"), "vec")
-    return stage(members.groupBy("cluster", "block").applyInPandas(_found(plan), "vec bigint, links bigint, low bigint"), "found")
+def graph_links(flat: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
+    """``(vec, links, low)`` by searching the united graph: a shard's task holds its vectors, the vectors that lists of
+    other shards call near to its main ones, and of all of them the united lists."""
+    lists = flat.groupBy("shard").applyInPandas(_adjacency(plan), "vec bigint, neighbours array<bigint>, close array<bigint>")
+    united = stage(lists.groupBy("vec").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"),
+                                            F.array_distinct(F.flatten(F.collect_list("close"))).alias("close")), "united")
+    called = flat.where("main").join(united, "vec").select("shard", F.explode("close").alias("vec")).distinct()
+    halo = called.join(flat.select("shard", "vec"), ["shard", "vec"], "left_anti").join(points.select("vec", "copies", "embedding"), "vec").select(
+        "vec", "copies", "embedding", "shard", F.lit(False).alias("main"))
+    members = flat.unionByName(halo).join(united.select("vec", "neighbours"), "vec")
+    return members.repartition(n_parts(points.sparkSession), "shard").groupBy("shard").applyInPandas(_found(plan), FOUND)
+
+
+def search_links(points: DataFrame, plan: Plan) -> DataFrame:
+    """``(vec, links, low)`` rows of all shards: link counts, and edges to local components."""
+    flat, dense = shards(points, plan)
+    parts = [] if flat is None else [graph_links(stage(flat, "flat"), points, plan)]
+    parts += [] if dense is None else [block_links(stage(dense, "dense"), plan)]
+    found = parts[0] if parts else points.select("vec", F.lit(0).cast("bigint").alias("links"), F.col("vec").alias("low")).limit(0)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return stage(found, "found")
 
 
 def audit(vectors: DataFrame, counted: DataFrame, plan: Plan) -> float:
@@ -258,17 +296,17 @@ def near_duplicates(embeddings: DataFrame, plan: Plan = Plan()) -> DataFrame:
     point of the graph with their number as weight, so copies cost nothing. A vec_id names one vector.
     Extra columns are ignored; an empty table gives no rows.
 
-    The result's recall is audited on a bounded sample of queries; below ``plan.recall`` the shards are built
-    again with twice the overlap and margin.
+    The result's recall is audited on a bounded sample of queries; below ``plan.recall`` all vectors of a label are
+    compared in blocks instead, which is exact.
     """
     rows = embeddings.where(usable()).select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"))
     points = stage(rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies")), "points")
-    while True:
-        found = search_links(points, plan)
+    found = search_links(points, plan)
+    counted = found.groupBy("vec").agg(F.sum("links").alias("links"))
+    if audit(points, counted, plan) < plan.recall:
+        whole = points.select("vec", "copies", "embedding", F.concat_ws(":", "label", F.size("embedding")).alias("shard"), F.lit(True).alias("main"))
+        found = stage(block_links(whole, plan), "found")
         counted = found.groupBy("vec").agg(F.sum("links").alias("links"))
-        if audit(points, counted, plan) >= plan.recall or plan.overlap >= plan.pivots:
-            break
-        plan = Plan(**{**plan.__dict__, "overlap": 2 * plan.overlap, "margin": 2 * plan.margin, "beam": 2 * plan.beam})
     classes = components(found.where("low <> vec").select(F.col("vec").alias("u"), F.col("low").alias("v")))
     judged = points.join(counted, "vec", "left").join(classes.select(F.col("node").alias("vec"), "component"), "vec", "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
