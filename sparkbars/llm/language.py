@@ -7,8 +7,12 @@ over its words, so a word is scored once per worker and looked up afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +27,9 @@ from .common import in_small_batches, mixed
 ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
+#: The same runs in texts below U+0250, for which the standard library is faster.
+LATIN = re.compile("[" + "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L") + "]+")
+BEYOND, SPACES = re.compile("[\u0250-\U0010ffff]"), re.compile(r"\s")
 #: Texts are cut at white space into stretches of this many characters, and words longer than LONG aren't remembered.
 STRETCH, LONG = 1 << 20, 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -150,6 +157,12 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    text = text.lower()
+    return (LETTERS if not text.isascii() and BEYOND.search(text) else LATIN).findall(text)
+
+
 class Scorer:
     """Scores of the words met, in one table that starts anew when it is full."""
 
@@ -159,61 +172,68 @@ class Scorer:
         self.table = np.zeros((0, len(model.languages) + 1), np.float32)
         self.used = 0
 
-    def _fresh(self, tokens: list[str]) -> np.ndarray:
-        words, owner = [], []
-        for i, token in enumerate(tokens):
-            found = LETTERS.findall(token.lower())
-            words += found
-            owner += [i] * len(found)
-        out = np.zeros((len(tokens), self.table.shape[1]))
-        np.add.at(out, owner, word_scores(self.model, words))
-        return out
-
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.row) + len(tokens) > self.most:
-            self.row, self.used = {}, 0
-        fresh = list(tokens)
-        end = self.used + len(fresh)
+    def _learn(self, words: list[str]) -> None:
+        end = self.used + len(words)
         if end > len(self.table):
             grown = np.zeros((max(2 * len(self.table), end), self.table.shape[1]), np.float32)
             grown[:self.used] = self.table[:self.used]
             self.table = grown
-        for start in range(0, len(fresh), 50_000):
-            some = fresh[start:start + 50_000]
-            self.table[self.used:self.used + len(some)] = self._fresh(some)
+        for start in range(0, len(words), 50_000):
+            some = words[start:start + 50_000]
+            self.table[self.used:self.used + len(some)] = word_scores(self.model, some)
             self.row.update(zip(some, range(self.used, self.used + len(some))))
             self.used += len(some)
 
-    def _stretch(self, text: str) -> np.ndarray:
-        tokens = text.split()
-        if len(text) > LONG * len(tokens):
-            long = [t for t in tokens if len(t) > LONG]
-            tokens = [t for t in tokens if len(t) <= LONG]
-            rest = self._fresh(long).sum(axis=0) if long else 0
-        else:
-            rest = 0
-        unknown = set(tokens).difference(self.row)
-        if unknown:
-            before = len(self.row)
-            self._learn(unknown)
-            if len(self.row) < before + len(unknown):  # it started anew
-                self._learn(set(tokens).difference(self.row))
-        at = np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
-        return self.table[at].sum(axis=0, dtype=np.float64) + rest
+    def _add(self, out: np.ndarray, owners: list[int], lists: list[list[str]]) -> None:
+        """Adds the scores of lists of words to their owners' rows; what is new in all of them is scored at once."""
+        distinct = set().union(*lists)
+        long = [w for w in distinct if len(w) > LONG]  # never remembered
+        if long:
+            alone = dict(zip(long, word_scores(self.model, long)))
+            for owner, words in zip(owners, lists):
+                for word in words:
+                    if len(word) > LONG:
+                        out[owner] += alone[word]
+            lists = [[w for w in words if len(w) <= LONG] for words in lists]
+            distinct.difference_update(long)
+        fresh = distinct.difference(self.row)
+        if len(self.row) + len(fresh) > self.most:
+            self.row, self.used, fresh = {}, 0, distinct
+        self._learn(list(fresh))
+        for start in range(0, len(lists), 4096):
+            some = [(o, words) for o, words in zip(owners[start:start + 4096], lists[start:start + 4096]) if words]
+            if some:
+                sizes = np.array([len(words) for _, words in some])
+                at = np.fromiter(map(self.row.__getitem__, chain.from_iterable(words for _, words in some)), np.int64, int(sizes.sum()))
+                sums = np.add.reduceat(self.table[at], np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+                np.add.at(out, [o for o, _ in some], sums)
+
+    def score_all(self, texts: Iterable[str], n: int, at_once: int = 300_000) -> np.ndarray:
+        """For each of ``n`` texts the sum over the whole text of ``word_scores``."""
+        out = np.zeros((n, self.table.shape[1]))
+        owners: list[int] = []
+        lists: list[list[str]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            start = 0
+            while start < len(text):
+                end = start + STRETCH
+                if end < len(text):
+                    gap = SPACES.search(text, end)
+                    end = gap.start() if gap else len(text)
+                owners.append(i)
+                lists.append(words_of(text[start:end]))
+                held += len(lists[-1])
+                start = end
+                if held >= at_once:
+                    self._add(out, owners, lists)
+                    owners, lists, held = [], [], 0
+        if lists:
+            self._add(out, owners, lists)
+        return out
 
     def score(self, text: str) -> np.ndarray:
-        """Sum over the whole text of ``word_scores``."""
-        if len(text) <= STRETCH:
-            return self._stretch(text)
-        total, start = np.zeros(self.table.shape[1]), 0
-        while start < len(text):
-            end = start + STRETCH
-            if end < len(text):
-                gap = regex.compile(r"\s").search(text, end)
-                end = gap.start() if gap else len(text)
-            total += self._stretch(text[start:end])
-            start = end
-        return total
+        return self.score_all([text], 1)[0]
 
 
 def judged(model: Model, sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -235,37 +255,70 @@ def judged(model: Model, sums: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _labelled_sample(documents: DataFrame, max_rows: int, max_chars: int, max_languages: int) -> DataFrame:
-    """Per language the rows first by hash: up to ``max_rows`` rows and ``max_chars`` characters in total, texts
-    of up to ``max_chars`` / 10. Rates come from counts of all rows, so no task sorts a language's every text."""
-    rows = documents.where("text is not null and lang is not null").select("text", "lang").withColumn("n", F.length("text")).where(
-        F.col("n") <= max_chars // 10).withColumn("draw", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)))
-    totals = documents.where("text is not null and lang is not null").groupBy("lang").count().limit(max_languages + 1).collect()
+    """Per language the distinct texts first by hash: up to ``max_rows`` of them and ``max_chars`` characters in total,
+    of up to ``max_chars`` / 10 each. Rates come from estimated numbers of distinct texts of all rows, so copies count
+    once, and no task sorts a language's every text."""
+    labelled = documents.where("text is not null and lang is not null").select("text", "lang")
+    rows = labelled.withColumn("n", F.length("text")).where(F.col("n") <= max_chars // 10).withColumn(
+        "draw", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)))
+    totals = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(max_languages + 1).collect()
     if len(totals) > max_languages:
         raise ValueError(f"more than {max_languages} languages are labelled")
     keep = F.lit(False)
     for lang, count in totals:
         keep = keep | ((F.col("lang") == lang) & (F.col("draw") < int(min(1.0, 2.0 * max_rows / count) * (1 << 30))))
     order = Window.partitionBy("lang").orderBy("draw", "text")
-    return rows.where(keep).withColumn("k", F.row_number().over(order)).withColumn("chars", F.sum("n").over(
+    return rows.where(keep).distinct().withColumn("k", F.row_number().over(order)).withColumn("chars", F.sum("n").over(
         order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("k") <= max_rows) & (F.col("chars") <= max_chars))
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, group in pdf.groupby("lang"):
-            words = pd.Series([w for t in group["text"] for w in LETTERS.findall(t.lower())], dtype=object)
+            words = pd.Series([w for t in group["text"] for w in words_of(t)], dtype=object)
             found = words.value_counts()
             yield pd.DataFrame({"lang": lang, "word": found.index.astype(object), "n": found.to_numpy()})
 
 
+def _shuffled(text: str) -> str:
+    """The text with the letters of each word in another order: no language, but its letters."""
+    rng = random.Random(len(text))
+    return " ".join("".join(rng.sample(w, len(w))) for w in words_of(text))
+
+
+def _distances(shipped):
+    """How far calibration texts are from languages: their own, others (up to 8, in turn), and, shuffled, their own."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shipped.value
+        scorer, number = Scorer(model), {language: j for j, language in enumerate(model.languages)}
+        for pdf in batches:
+            pdf = pdf[pdf["lang"].isin(number)]
+            plain = scorer.score_all(pdf["text"], len(pdf))
+            mixed_up = scorer.score_all(map(_shuffled, pdf["text"]), len(pdf))
+            rows = []
+            for language, sums, other in zip(pdf["lang"], plain, mixed_up):
+                n, own = sums[-1], number[language]
+                if not n:
+                    continue
+                rows.append((own, "own" if sums[:-1].argmax() == own else "missed", n, -sums[own] / n))
+                rows.append((own, "shuffled", n, -other[own] / max(other[-1], 1)))
+                for step in range(min(8, len(number) - 1)):
+                    j = (own + 1 + (int(n) + step) % (len(number) - 1)) % len(number)
+                    rows.append((j, "foreign", n, -sums[j] / n))
+            yield pd.DataFrame(rows, columns=["language", "kind", "n", "entropy"])
+    return run
+
+
 def fit(documents: DataFrame, max_rows: int = 1500, max_chars: int = 2_000_000, max_languages: int = 256,
-        usual_share: float = 0.999, slack: float = 6.0) -> Model:
+        usual_share: float = 0.999, room: float = 1.25) -> Model:
     """Learn from the ``text`` and ``lang`` of labelled rows (nulls in either are skipped).
 
-    The models are fitted on a bounded sample: per language at most ``max_rows`` texts of at most ``max_chars``
+    The models are fitted on a bounded sample: per language at most ``max_rows`` distinct texts of at most ``max_chars``
     characters together (the bound of everything that reaches the driver); four fifths of it train, one fifth
-    calibrates the rejection: a text goes if its cross-entropy is ``slack`` times farther from the language's usual one
-    than that of ``usual_share`` of the correct texts, so that numbers, keys or a few foreign sentences reject none. No labelled row with a letter: no languages, and every text is undetermined.
+    calibrates the rejection. A text goes if its cross-entropy is farther from the language's usual one than halfway from
+    that of ``usual_share`` of the language's own texts to that of the middle text of other languages or of shuffled
+    letters, whichever is nearer; but never within ``room`` times the former. No labelled row with a letter: no
+    languages, and every text is undetermined.
     """
     sample = _labelled_sample(documents, max_rows, max_chars, max_languages).withColumn("calibrates", F.col("k") % 5 == 0).select(
         "text", "lang", "calibrates")
@@ -275,18 +328,25 @@ def fit(documents: DataFrame, max_rows: int = 1500, max_chars: int = 2_000_000,
     if not counts:
         return Model([], [], [], [], 1.0)
     model = train(counts)
-    held = annotate(sample.where("calibrates"), model).select("lang", "lang_pred", "cross_entropy", "n_symbols").toPandas()
+    shipped = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
+    measured = sample.where("calibrates").select("text", "lang").mapInPandas(
+        _distances(shipped), "language int, kind string, n double, entropy double").toPandas()
     limits = np.zeros((len(model.languages), 3))
-    for j, language in enumerate(model.languages):
-        own = held[(held["lang"] == language) & (held["lang_pred"] == language)]
-        if len(own) < 20:
+    for j in range(len(model.languages)):
+        mine = measured[measured["language"] == j]
+        weight = np.sqrt(np.minimum(mine["n"].to_numpy(float), 64))
+        entropy, kind = mine["entropy"].to_numpy(float), mine["kind"].to_numpy()
+        own = kind == "own"
+        if own.sum() < 20:
             limits[j] = np.log(1 / model.uniform), 1, 3  # too few to say what is usual: only what no letter of it fits goes
             continue
-        n = np.minimum(own["n_symbols"].to_numpy(float), 64)
-        usual = np.average(own["cross_entropy"], weights=n)
-        apart = (own["cross_entropy"].to_numpy() - usual) * np.sqrt(n)
-        spread = max(float(np.sqrt(np.mean(apart ** 2))), 0.2)
-        limits[j] = usual, spread, slack * max(float(np.quantile(apart / spread, usual_share)), 2.0)
+        usual = np.average(entropy[own], weights=weight[own] ** 2)
+        apart = (entropy - usual) * weight
+        spread = max(float(np.sqrt(np.mean(apart[own] ** 2))), 0.2)
+        apart /= spread
+        far = max(float(np.quantile(apart[own], usual_share)), 2.0)
+        strange = min((float(np.median(apart[kind == k])) for k in ("foreign", "shuffled") if (kind == k).any()), default=far)
+        limits[j] = usual, spread, max((far + strange) / 2, room * far)
     model.limits = limits
     return model
 
@@ -314,7 +374,7 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
         scorer, names = Scorer(model), [*model.languages, UNDETERMINED]
         for batch in batches:
             if model.languages:
-                sums = np.array([scorer.score(t.as_py() or "") for t in batch.column(column)]).reshape(batch.num_rows, -1)
+                sums = scorer.score_all((t.as_py() or "" for t in batch.column(column)), batch.num_rows)
             else:
                 sums = np.zeros((batch.num_rows, 2))
             best, score, entropy, rejected = judged(model, sums) if model.languages and len(sums) else (
