@@ -22,31 +22,42 @@ DIMS, BITS = 4, 6
 FIRST_OTHER = 0x558
 
 
+def byte_characters() -> dict[str, int]:
+    """The characters that stand for bytes in the files of byte-level tokenizers: a printable byte of Latin-1 for itself,
+    the others in turn from U+0100 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of a tokenizer file. With a rank file of the same vocabulary and the pattern that splits its texts, they
-    are worked out from the ranks, which takes half the time; but texts with characters on whose class
-    Unicode versions differ always go to the tokenizer itself."""
+    """Ids of a tokenizer file, as the library gives them without settings. With a rank file of the same vocabulary and
+    the pattern that splits its texts, they are worked out from the ranks, which takes half the time; but texts that hold
+    a special token's literal, or characters on whose class Unicode versions differ, always go to the tokenizer itself."""
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.fast = None
-        self.other = re.compile(f"[\\U{FIRST_OTHER:08x}-\\U0010ffff]")
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join([f"[\\U{FIRST_OTHER:08x}-\\U0010ffff]", *special]))
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            vocabulary = self.tokenizer.get_vocab_size()
-            if not len(table) <= vocabulary <= len(table) + 1:
+            byte_of = byte_characters()
+            known = self.tokenizer.get_vocab(with_added_tokens=False)
+            added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            plain = {t: i for t, i in known.items() if t not in added}
+            if any(c not in byte_of for t in plain for c in t) or {bytes(byte_of[c] for c in t): i for t, i in plain.items()} != table:
                 raise ValueError("the rank file has another vocabulary")
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or not text.isascii() and self.other.search(text):
+        if self.fast is None or self.other.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)

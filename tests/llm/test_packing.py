@@ -12,9 +12,7 @@ PATH, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_hilbert_neighbours():
@@ -27,7 +25,7 @@ def test_hilbert_neighbours():
 
 
 def test_pieces_are_the_documents(documents, library, prose):
-    rows = [(i, prose(i % 20, 10 + 7 * i)) for i in range(150)] + [(500, None), (501, ""), (502, " lead  and\n \n trail "), (503, "漢字 😀 ߷ it's"), (504, prose(3, 30_000)), (7, "again"), (None, "no id")]
+    rows = [(i, prose(i % 20, 10 + 7 * i)) for i in range(150)] + [(500, None), (501, ""), (502, " lead  and\n \n trail "), (505, "a <|endoftext|> b<|endoftext|>"), (503, "漢字 😀 ߷ it's"), (504, prose(3, 30_000)), (7, "again"), (None, "no id")]
     for size in (2048, 64):
         got = [r.asDict() for r in packing.pack(documents(rows, "clash"), PATH, RANKS, public_tokenizers.PATTERN, size=size).collect()]
         want = sorted((str(i), library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows)
