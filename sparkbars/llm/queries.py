@@ -119,7 +119,7 @@ WHERE NOT EXISTS (SELECT 1 FROM classes b WHERE b.n > a.n AND b.said[1] = a.said
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\f\r]')) AS piece FROM docs),
-said AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces),
+said AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
 total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM said GROUP BY lang),
 starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said),
 grams AS (SELECT lang, w[i:i + m - 1] AS g, count(*) AS f FROM starts, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
@@ -143,13 +143,13 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE
     "op13_hard_negatives": """
 WITH fine AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
-         list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 anchors AS (SELECT DISTINCT vec_id, label, e FROM fine WHERE vec_id % 100 = 0),
 met AS (
   SELECT a.vec_id AS anchor_id, a.label AS anchor_label, a.e AS anchor, c.vec_id, c.label,
-         coalesce(list_sum(list_transform(list_zip(a.e, c.e), p -> p[1] * p[2])), 0)::BIGINT AS score
+         coalesce(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])), 0)::BIGINT AS score
   FROM anchors a JOIN fine c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e)),
 positives AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, anchor_label, anchor ORDER BY score DESC, vec_id) AS nth
