@@ -46,6 +46,28 @@ def mature(preds: DataFrame, bars: DataFrame) -> DataFrame:
         "outcome_status": F.when(ret.isNull(), "PENDING").when(hit, "HIT").otherwise("MISS")})
 
 
+def zone_outcomes(preds: DataFrame, bars: DataFrame) -> DataFrame:
+    """Outcome of predictions whose entry holds only if the next session's open lies in ``[zone_low, zone_high]``.
+
+    ``zone_status`` is EXPIRED when that open lies outside, HIT or MISS by the close of the symbol's ``horizon_days``-th
+    session after the prediction, and PENDING while neither is known; ``decided_on`` is the session that tells, and
+    ``realized_return`` is of trades that were entered and are closed. A missing bound or open leaves the entry open. Both
+    sessions are found by number, so these are two equality joins on (symbol, number)."""
+    rows = bars.filter((num("volume") > 0) & F.col("close").isNotNull())
+    traded = rows.select("sym", "d", "open", "close", F.row_number().over(Window.partitionBy("sym").orderBy("d")).alias("k"))
+    df = _numbered(preds, traded).withColumns({"_next": F.col("_k0") + 1, "_last": F.col("_k0") + F.col("horizon_days")})
+    df = df.join(traded.select("sym", F.col("k").alias("_next"), F.col("open").alias("next_open"), F.col("d").alias("_next_d")), ["sym", "_next"], "left")
+    df = df.join(traded.select("sym", F.col("k").alias("_last"), F.col("close").alias("_exit"), F.col("d").alias("_exit_d")), ["sym", "_last"], "left")
+    outside = F.coalesce((F.col("next_open") < F.col("zone_low")) | (F.col("next_open") > F.col("zone_high")), F.lit(False))
+    ret = F.when(~outside & (F.col("entry_price") > 0), F.col("_exit") / F.col("entry_price") - 1)
+    hit = ret >= F.coalesce("expected_upside", F.lit(0.02))
+    return df.withColumns({
+        "realized_return": ret,
+        "zone_status": F.when(outside, "EXPIRED").when(hit, "HIT").when(ret.isNotNull(), "MISS").otherwise("PENDING"),
+        "decided_on": F.when(outside, F.col("_next_d")).when(ret.isNotNull(), F.col("_exit_d")),
+    }).drop("_next", "_last", "_k0", "_next_d", "_exit", "_exit_d")
+
+
 def pending_progress(preds: DataFrame, bars: DataFrame) -> DataFrame:
     """Sessions elapsed (at most the horizon), running return and state of open predictions. This
     never writes an outcome."""

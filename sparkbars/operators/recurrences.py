@@ -116,12 +116,47 @@ def adx(b: pd.DataFrame, n: int = 14) -> pd.Series:
     return out
 
 
+def sar(b: pd.DataFrame, start: float = 0.02, step: float = 0.02, top: float = 0.2, rule: str = "close") -> pd.DataFrame:
+    """Parabolic stop and reverse: ``sar`` and ``trend`` (1 long, -1 short), from the second bar on.
+
+    The state is a mode (direction), its extreme and its acceleration. A bar that reaches the stop flips the direction: the
+    stop becomes the extreme of the closed trade, moved out of the last two bars, and the acceleration starts anew; a new
+    extreme raises it by ``step`` up to ``top``. A stop never enters the two bars before. The first direction is long if the
+    second close is not below the first (``rule="close"``), or unless the second bar's low moved further down than its high
+    moved up (``rule="moves"``). A bar without high or low is passed over: it has the values of the bar before.
+    """
+    if rule not in ("close", "moves"):
+        raise ValueError(f"no start rule {rule!r}")
+    high, low, close = (b[c].to_numpy(float) for c in ("high", "low", "close"))
+    stop, trend = np.full(len(b), np.nan), np.full(len(b), np.nan)
+    usable = np.flatnonzero(~(np.isnan(high) | np.isnan(low) | np.isnan(close)))
+    if len(usable) >= 2:
+        h, l, c = (x[usable].tolist() for x in (high, low, close))
+        up = c[1] >= c[0] if rule == "close" else not (l[0] - l[1] > max(h[1] - h[0], 0.0))
+        s, extreme, speed = (l[0], max(h[0], h[1]), start) if up else (h[0], min(l[0], l[1]), start)
+        stop[usable[1]], trend[usable[1]] = s, 1.0 if up else -1.0
+        for i in range(2, len(h)):
+            s = s + speed * (extreme - s)
+            s = min(s, l[i - 1], l[i - 2]) if up else max(s, h[i - 1], h[i - 2])
+            if l[i] < s if up else h[i] > s:
+                s = max(extreme, h[i], h[i - 1]) if up else min(extreme, l[i], l[i - 1])
+                up, extreme, speed = not up, l[i] if up else h[i], start
+            elif h[i] > extreme if up else l[i] < extreme:
+                extreme, speed = h[i] if up else l[i], min(speed + step, top)
+            stop[usable[i]], trend[usable[i]] = s, 1.0 if up else -1.0
+        out = pd.DataFrame({"sar": stop, "trend": trend}, index=b.index)
+        return out.ffill()
+    return pd.DataFrame({"sar": stop, "trend": trend}, index=b.index)
+
+
+#: Kinds of several columns: name_part for each part.
+PARTS = {"macd": ("line", "signal", "hist"), "sar": ("sar", "trend")}
 KINDS = {
     "ema": ema, "ema_sma": ema_sma, "rsi_ewm": rsi_ewm, "rsi_wilder": rsi_wilder,
     "atr_ewm": atr_ewm, "atr_wilder": atr_wilder, "adx": adx,
 }
 
-# A requested column: (name, kind, arguments). MACD gives name_line, name_signal and name_hist.
+# A requested column: (name, kind, arguments). MACD gives name_line, name_signal and name_hist, SAR name_sar and name_trend.
 Request = tuple[str, str, dict]
 
 
@@ -130,7 +165,7 @@ def with_recurrences(df: DataFrame, wanted: Sequence[Request], price: str = "clo
     """The frame with all requested recurrences, computed in one grouped map."""
     names: list[str] = []
     for name, kind, _ in wanted:
-        names += [f"{name}_{part}" for part in ("line", "signal", "hist")] if kind == "macd" else [name]
+        names += [f"{name}_{part}" for part in PARTS[kind]] if kind in PARTS else [name]
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
 
     def per_symbol(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,8 +175,8 @@ def with_recurrences(df: DataFrame, wanted: Sequence[Request], price: str = "clo
         })
         new: dict[str, pd.Series] = {}
         for name, kind, args in wanted:
-            if kind == "macd":
-                for part, values in macd(bars, **args).items():
+            if kind in PARTS:
+                for part, values in {"macd": macd, "sar": sar}[kind](bars, **args).items():
                     new[f"{name}_{part}"] = values
             else:
                 new[name] = KINDS[kind](bars, **args)

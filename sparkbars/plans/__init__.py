@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "reports", "learning", "outcomes")
+FAMILIES = ("indicators", "screens", "reports", "learning", "outcomes", "intake", "patterns")
 
 
 def catalogue():

@@ -2,7 +2,7 @@
 
 Layout under one path::
 
-    data/batch=.../d=.../part-*      rows of a batch, one folder per date
+    data/batch=.../part-*            rows of a batch, ranged and sorted by date
     sources/batch=.../part-*         content hashes of the files a batch was read from
     manifest/part-*                  one file per commit: a row per date it replaces
 
@@ -50,24 +50,22 @@ class Snapshots:
         return sources.join(self.manifest().select("batch").distinct(), "batch", "left_semi").select("sha256", "path", "batch")
 
     def read(self) -> DataFrame:
-        """The rows of every date as its newest commit has them; folders of other batches are not even listed as
-        partitions to scan, since batch and d are partition columns."""
+        """The rows of every date as its newest commit has them. The batch is a partition column, so folders without a
+        current date are pruned at run time; files are sorted by date."""
         current = self.log().where("row_count > 0").select("batch", "d")
-        rows = self.spark.read.option("recursiveFileLookup", "false").parquet(f"{self.path}/data")
-        rows = rows.withColumns({"batch": F.col("batch").cast("string"), "d": F.col("d").cast("date")})
+        rows = self.spark.read.parquet(f"{self.path}/data").withColumn("batch", F.col("batch").cast("string"))
         return rows.join(current, ["batch", "d"], "left_semi").drop("batch")
 
     def prepare(self, df: DataFrame, batch: str, sources: DataFrame | None = None) -> None:
         """The first half of a commit: data and sources of an unpublished batch. Repeating it replaces them."""
-        df.withColumn("_d", F.col("d").cast("string")).drop("d").withColumnRenamed("_d", "d").repartition("d").write.mode("overwrite").partitionBy(
-            "d").parquet(f"{self.path}/data/batch={batch}")
+        df.repartitionByRange("d").sortWithinPartitions("d").write.mode("overwrite").parquet(f"{self.path}/data/batch={batch}")
         if sources is not None:
             sources.select("sha256", "path").write.mode("overwrite").parquet(f"{self.path}/sources/batch={batch}")
 
     def publish(self, batch: str, dates: DataFrame | None = None) -> None:
         """The second half: counts and hashes of what has been written, as one manifest file. ``dates(d)`` adds dates the
         batch empties or finds empty, such as holidays."""
-        rows = self.spark.read.parquet(f"{self.path}/data/batch={batch}").withColumn("d", F.col("d").cast("date"))
+        rows = self.spark.read.parquet(f"{self.path}/data/batch={batch}")
         content = sorted(c for c in rows.columns if c != "d")
         # The sum of row hashes does not depend on the order of rows.
         per = rows.groupBy("d").agg(F.count("*").alias("row_count"), F.sum(F.xxhash64(*content).cast("decimal(38,0)")).cast("string").alias("content_hash"))
@@ -100,5 +98,5 @@ class Snapshots:
         return checked.select("d", "row_count", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce(intact, F.lit(False)).alias("intact")).where("not intact")
 
     def obsolete(self) -> DataFrame:
-        """Published (batch, d) folders that a newer commit replaced: free to delete once no reader is on them."""
-        return self.manifest().join(self.log().select("batch", "d"), ["batch", "d"], "left_anti").select("batch", "d")
+        """Published batches none of whose dates is current: free to delete once no reader is on them."""
+        return self.manifest().select("batch").distinct().join(self.log().select("batch"), "batch", "left_anti")

@@ -30,6 +30,22 @@ def sliding_activity(ticks: DataFrame, length: str = "20 days", step: str = "1 d
     return out.select(F.col("window.end").alias("ts"), "sym", "volume", "value", "freq")
 
 
+def sessions(ticks: DataFrame, gap: str = "30 minutes", lateness: str = "14 days") -> DataFrame:
+    """Open, high, low, close, volume, value and count per symbol and session of ``ts, sym, price, quantity, tick_id``: ticks
+    at most ``gap`` apart belong together, and a late tick that bridges two sessions merges them.
+
+    ``start`` and ``finish`` are the times of a session's first and last tick. Works on static and streaming input; a
+    stream emits a session (append mode) once the watermark has passed its end. Partial sessions are
+    merged on the map side, so a hot symbol sends sessions, not ticks."""
+    order = F.struct("ts", "tick_id")
+    src = ticks.withWatermark("ts", lateness) if ticks.isStreaming else ticks
+    out = src.groupBy(F.session_window("ts", gap).alias("_session"), "sym").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("finish"), F.min_by("price", order).alias("open"), F.max("price").alias("high"),
+        F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"),
+        F.sum((F.col("price") * F.col("quantity")).cast("decimal(28,4)")).cast("double").alias("value"), F.count(F.lit(1)).alias("freq"))
+    return out.drop("_session")
+
+
 def recheck(bars: DataFrame, days: int = 14, version: str = "version") -> DataFrame:
     """Streaming late-data policy: of the versions of a (symbol, date) that arrive inside the re-check horizon the
     newest wins, and is emitted when the horizon has passed; older rows are ignored by the watermark."""

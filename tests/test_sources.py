@@ -204,9 +204,9 @@ def test_snapshot_commits_are_whole(spark, tmp_path):
         assert [(r.d, r.batch, r.row_count) for r in table.log().orderBy("d").collect()] == [
             (day(1), "b1", 2), (day(2), "b2", 1), (day(3), "b2", 1), (day(4), "b2", 0)]
     assert sorted(r.sha256 for r in table.ledger().collect()) == ["h1", "h2"] and table.verify().count() == 0
-    assert [(r.batch, r.d) for r in table.obsolete().collect()] == [("b1", day(2))]
+    assert table.obsolete().count() == 0
     table.commit(frame([(5, "Z", 1)]), "b3", spark.createDataFrame([(day(1),)], "d date"))  # a date is emptied
-    assert day(1) not in {r[0] for r in snapshot_rows(table)}
+    assert day(1) not in {r[0] for r in snapshot_rows(table)} and [r.batch for r in table.obsolete().collect()] == ["b1"]
     for f in (tmp_path / "data" / "batch=b3").rglob("part-*"):
         f.unlink()
     for f in (tmp_path / "data" / "batch=b3").rglob(".part-*"):
