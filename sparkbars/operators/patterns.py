@@ -17,13 +17,14 @@ from .windows import before, by_date, lagged, trail, with_rn
 
 #: A bar's code is four letters: body (D doji, S small, N normal, L long), colour (w up, b down, e equal), long upper and
 #: long lower shadow (1 or 0). A pattern is read by an expression over the codes of the last bars, oldest first, each
-#: closed by a stroke, and by a condition on prices: o, h, l, c of this bar, o1 ... of the one before, o2 ... before that.
+#: closed by a stroke, and by a condition on prices: o, h, l, c of this bar, u its usual body, o1 ... of the bar before, o2
+#: ... of that before it.
 #: ``fell`` and ``rose`` are about the five bars before the pattern. Name: (bars, codes, condition).
 PATTERNS: dict[str, tuple[int, str, str]] = {
-    "doji": (1, r"D.00", "h > l"),
+    "doji": (1, r"D.00", "h > l AND h - l < 2 * u"),
     "dragonfly_doji": (1, r"D.01", "h > l"),
     "gravestone_doji": (1, r"D.10", "h > l"),
-    "long_legged_doji": (1, r"D.11", "h > l"),
+    "long_legged_doji": (1, r"D.00", "h > l AND h - l >= 2 * u"),
     "white_marubozu": (1, r"Lw00", "h - c <= 0.05 * (h - l) AND o - l <= 0.05 * (h - l)"),
     "black_marubozu": (1, r"Lb00", "h - o <= 0.05 * (h - l) AND c - l <= 0.05 * (h - l)"),
     "hammer": (1, r"[SN].01", "fell"),
@@ -53,23 +54,23 @@ def candle_codes(df: DataFrame, n: int = 10) -> DataFrame:
     """Adds ``code``, NULL until ``n`` earlier bars tell what a usual body is, and where a price is missing.
 
     Doji: a body of at most a tenth of the range; long: at least 1.3 times the mean body of the n bars before; small: at most
-    half of it. A shadow is long from twice the body on (for a doji: from 0.3 of the range on)."""
+    half of it. A shadow is long from twice the body on (for a doji: from 0.6 of the range on). ``usual`` is the mean body."""
     o, h, l, c = (num(x) for x in ("open", "high", "low", "close"))
     body, span = F.abs(c - o), h - l
     usual = F.when(F.col("rn") > n, F.avg(body).over(before(n)))
     doji = body <= 0.1 * span
     kind = F.when(doji, "D").when(body >= 1.3 * usual, "L").when(body <= 0.5 * usual, "S").otherwise("N")
     colour = F.when(c > o, "w").when(c < o, "b").otherwise("e")
-    least = F.when(doji, 0.3 * span).otherwise(2 * body)
+    least = F.when(doji, 0.6 * span).otherwise(2 * body)
     long = lambda shadow: F.when((shadow >= least) & (shadow > 0), "1").otherwise("0")
     code = F.concat(kind, colour, long(h - F.greatest(o, c)), long(F.least(o, c) - l))
     known = usual.isNotNull() & h.isNotNull() & l.isNotNull() & c.isNotNull() & o.isNotNull() & (h >= l)
-    return with_rn(df).withColumn("code", F.when(known, code))
+    return with_rn(df).withColumns({"code": F.when(known, code), "usual": usual})
 
 
 def candle_events(bars: DataFrame, n: int = 10) -> DataFrame:
     """``(sym, d, pattern)``: every pattern that ends on a bar; a bar may end several. One exchange and one sort."""
-    df = candle_codes(bars, n).select("sym", "d", "open", "high", "low", "close", "code")
+    df = candle_codes(bars, n).select("sym", "d", "open", "high", "low", "close", "code", F.col("usual").alias("u"))
     names = {"open": "o", "high": "h", "low": "l", "close": "c"}
     lags = {f"{short}{k}": lagged(name, k) for name, short in names.items() for k in (1, 2)}
     falls = {f"f{k}": lagged("close", k) - lagged("close", k + 5) for k in (1, 2, 3)}

@@ -456,15 +456,16 @@ def _(t):
 
 
 @query("adx_14", "W22", "sym d:date adx14:5",
-       B1 + f""", mv AS (SELECT *, LAG(close) {W} AS c1, high - LAG(high) {W} AS up, LAG(low) {W} - low AS dn FROM bars),
-       ms AS (SELECT sym, d, rn, GREATEST(high - low, ABS(high - c1), ABS(low - c1)) AS tr, CASE WHEN up > dn THEN GREATEST(up, 0) ELSE 0 END AS p,
-         CASE WHEN dn > up THEN GREATEST(dn, 0) ELSE 0 END AS m FROM mv),
-       series AS (SELECT sym, COUNT(*) + 1 AS n, list(d ORDER BY d) AS ds, list(tr ORDER BY d) AS trs, list(p ORDER BY d) AS ps, list(m ORDER BY d) AS mss
-         FROM ms WHERE rn > 1 GROUP BY sym),
-       sm AS (SELECT *, {seeded_sql('trs', 14, '(1.0::DOUBLE / 14)')} AS t, {seeded_sql('ps', 14, '(1.0::DOUBLE / 14)')} AS p, {seeded_sql('mss', 14, '(1.0::DOUBLE / 14)')} AS m FROM series),
-       dx AS (SELECT *, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] <> 0 AND p[i] + m[i] > 0 THEN ABS(p[i] - m[i]) / (p[i] + m[i]) * 100 ELSE 0 END) AS x FROM sm),
-       ax AS (SELECT *, {seeded_sql('x', 14, '(1.0::DOUBLE / 14)')} AS a FROM dx),
-       u AS (SELECT sym, UNNEST(ds) AS d, UNNEST(range(2, n + 1)) AS i, a, n FROM ax),
-       q AS (SELECT b.sym, b.d, CASE WHEN u.i >= 29 AND u.n >= 28 THEN u.a[u.i - 27] END AS adx14 FROM bars b LEFT JOIN u ON u.sym = b.sym AND u.d = b.d)""")
+       "RECURSIVE " + B1 + f""", mv AS (SELECT *, LAG(close) {W} AS c1, high - LAG(high) {W} AS up, LAG(low) {W} - low AS dn FROM bars),
+       ms AS MATERIALIZED (SELECT sym, rn, GREATEST(high - low, ABS(high - c1), ABS(low - c1)) AS tr, CASE WHEN up > dn THEN GREATEST(up, 0) ELSE 0 END AS p,
+         CASE WHEN dn > up THEN GREATEST(dn, 0) ELSE 0 END AS m FROM mv WHERE rn > 1),
+       sm(sym, rn, t, p, m) AS (
+         SELECT sym, CAST(15 AS BIGINT), AVG(tr), AVG(p), AVG(m) FROM ms WHERE rn <= 15 GROUP BY sym HAVING COUNT(*) = 14
+         UNION ALL SELECT s.sym, ms.rn, (s.t * 13 + ms.tr) / 14, (s.p * 13 + ms.p) / 14, (s.m * 13 + ms.m) / 14 FROM sm s JOIN ms ON ms.sym = s.sym AND ms.rn = s.rn + 1),
+       dx AS MATERIALIZED (SELECT sym, rn, CASE WHEN t <> 0 AND p + m > 0 THEN ABS(p - m) / (p + m) * 100 ELSE 0 END AS x FROM sm),
+       ax(sym, rn, a) AS (
+         SELECT sym, CAST(28 AS BIGINT), AVG(x) FROM dx WHERE rn <= 28 GROUP BY sym HAVING COUNT(*) = 14
+         UNION ALL SELECT s.sym, dx.rn, (s.a * 13 + dx.x) / 14 FROM ax s JOIN dx ON dx.sym = s.sym AND dx.rn = s.rn + 1),
+       q AS (SELECT b.sym, b.d, ax.a AS adx14 FROM bars b LEFT JOIN ax ON ax.sym = b.sym AND ax.rn = b.rn AND ax.rn >= 29)""")
 def _(t):
     return with_recurrences(t.bars().select("sym", "d", "high", "low", "close"), [("adx14", "adx", {"n": 14})])

@@ -323,8 +323,10 @@ def _(t: Tables):
 
 
 def _folds(t: Tables, rows, *shape: int):
-    """Folds over all dates there are."""
-    return ml.folds(t.spark, rows.agg(F.min("d")).scalar(), rows.agg(F.max("d")).scalar(), *shape)
+    """Folds over all dates there are. The two dates are read once: as expressions they would be copied, with all that
+    makes the rows, into every boundary of every fold."""
+    span = rows.agg(F.min("d").alias("first"), F.max("d").alias("last")).first()
+    return ml.folds(t.spark, F.lit(span["first"]), F.lit(span["last"]), *shape)
 
 
 @query("walk_forward_rows", "M2 L3", "fold n_train n_purged n_val last_exit:date",

@@ -48,11 +48,11 @@ def _candle_sql() -> str:
         for name, (n, codes, condition) in p.PATTERNS.items())
     price = ", ".join(f"LAG({x}, {k}) {W} AS {x}{k}" for x in "ohlc" for k in (1, 2))
     return B5 + f""", sized AS (SELECT sym, d, open AS o, high AS h, low AS l, close AS c, ABS(close - open) AS body, high - low AS span,
-         CASE WHEN rn > 10 THEN AVG(ABS(close - open)) {over(-10, -1)} END AS usual FROM bars),
-       coded AS (SELECT *, CASE WHEN usual IS NULL THEN NULL ELSE
-         CASE WHEN body <= 0.1 * span THEN 'D' WHEN body >= 1.3 * usual THEN 'L' WHEN body <= 0.5 * usual THEN 'S' ELSE 'N' END || CASE WHEN c > o THEN 'w' WHEN c < o THEN 'b' ELSE 'e' END
-         || CASE WHEN h - GREATEST(o, c) > 0 AND h - GREATEST(o, c) >= CASE WHEN body <= 0.1 * span THEN 0.3 * span ELSE 2 * body END THEN '1' ELSE '0' END
-         || CASE WHEN LEAST(o, c) - l > 0 AND LEAST(o, c) - l >= CASE WHEN body <= 0.1 * span THEN 0.3 * span ELSE 2 * body END THEN '1' ELSE '0' END END AS k0 FROM sized),
+         CASE WHEN rn > 10 THEN AVG(ABS(close - open)) {over(-10, -1)} END AS u FROM bars),
+       coded AS (SELECT *, CASE WHEN u IS NULL THEN NULL ELSE
+         CASE WHEN body <= 0.1 * span THEN 'D' WHEN body >= 1.3 * u THEN 'L' WHEN body <= 0.5 * u THEN 'S' ELSE 'N' END || CASE WHEN c > o THEN 'w' WHEN c < o THEN 'b' ELSE 'e' END
+         || CASE WHEN h - GREATEST(o, c) > 0 AND h - GREATEST(o, c) >= CASE WHEN body <= 0.1 * span THEN 0.6 * span ELSE 2 * body END THEN '1' ELSE '0' END
+         || CASE WHEN LEAST(o, c) - l > 0 AND LEAST(o, c) - l >= CASE WHEN body <= 0.1 * span THEN 0.6 * span ELSE 2 * body END THEN '1' ELSE '0' END END AS k0 FROM sized),
        line AS (SELECT *, LAG(k0) {W} AS k1, LAG(k0, 2) {W} AS k2, {price}, LAG(c, 1) {W} - LAG(c, 6) {W} AS g1, LAG(c, 2) {W} - LAG(c, 7) {W} AS g2, LAG(c, 3) {W} - LAG(c, 8) {W} AS g3 FROM coded),
        q AS ({cases})"""
 
@@ -122,13 +122,13 @@ def _(t: Tables):
 
 
 @query("entry_zone_outcomes", "2.15 E4", "sym d:date entry_price:4 next_open:4 zone_status decided_on:date realized_return:6",
-       B5 + f""", s AS (SELECT sym, d, rn, close, close * 0.9 AS lo, close * 1.1 AS hi, LEAD(open) {W} AS nx, LEAD(d) {W} AS nd, LEAD(close, 5) {W} AS ex, LEAD(d, 5) {W} AS ed FROM bars),
-       o AS (SELECT *, COALESCE(nx < lo OR nx > hi, FALSE) AS gone, ex / close - 1 AS ret FROM s WHERE rn % 3 = 0),
+       B5 + f""", s AS (SELECT sym, d, rn, close, close * 0.4 AS lo, close * 1.6 AS hi, LEAD(open) {W} AS nx, LEAD(d) {W} AS nd, LEAD(close, 5) {W} AS ex, LEAD(d, 5) {W} AS ed FROM bars),
+       o AS (SELECT *, COALESCE(nx < lo OR nx > hi, FALSE) AS gone, ex / close - 1 AS ret FROM s WHERE rn % 2 = 0),
        q AS (SELECT sym, d, close AS entry_price, nx AS next_open, CASE WHEN gone THEN 'EXPIRED' WHEN ret >= 0.02 THEN 'HIT' WHEN ret IS NOT NULL THEN 'MISS' ELSE 'PENDING' END AS zone_status,
          CASE WHEN gone THEN nd WHEN ret IS NOT NULL THEN ed END AS decided_on, CASE WHEN NOT gone THEN ret END AS realized_return FROM o)""")
 def _(t: Tables):
     bars = _makers(t)
-    preds = p.with_rn(bars).where("rn % 3 = 0").select(
-        "sym", "d", F.col("close").alias("entry_price"), (F.col("close") * 0.9).alias("zone_low"), (F.col("close") * 1.1).alias("zone_high"),
+    preds = p.with_rn(bars).where("rn % 2 = 0").select(
+        "sym", "d", F.col("close").alias("entry_price"), (F.col("close") * 0.4).alias("zone_low"), (F.col("close") * 1.6).alias("zone_high"),
         F.lit(5).alias("horizon_days"), F.lit(0.02).alias("expected_upside"))
     return ev.zone_outcomes(preds, bars)

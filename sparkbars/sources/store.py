@@ -62,10 +62,10 @@ BOM = "﻿"
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Quoted CSV that opens in spreadsheets: every file starts with a byte order mark, carried by the
-    first header name."""
+    first header name, and a quote inside a value is doubled."""
     first = df.columns[0]
     out = df.select(*[F.col(c).cast("string") for c in df.columns]).withColumnRenamed(first, BOM + first)
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("encoding", "UTF-8").csv(path)
+    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
