@@ -119,25 +119,34 @@ WHERE NOT EXISTS (SELECT 1 FROM classes b WHERE b.n > a.n AND b.said[1] = a.said
 WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\f\r]')) AS piece FROM docs),
-said AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+said AS (SELECT lang, row_number() OVER () AS piece_id, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
 total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM said GROUP BY lang),
-starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM said),
-grams AS (SELECT lang, w[i:i + m - 1] AS g, count(*) AS f FROM starts, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
-often AS (SELECT lang, g, f FROM grams WHERE f >= 100),
-cand AS (SELECT lang, g, f AS a, len(g) AS m FROM often WHERE len(g) >= 2),
+words AS (SELECT lang, piece_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM said),
+line AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5
+  FROM words WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+said_by_size AS (
+  SELECT lang, w1 AS phrase FROM line
+  UNION ALL SELECT lang, w1 || ' ' || w2 FROM line WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 FROM line WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM line WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM line WHERE w5 IS NOT NULL),
+often AS MATERIALIZED (SELECT lang, phrase, count(*) AS f FROM said_by_size GROUP BY lang, phrase HAVING count(*) >= 100),
+cand AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS g, f AS a FROM often WHERE contains(phrase, ' ')),
+parted AS (
+  SELECT lang, phrase, a, k, array_to_string(g[1:k], ' ') AS first_part, array_to_string(g[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM cand)),
 cuts AS (
-  SELECT c.lang, c.g, c.a, t.n, k, x.f AS l, y.f AS r,
-         (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
-  FROM cand c JOIN total t ON c.lang = t.lang, (SELECT unnest(range(1, 5)) AS k)
-  JOIN often x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN often y ON y.lang = c.lang AND y.g = c.g[k + 1:] WHERE k < c.m),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
+  SELECT c.lang, c.phrase, c.a, t.n, k, x.f AS l, y.f AS r, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM parted c JOIN total t ON c.lang = t.lang
+  JOIN often x ON x.lang = c.lang AND x.phrase = c.first_part JOIN often y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM cuts) WHERE nth = 1),
 inside AS (
-  SELECT DISTINCT c.lang, c.g[i:i + m - 1] AS g, c.a
-  FROM cand c, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS m) WHERE m < c.m AND i + m - 1 <= c.m),
-kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside s WHERE s.lang = b.lang AND s.g = b.g AND s.a >= b.a)),
-ranked AS (
-  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
-         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+  SELECT lang, array_to_string(g[i:j], ' ') AS phrase, max(a) AS a
+  FROM (SELECT *, unnest(range(i + 1, len(g) + 1)) AS j FROM (SELECT *, unnest(range(1, len(g))) AS i FROM cand))
+  WHERE j - i + 1 < len(g) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.phrase = b.phrase WHERE s.a IS NULL OR s.a < b.a),
+ranked AS (SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
     # Anchors against all rows: the first positives, then the first rows in each positive's window.
     "op13_hard_negatives": """
