@@ -339,44 +339,67 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
     return beta
 
 
-def index_direction(panel: DataFrame, horizons: Sequence[int] = (5, 60), min_train: int = MIN_TRAIN_ROWS, every: int = RETRAIN_EVERY) -> DataFrame:
-    """Probability that the close is higher h sessions on, by an expanding-window logistic model that
-    is refitted every 20 sessions on labels known by then. Indices, horizons and refit points are
-    independent tasks: each refit reads one index's panel (its sessions), scores the next 20 rows."""
+def fit_points(ok: np.ndarray, up: np.ndarray, h: int, min_train: int, every: int) -> np.ndarray:
+    """For each row the row at which the model that scores it is fitted, or -1.
+
+    A model is fitted on every ``every``-th row from ``min_train`` on, if that row is usable, and on any usable row while
+    there is none. It learns from the usable rows whose outcome was known before the row, ``h`` earlier at least; with
+    fewer than 30 of them the model before stays, with outcomes of one kind there is none. Only counts decide, so
+    every task can tell which models it needs without fitting those of others."""
+    labelled = ok & ~np.isnan(up)
+    seen = np.r_[0, np.cumsum(labelled)]
+    rises = np.r_[0, np.cumsum(labelled & (up == 1))]
+    out, model = np.full(len(ok), -1), -1
+    for t in range(min_train, len(ok)):
+        if not ok[t]:
+            continue
+        if model < 0 or (t - min_train) % every == 0:
+            known, ones = seen[max(t - h, 0)], rises[max(t - h, 0)]
+            if known >= 30:
+                model = t if 0 < ones < known else -1
+        out[t] = model
+    return out
+
+
+def index_direction(panel: DataFrame, horizons: Sequence[int] = (5, 60), min_train: int = MIN_TRAIN_ROWS, every: int = RETRAIN_EVERY,
+                    per_task: int = 10) -> DataFrame:
+    """Probability that the close is higher h sessions on, by an expanding-window logistic model that is refitted every
+    20 sessions on labels known by then (see ``fit_points``).
+
+    Indices, horizons and stretches of ``per_task`` refits are independent tasks: a stretch gets the index's sessions up
+    to its end and fits its own models only. A session is thus sent once per later stretch, at most
+    sessions / (every * per_task) times."""
     cols = list(INDEX_FEATURES)
     usable = F.lit(True)
     for c in cols:
         usable = usable & F.col(c).isNotNull()
-    df = panel.withColumns({"i": F.col("rn") - 1, "ok": usable})
-    df = df.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    ahead = F.coalesce(*[F.when(F.col("h") == h, F.lead("close", h).over(Window.partitionBy("sym", "h").orderBy("d"))) for h in horizons])
-    df = df.withColumn("up", F.when(ahead.isNotNull(), (ahead > F.col("close")).cast("double")))
-    df = df.select("sym", "h", "d", "i", "ok", "up", *cols)
-
-    def per_index(pdf: pd.DataFrame) -> pd.DataFrame:
+    df = panel.withColumns({"i": F.col("rn") - 1, "ok": usable, "last": F.max("rn").over(w.all_rows()) - 1})
+    df = df.withColumns({f"_ahead_{h}": F.lead("close", h).over(w.by_date()) for h in horizons})
+    up = [F.struct(F.lit(h).alias("h"), (F.col(f"_ahead_{h}") > F.col("close")).cast("double").alias("up")) for h in horizons]
+    df = df.withColumn("_up", F.explode(F.array(*up))).select("sym", "_up.h", "d", "i", "ok", "_up.up", "last", *cols)
+    width = every * per_task
+    first = F.greatest(F.lit(0), F.floor((F.col("i") - min_train) / width)).cast("int")
+    final = F.floor((F.col("last") - min_train) / width).cast("int")
+    df = df.where(final >= 0).withColumn("stretch", F.explode(F.sequence(first, final))).drop("last")
+
+    def per_stretch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", ignore_index=True)
         h, x, y, ok = int(pdf["h"].iloc[0]), pdf[cols].to_numpy(float), pdf["up"].to_numpy(float), pdf["ok"].to_numpy(bool)
-        n = len(pdf)
-        p = np.full(n, np.nan)
-        t = min_train
-        while t < n:
-            known = ok[: t - h] & ~np.isnan(y[: t - h])
-            target = y[: t - h][known]
-            if not ok[t] or known.sum() < 30 or target.min() == target.max():
-                t += 1  # without a model every row is a new attempt
-                continue
-            train = x[: t - h][known]
+        models = fit_points(ok, y, h, min_train, every)
+        models[:min_train + int(pdf["stretch"].iloc[0]) * width] = -1  # rows of other stretches
+        p = np.full(len(pdf), np.nan)
+        for t in np.unique(models[models >= 0]):
+            known = ok[:t - h] & ~np.isnan(y[:t - h])
+            train = x[:t - h][known]
             mean, dev = train.mean(axis=0), train.std(axis=0)
             dev[dev == 0] = 1.0
-            beta = _fit_logistic((train - mean) / dev, target)
-            stop = min(min_train + ((t - min_train) // every + 1) * every, n)
-            z = ((x[t:stop] - mean) / dev) @ beta[1:] + beta[0]
-            p[t:stop] = np.where(ok[t:stop], 1 / (1 + np.exp(-z)), np.nan)
-            t = stop
+            beta = _fit_logistic((train - mean) / dev, y[:t - h][known])
+            rows = np.flatnonzero(models == t)
+            p[rows] = 1 / (1 + np.exp(-(((x[rows] - mean) / dev) @ beta[1:] + beta[0])))
         out = pdf[["sym", "h", "d"]].assign(p_up=p, up=y)
         return out[~np.isnan(p)]
 
-    out = df.groupBy("sym", "h").applyInPandas(per_index, "sym string, h int, d date, p_up double, up double")
+    out = df.groupBy("sym", "h", "stretch").applyInPandas(per_stretch, "sym string, h int, d date, p_up double, up double")
     return out.withColumn("up", F.when(~F.isnan("up"), F.col("up")))
 
 

@@ -176,6 +176,50 @@ def test_index_direction_does_not_look_ahead(spark):
     assert b and all(math.isclose(a[k], v, rel_tol=1e-9) for k, v in b.items())
 
 
+def test_index_direction_equals_the_serial_schedule(spark):
+    """Row by row, as one would do it by hand: holes in the features, on and off the schedule."""
+    rng = np.random.default_rng(21)
+    values = 1000 * np.exp(np.cumsum(rng.normal(0.0003, 0.012, 520)))
+    panel = ml.index_panel(index_frame(spark, values))
+    holes = panel.withColumn("rsi14", F.when(~(F.col("rn") - 1).isin(330, 331, 350, 351, 352, 400), F.col("rsi14"))).persist()
+    got = {(r.h, r.d): r for r in ml.index_direction(holes, min_train=250, every=20, per_task=3).collect()}
+    rows = holes.orderBy("d").toPandas()
+    cols = list(ml.INDEX_FEATURES)
+    x = rows[cols].to_numpy(float)
+    ok, close = ~np.isnan(x).any(axis=1), rows["close"].to_numpy(float)
+    want = {}
+    for h in (5, 60):
+        y = np.r_[(close[h:] > close[:-h]).astype(float), np.full(h, np.nan)]
+        model = None
+        for t in range(250, len(rows)):
+            if not ok[t]:
+                continue
+            if model is None or (t - 250) % 20 == 0:
+                known = ok[:t - h] & ~np.isnan(y[:t - h])
+                if known.sum() >= 30:
+                    a, b = x[:t - h][known], y[:t - h][known]
+                    model = (a.mean(axis=0), a.std(axis=0), ml._fit_logistic((a - a.mean(axis=0)) / a.std(axis=0), b)) if len(set(b)) == 2 else None
+            if model is not None:
+                z = np.r_[1.0, (x[t] - model[0]) / model[1]] @ model[2]
+                want[h, rows["d"][t]] = 1 / (1 + math.exp(-z))
+    assert set(got) == set(want) and len(want) > 300
+    assert all(math.isclose(got[k].p_up, v, rel_tol=1e-9) for k, v in want.items())
+    holes.unpersist()
+
+
+def test_logistic_coefficients():
+    """Balanced classes with a ridge: the gradient of the stated objective vanishes, and separable data stay finite."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    y = (x @ [1.5, -2.0, 0.0] + rng.logistic(size=400) > 0.7).astype(float)
+    beta = ml._fit_logistic(x, y)
+    weight = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum()))
+    p = 1 / (1 + np.exp(-(np.column_stack([np.ones(400), x]) @ beta)))
+    assert np.allclose(np.column_stack([np.ones(400), x]).T @ (weight * (p - y)) + np.r_[0, beta[1:]], 0, atol=1e-6)
+    assert np.allclose(beta[1:], [1.5, -2.0, 0.0], atol=0.5)
+    assert np.isfinite(ml._fit_logistic(x, (x[:, 0] > 0).astype(float))).all()
+
+
 def test_folds(spark):
     got = ml.folds(spark, "2020-01-01", "2023-12-31").orderBy("fold").collect()
     assert (got[0].train_end, got[0].val_start, got[0].val_end) == (dt.date(2022, 1, 1), dt.date(2022, 1, 6), dt.date(2022, 4, 6))
