@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.dates import latest_date
@@ -11,7 +13,8 @@ from ..operators import market as m
 from ..operators import signals as sg
 from ..operators import universe as un
 from ..operators import windows as w
-from .base import B1, B2, B3, MASTER, Tables, W, over, query
+from ..session import work_path
+from .base import B1, B2, B3, MASTER, REGISTRY, Tables, W, over, query
 from .indicators import PC, SERIES, _macd_sql, _sma_sql, reduce_sql, seeded_sql
 
 
@@ -319,3 +322,15 @@ def _(t: Tables):
     market = m.market_features(bars).select("d", "market_regime", "market_breadth_1d", "market_hvol20")
     ranks = m.xs_ranks(bars).select("sym", "d", "return_rank_5d", "value_rank")
     return lb.dataset(ft.features(bars), lb.labels_fast(bars), market=market, ranks=ranks, every=5)
+
+
+@query("stored_training_dataset", "L4 L5 U3", "sym d:date close:4 return_5d:6 label:int trade_return:6 market_regime return_rank_5d:6", REGISTRY["training_dataset"].ctes)
+def _(t: Tables):
+    """The same rows from bucketed tables: only numeric features are stored, identifiers and outcomes apart from them."""
+    bars = t.brand_bars()
+    features = ft.features(bars)
+    name = f"training_{uuid.uuid4().hex}"
+    lb.store_training(name, 8, features.select("sym", "d", "close", *ft.feature_cols(features)), lb.labels_fast(bars), ranks=m.xs_ranks(bars).select("sym", "d", "return_rank_5d", "value_rank"),
+                      path=work_path(t.spark, name))
+    market = m.market_features(bars).select("d", "market_regime", "market_breadth_1d", "market_hvol20")
+    return lb.stored_dataset(t.spark, name, market, every=5)

@@ -52,9 +52,13 @@ def write_bars(df: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "sym") -> None:
-    """A table whose per-symbol windows and joins need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, "d").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str | Sequence[str] = "sym", path: str | None = None) -> None:
+    """A table, one file a bucket, whose windows and joins over ``key`` need no exchange. Bucketed by symbol alone it serves
+    per-symbol windows; joins by (symbol, date) want both in the key, which also spreads a symbol over all buckets. ``path``
+    keeps the files outside of the warehouse."""
+    keys = [key] if isinstance(key, str) else list(key)
+    out = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*dict.fromkeys([*keys, "d"]))
+    (out.option("path", path) if path else out).saveAsTable(table)
 
 
 BOM = "﻿"

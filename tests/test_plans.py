@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkbars.functions.dates import sessions_cutoff
 from sparkbars.operators import features as ft
+from sparkbars.operators import labels as lb
 from sparkbars.operators import market
 from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
@@ -56,3 +57,35 @@ def test_ranked_lists_compute_their_rows_once(stored):
 def test_no_cartesian_products(stored):
     for df in (sn.snapshot(stored), ft.features(stored)):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+def test_stored_training_tables_join_without_exchange(spark, stored, tmp_path):
+    """Bucketed alike by (symbol, date), features, labels, universe and ranks meet as they lie."""
+    features = ft.features(stored).select("sym", "d", "close", "return_5d", "return_20d")
+    labelled = lb.labels_fast(stored)
+    status = features.select("sym", "d", F.lit("ELIGIBLE").alias("status"))
+    ranks = features.select("sym", "d", F.col("return_5d").alias("rank_of_it"))
+    lb.store_training("plan_test", 4, features, labelled, status.where("sym <> 'CCCC'"), ranks, str(tmp_path))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(keep, ("-1", "false")):
+            spark.conf.set(k, v)
+        df = lb.stored_dataset(spark, "plan_test")
+        text = plan(df)
+        assert text.count("SortMergeJoin") == 3 and "Exchange" not in text and "Bucketed: true" in text
+        assert "Exchange" in plan(lb.dataset(features, labelled, status, ranks=ranks))
+        want = lb.dataset(features, labelled, status.where("sym <> 'CCCC'"), ranks=ranks).select(*df.columns)
+        assert df.count() == want.count() > 300 and df.exceptAll(want).count() == 0
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        for part in lb.STORED:
+            spark.sql(f"DROP TABLE IF EXISTS plan_test_{part}")
+
+
+def test_fold_bounds_are_read_once(stored):
+    from sparkbars.operators import models as ml
+    rows = stored.select("d", F.lit(None).cast("date").alias("exit_date"))
+    span = rows.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
+    text = plan(ml.fold_rows(rows, ml.folds(stored.sparkSession, F.lit(span.a), F.lit(span.b), 6, 2, 5, 2)))
+    assert len(re.findall(r"FileScan", text)) <= 2
