@@ -294,7 +294,11 @@ def phrases(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     words. A phrase goes if a longer one contains it wherever it occurs. Texts are cut into pieces at ``.,;:!?`` and line
     ends, and these at spaces and tabs; A-Z count as a-z. Nulls as in ``candidates``; extra columns are ignored; an empty
     table gives no rows."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    kept = candidates(documents, plan).where("covered is null or covered < a")
-    return best_cut(kept).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= plan.top).select(
+    kept = best_cut(candidates(documents, plan).where("covered is null or covered < a"))
+    # A language may hold most phrases: its first ones are among the first of each of many parts.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = Window.partitionBy("lang", "_part").orderBy(*order)
+    kept = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= plan.top)
+    whole = Window.partitionBy("lang").orderBy(*order)
+    return kept.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= plan.top).select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
