@@ -386,6 +386,14 @@ def annotate(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``documents`` that the model doesn't reject, with all their columns as they are, whatever those are called.
+    Rejected are null texts, texts without a letter, and those beyond their language's limit; repeated rows are judged alike."""
+    names = documents.columns
+    plain = documents.toDF(*["text" if c == "text" else f"_{i}" for i, c in enumerate(names)])
+    return annotate(plain, model).where("not rejected").select(*plain.columns).toDF(*names)
+
+
 def predict_held_out(documents: DataFrame, **bounds) -> DataFrame:
     """Fit on the rows whose crc32(doc_id as text) mod 4 is not 2 and predict all rows:
     ``(doc_id, held_out, lang_pred, score, cross_entropy, rejected)``. A null doc_id is neither held out nor learned from."""

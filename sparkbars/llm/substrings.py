@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import MULTIPLIER, WordHashes, gram_hashes, in_small_batches, mixed, stage
 
@@ -346,9 +347,15 @@ def remove_repeats(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:
     there is such a column, counted anew. Other texts stay as they are to the byte; all rows and columns stay."""
     spans, _ = repeated_windows(documents, plan)
     columns = documents.columns
-    rest = [c for c in columns if c != "text"]
+    at = columns.index("text")
+    # Numbered names: the columns of the input may be called anything.
+    plain = documents.toDF(*[f"_{i}" for i in range(len(columns))])
     by_id = spans.select(F.col("doc_id").alias("span_doc_id"), F.col("spans").alias("gone_spans"))
-    joined = documents.join(by_id, documents["doc_id"] == by_id["span_doc_id"], "left").select("text", "gone_spans", *[documents[c] for c in rest])
-    schema = ", ".join(["text string", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest]])
-    cut = joined.mapInArrow(_cut, schema).select(*columns)
-    return cut.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in columns else cut
+    rest = [c for i, c in enumerate(plain.columns) if i != at]
+    joined = plain.join(by_id, F.col(f"_{columns.index('doc_id')}") == F.col("span_doc_id"), "left").select(F.col(f"_{at}").alias("text"), "gone_spans", *rest)
+    schema = T.StructType([T.StructField("text", T.StringType()), *[plain.schema[c] for c in rest]])
+    cut = joined.mapInArrow(_cut, schema).withColumnRenamed("text", f"_{at}").select(*plain.columns)
+    if "n_chars" in columns:
+        k = columns.index("n_chars")
+        cut = cut.withColumn(f"_{k}", F.length(f"_{at}").cast(plain.schema[f"_{k}"].dataType))
+    return cut.toDF(*columns)

@@ -30,3 +30,26 @@ def test_empty_tables_and_clashing_columns(spark, documents, prose):
             assert docs.columns == before
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
         assert {str(r.doc_id) for r in packed.collect()} == {str(r.doc_id) for r in docs.collect()}
+
+
+def test_columns_named_like_ours_survive(spark, prose):
+    names = ["score", "rejected", "cross_entropy", "n_symbols", "lang_pred", "gone_spans", "span_doc_id", "spans", "_0", "_1"]
+    passage = prose(7, 60)
+    rows = [(i, prose(i, 60) + " " + passage, "en") for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in names])
+    out = docs
+    for name, step in corpus_pipeline.STAGES[:3]:
+        out = stage(step(spark, out, ""), name)
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == 29
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert sum(passage in r.text for r in got) == 1
+
+
+def test_foreign_text_goes_and_clean_text_stays(spark, documents):
+    from .test_language import text
+    rows = [(i, text(lang, 40 + i % 40, i), lang) for i in range(900) for lang in [("aa", "bb")[i % 2]]]
+    copies = [(5000 + i, text("aa", 60, 1), "aa") for i in range(450)]  # a third of the table is one text
+    foreign = [(9000 + i, text("cc", 60, i), None) for i in range(30)]
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, documents(rows + copies + foreign), "").select("doc_id").collect()}
+    assert kept == {r[0] for r in rows + copies}
