@@ -12,24 +12,25 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text fits one of the languages that the labelled rows of ``docs`` teach; others, and those
-    without a letter, go."""
-    model = language.fit(docs)
-    return language.annotate(docs, model).where("not rejected").select(*docs.columns)
+    """Documents whose text fits one of the languages that the labelled rows of ``docs`` teach; others, null texts and
+    those without a letter, go. Repeated rows are judged alike; an empty table stays empty; columns stay as they are."""
+    return language.accepted(docs, language.fit(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the one of smallest id."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the one of smallest id. Null
+    and empty texts and null ids are linked with nothing and stay; columns stay as they are."""
     return neardup.drop_near_duplicates(docs, neardup.Plan(words=5, percent=80))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words and more that a document of smaller id has."""
+    """Texts without the passages of 50 words and more that a document of smaller id has. Null and short texts, and rows
+    with a null id, stay; n_chars is counted anew; other columns stay as they are."""
     return substrings.remove_repeats(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens along the content curve."""
+    """Pieces of sequences of 2048 tokens along the content curve; a null text counts as empty and has its closing id only."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
