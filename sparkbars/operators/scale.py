@@ -101,3 +101,22 @@ def top_n(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") ->
     """The k best rows overall, numbered. The limit runs in every task before the final merge."""
     best = df.orderBy(*order).limit(k)
     return best.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
+def numbered(df: DataFrame, value: str, then: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """All rows with their place by falling value (none and NaN last), equals by ``then``. A window holds the rows of one
+    value, and another the number of rows of each value bucket; no task meets all rows."""
+    v = F.col(value).cast("double") + F.lit(0.0)
+    known = v.isNotNull() & ~F.isnan(v)
+    infinite = F.when(v > 0, F.lit(2 * OFFSET)).otherwise(F.lit(-2 * OFFSET))
+    rows = df.withColumns({"_v": F.when(known, v), "_b": F.when(known, F.when(F.abs(v) == F.lit(float("inf")), infinite).otherwise(bucket(v)))})
+    per_value = rows.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    totals = per_value.groupBy("_b").agg(F.sum("_n").alias("_n"))
+    higher = Window.orderBy(F.desc_nulls_last("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("_b").alias("_of"), F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_b").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_value.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    before = before.join(starts, F.col("_b").eqNullSafe(F.col("_of"))).select(F.col("_v").alias("_at"), (F.col("_start") + F.col("_in")).alias("_before"))
+    own = Window.partitionBy("_v").orderBy(*then)
+    met = rows.withColumn("_k", F.row_number().over(own)).join(before, F.col("_v").eqNullSafe(F.col("_at")))
+    return met.select(*df.columns, (F.col("_before") + F.col("_k")).cast("int").alias(rank))

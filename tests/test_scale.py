@@ -53,3 +53,13 @@ def test_only_finite_values_rank(spark):
     got = {r.id: (r["rank"], r.n) for r in scale.with_ranks(df, ["g"], "x").collect()}
     assert {i: got[i] for i in (0, 2, 3, 6, 8)} == {0: (5, 5), 2: (1, 5), 3: (1, 5), 6: (3, 5), 8: (3, 5)}
     assert all(got[i][0] is None for i in (1, 4, 5, 7))
+
+
+def test_numbered_equals_one_sort(spark):
+    df, pdf = skewed(spark)
+    more = df.unionByName(spark.createDataFrame([("big", -1, float("inf")), ("big", -2, float("-inf")), ("big", -3, float("nan")), ("big", -4, -0.0)], df.schema))
+    got = scale.numbered(more, "x", [F.asc("g"), F.asc("id")]).toPandas().sort_values("rank")
+    rows = [(r["g"], r["id"], r["x"]) for r in more.collect()]
+    key = lambda r: (r[2] is None or r[2] != r[2], 0.0 if r[2] is None or r[2] != r[2] else -r[2], r[0], r[1])
+    assert got["rank"].tolist() == list(range(1, len(rows) + 1))
+    assert list(zip(got["g"], got["id"])) == [(g, i) for g, i, _ in sorted(rows, key=key)]
