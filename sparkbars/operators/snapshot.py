@@ -46,17 +46,17 @@ def technicals(bars: DataFrame) -> DataFrame:
         "cum_gap": F.product("gap").over(w.so_far()), "all_gap": F.product("gap").over(w.all_rows()), "gap_events": F.sum("_gap_event").over(w.so_far()),
         "atr14_pct": F.when(F.count("_tr").over(t(14)) == 14, F.avg("_tr").over(t(14))),
         **{f"avg_{c}_20": w.full(F.avg(num(c)).over(b20), 21) for c in ("volume", "value", "freq")},
-        "_avg_turn": F.when(F.count("_turn").over(b20) == 20, F.avg("_turn").over(b20)),
+        "_avg_turn": F.when(F.count("_turn").over(b20) == 20, F.avg("_turn").over(b20)), "_same_shares": w.same_shares(b20),
         "price_impact_20": w.full(F.avg("_impact").over(t(20)), 20), "active_pct_20": w.full((1 - F.avg("_idle").over(t(20))) * 100, 20), **flow,
     })
     scale = F.col("all_gap") / F.col("cum_gap")
     df = df.withColumns({
         "adj": close * scale, "adj_high": F.col("_high") * scale, "adj_low": F.col("_low") * scale,
         **{f"{c}_ratio": ratio(num(c), f"avg_{c}_20") for c in ("volume", "value", "freq")},
-        "turnover_ratio": ratio(F.coalesce("_turn", F.lit(0.0)), "_avg_turn"), "turnover_pct": F.col("_turn") * 100,
+        "turnover_ratio": w.turnover_ratio("_turn", "_avg_turn", "_same_shares", "avg_volume_20"), "turnover_pct": F.col("_turn") * 100,
     })
     df = df.withColumn("confirmation_ratio", F.coalesce("turnover_ratio", "volume_ratio"))
-    df = df.drop("_high", "_low", "_active", "_tr", "_turn", "_idle", "_impact", "_gap_event", "_avg_turn", "cum_gap", "all_gap", "gap", "c1")
+    df = df.drop("_high", "_low", "_active", "_tr", "_turn", "_idle", "_impact", "_gap_event", "_avg_turn", "_same_shares", "cum_gap", "all_gap", "gap", "c1")
     adj, base = F.col("adj"), {n: w.lagged("adj", n) for n in (1, 5, 20, 60)}
     hi, lo = F.max("adj_high").over(b20), F.min("adj_low").over(b20)
     enough = F.col("rn") > 20

@@ -387,6 +387,18 @@ def candle(df: DataFrame) -> DataFrame:
 
 # ---- activity, flow, liquidity ---------------------------------------------------------------------
 
+def same_shares(frame) -> Column:
+    """Whether the listed shares of today are those of every row of the frame."""
+    shares = num("shares")
+    return (shares > 0) & (F.min(shares).over(frame) == shares) & (F.max(shares).over(frame) == shares)
+
+
+def turnover_ratio(turnover: str, mean_turnover: str | Column, same: str | Column, mean_volume: str) -> Column:
+    """Today's turnover against its mean. Unchanged shares cancel out: the ratio is that of the volumes, which are whole
+    numbers, so a ratio that lies on a bound (1.2, 1.5) is not moved off it by dividing by the shares first."""
+    return F.when(col(same), ratio(num("volume"), mean_volume)).otherwise(ratio(F.coalesce(F.col(turnover), F.lit(0.0)), mean_turnover))
+
+
 def activity_ratios(df: DataFrame, n: int = 20) -> DataFrame:
     """Today against the mean of the n rows before it: volume, value, frequency and turnover.
     Turnover (volume over listed shares) is the preferred confirmation."""
@@ -397,17 +409,17 @@ def activity_ratios(df: DataFrame, n: int = 20) -> DataFrame:
         f"avg_volume_{n}": full(F.avg(num("volume")).over(frame), n + 1),
         f"avg_value_{n}": full(F.avg(num("value")).over(frame), n + 1),
         f"avg_freq_{n}": full(F.avg(num("freq")).over(frame), n + 1),
-        "_turnover": turnover,
+        "_turnover": turnover, "_same_shares": same_shares(frame),
     })
     mean_turnover = F.when(F.count("_turnover").over(frame) == n, F.avg("_turnover").over(frame))
     df = df.withColumns({
         "volume_ratio": ratio(num("volume"), f"avg_volume_{n}"),
         "value_ratio": ratio(num("value"), f"avg_value_{n}"),
         "freq_ratio": ratio(num("freq"), f"avg_freq_{n}"),
-        "turnover_ratio": ratio(F.coalesce(F.col("_turnover"), F.lit(0.0)), mean_turnover),
+        "turnover_ratio": turnover_ratio("_turnover", mean_turnover, "_same_shares", f"avg_volume_{n}"),
         "turnover_pct": F.col("_turnover") * 100,
     })
-    return df.withColumn("confirmation_ratio", F.coalesce("turnover_ratio", "volume_ratio")).drop("_turnover")
+    return df.withColumn("confirmation_ratio", F.coalesce("turnover_ratio", "volume_ratio")).drop("_turnover", "_same_shares")
 
 
 def relative_activity(ns: Sequence[int] = (5, 10, 20, 60)) -> dict[str, Column]:
