@@ -57,7 +57,9 @@ def stretches(text: str, size: int) -> Iterator[list[bytes]]:
 
 
 def seed(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    """A language's own bits, from another hash than that of the words: a word that is spelled as its language would
+    else get the id 0 of a gap."""
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1))
 
 
 def together(p: np.ndarray, q: np.ndarray) -> np.ndarray:

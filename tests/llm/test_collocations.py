@@ -70,6 +70,13 @@ def test_ties_and_cuts(spark):
     assert found(spark, rows, least=10) == brute(rows, 10)
 
 
+def test_words_spelled_as_their_language(spark):
+    rows = [(i, "lo que es es bueno, und so", lang) for i, lang in enumerate(["es", "en", None, "und", ""] * 10)]
+    want = brute(rows, 10)
+    assert any(r[0] == "es" and "es" in r[2].split(" ") for r in want)
+    assert found(spark, rows, least=10) == want
+
+
 def test_exact_beyond_64_bits(spark):
     big = 10 ** 13
     df = spark.createDataFrame([(big, 9 * big, [big, 2 * big], [3 * big, big])], "a bigint, n bigint, firsts array<bigint>, rests array<bigint>")
