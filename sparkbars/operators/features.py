@@ -6,6 +6,8 @@ grouped map at the end, which keeps the partitioning. A feature of date d never
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +64,19 @@ def ma_structure(df: DataFrame) -> DataFrame:
     })
 
 
-def features(bars: DataFrame) -> DataFrame:
-    """sym, d, close and the feature columns; the first four rows of a symbol carry none.
+# What the columns that follow the recurrences read.
+STRUCTURE = ("golden_cross", "sma50_vs_sma200", "ma_aligned_bull", "ma_aligned_bear")
+RECURRENCES = [
+    *[((f"ema{n}", f"close_vs_ema{n}", *(STRUCTURE if n in (20, 50, 100) else ())), (f"ema{n}", "ema", {"n": n})) for n in EMA_WINDOWS],
+    *[((f"rsi{n}",), (f"rsi{n}", "rsi_ewm", {"n": n})) for n in RSI_WINDOWS],
+    *[((f"atr{n}", f"atr{n}_pct"), (f"atr{n}", "atr_ewm", {"n": n})) for n in ATR_WINDOWS],
+    (("macd_line", "macd_signal", "macd_hist", "macd_bullish"), ("_macd", "macd", {"seed": "first"})),
+]
+
+
+def features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """sym, d, close and the feature columns; the first four rows of a symbol carry none. ``only`` names the features wanted,
+    else there are all 129: a grouped map needs every column it is given, so Spark cannot leave out what nobody reads.
 
     The windows are laid out in three levels, by what they read: previous rows of the input, then
     frames over those, then frames over frames. Each level is one pass over the sorted rows; the
@@ -156,19 +169,25 @@ def features(bars: DataFrame) -> DataFrame:
         **{f"close_vs_sma{n}": F.when(F.col(f"sma{n}") > 0, c / F.col(f"sma{n}") - 1) for n in SMA_WINDOWS},
         "volume_today": F.col("volume"), "value_today": F.col("value"), "freq_today": F.col("freq"),
     })
-    keep_now = ["sym", "d", "rn", "close", "high", "low"] + [n for n in feature_names() if n in df.columns]
-    df = with_recurrences(df.select(*keep_now), [
-        *[(f"ema{n}", "ema", {"n": n}) for n in EMA_WINDOWS], *[(f"rsi{n}", "rsi_ewm", {"n": n}) for n in RSI_WINDOWS],
-        *[(f"atr{n}", "atr_ewm", {"n": n}) for n in ATR_WINDOWS], ("_macd", "macd", {"seed": "first"})])
+    unknown = sorted(set(only or ()) - set(feature_names()))
+    if unknown:
+        raise ValueError(f"unknown features: {unknown}")
+    wanted = feature_names() if only is None else [n for n in feature_names() if n in set(only)]
+    read = {*wanted, "volume_today", *(("sma20", "sma50", "sma200") if set(wanted) & set(STRUCTURE) else ())}
+    df = df.select("sym", "d", "rn", "close", "high", "low", *[n for n in feature_names() if n in df.columns and n in read])
+    needed = [spec for names, spec in RECURRENCES if set(names) & set(wanted)]
+    df = with_recurrences(df, needed) if needed else df
+    df = ma_structure(df) if set(wanted) & set(STRUCTURE) else df
     long_enough = F.col("rn") >= 26
-    df = ma_structure(df).withColumns({
+    late = {
         **{f"close_vs_ema{n}": F.when(F.col(f"ema{n}") > 0, c / F.col(f"ema{n}") - 1) for n in EMA_WINDOWS},
         **{f"atr{n}_pct": F.when(c > 0, F.col(f"atr{n}") / c) for n in ATR_WINDOWS},
         **{f"macd_{p}": F.when(long_enough & (c != 0), F.col(f"_macd_{p}") / c) for p in ("line", "signal", "hist")},
         "macd_bullish": F.when(long_enough, F.when(F.col("_macd_hist") > 0, 1.0).otherwise(0.0)),
-    })
+    }
+    df = df.withColumns({n: x for n, x in late.items() if n in wanted})
     traded = (F.col("rn") >= 2) & (F.coalesce("volume_today", F.lit(0.0)) > 0)
-    out = [(F.when(traded, F.col(n)) if n in VOLUME_BLOCK else F.col(n)).cast("double").alias(n) for n in feature_names()]
+    out = [(F.when(traded, F.col(n)) if n in VOLUME_BLOCK else F.col(n)).cast("double").alias(n) for n in wanted]
     return df.filter(F.col("rn") >= MIN_ROWS).select("sym", "d", "close", "rn", *out)
 
 

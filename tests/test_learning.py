@@ -310,3 +310,19 @@ def test_pipelines_learn(spark, name):
     df = spark.createDataFrame(rows, "label int, f1 double, f2 double")
     fitted = ml.make_pipeline(name, ["f1", "f2"]).fit(ml.with_class_weights(df))
     assert ml.metrics(ml.score(fitted, df), 0.5).first().roc_auc > 0.85
+
+
+def test_wanted_features_alone(bars, feats):
+    """A model that reads three features does not pay for 129: values as in the full table, nothing else goes through the grouped map."""
+    names = ["rsi14", "macd_bullish", "rel_volume_20d", "ma_aligned_bull", "golden_cross", "close_vs_ema5"]
+    got = ft.features(bars, names)
+    assert set(got.columns) == {"sym", "d", "close", "rn", *names}
+    a = got.orderBy("sym", "d").toPandas()
+    b = feats.select(*got.columns).orderBy("sym", "d").toPandas()
+    pd.testing.assert_frame_equal(a, b)
+    few = ft.features(bars, ["rsi14", "return_5d"])
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "ema5" not in plan and "hvol20" not in plan and "FlatMapGroupsInArrow" in plan
+    assert "FlatMapGroupsInArrow" not in ft.features(bars, ["return_5d"])._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="unknown"):
+        ft.features(bars, ["return_7d"])
