@@ -426,13 +426,40 @@ def relative_activity(ns: Sequence[int] = (5, 10, 20, 60)) -> dict[str, Column]:
     """Today against the mean of the last n rows including today."""
     out: dict[str, Column] = {}
     for n in ns:
-        vol, val = F.avg("volume").over(trail(n)), F.avg("value").over(trail(n))
-        out[f"rel_volume_{n}d"] = full(F.col("volume") / (vol + 1e-10), n + 1)
-        out[f"rel_value_{n}d"] = full(F.col("value") / (val + 1e-10), n + 1)
-        out[f"avg_value_{n}d"] = full(val, n + 1)
+        out |= _relative(n, F.avg("volume").over(trail(n)), F.avg("value").over(trail(n)))
     return out
 
 
+def _relative(n: int, vol: Column, val: Column) -> dict[str, Column]:
+    return {f"rel_volume_{n}d": full(F.col("volume") / (vol + 1e-10), n + 1), f"rel_value_{n}d": full(F.col("value") / (val + 1e-10), n + 1),
+            f"avg_value_{n}d": full(val, n + 1)}
+
+
+def with_relative_activity(df: DataFrame, ns: Sequence[int] = (5, 10, 20, 60)) -> DataFrame:
+    """``relative_activity`` in two levels: the sum and the number of known values of several times ``SHORT`` rows are those of
+    lagged frames of ``SHORT`` rows, so a row is read 20 times for the means of 20 and 60 rows instead of 80."""
+    df, xs = with_rn(df), ("volume", "value")
+    wide = [n for n in ns if n % SHORT == 0]
+    if not wide:
+        return df.withColumns(relative_activity(ns))
+    kept = [f"_{kind}_{x}" for kind in ("sum", "n") for x in xs]
+    df = df.withColumns({
+        **{f"_sum_{x}": F.coalesce(F.sum(F.col(x).cast("double")).over(trail(SHORT)), F.lit(0.0)) for x in xs},
+        **{f"_n_{x}": F.count(x).over(trail(SHORT)) for x in xs}, **relative_activity([n for n in ns if n not in wide])})
+
+    def over(name: str, n: int) -> Column:
+        total = F.col(name)
+        for k in range(SHORT, n, SHORT):
+            total = total + F.coalesce(lagged(name, k), F.lit(0))
+        return total
+
+    means = {f"_mean_{x}_{n}": F.try_divide(over(f"_sum_{x}", n), over(f"_n_{x}", n)) for n in wide for x in xs}
+    df = df.withColumns(means)
+    for n in wide:
+        df = df.withColumns(_relative(n, F.col(f"_mean_volume_{n}"), F.col(f"_mean_value_{n}")))
+    return df.drop(*kept, *means)
+
+
 def breakout(df: DataFrame, n: int = 20) -> DataFrame:
     """Adjusted close beyond the highs or lows of the n rows before it."""
     df = df if "adj_high" in df.columns else back_adjust(df)
