@@ -61,7 +61,7 @@ def technicals(bars: DataFrame) -> DataFrame:
     hi, lo = F.max("adj_high").over(b20), F.min("adj_low").over(b20)
     enough = F.col("rn") > 20
     df = df.withColumns({
-        "diff": adj - base[1], "log_ret": F.when((adj > 0) & (base[1] > 0), F.log(adj / base[1])), "max_drawdown60": w.max_drawdown(60),
+        "diff": adj - base[1], "log_ret": F.when((adj > 0) & (base[1] > 0), F.log(adj / base[1])),
         **{f"ret_{n}": F.when(base[n] > 0, (adj / base[n] - 1) * 100) for n in base},
         "high_20": hi, "low_20": lo, "breakout_20": F.coalesce(enough & (adj > hi), F.lit(False)), "new_low_20": F.coalesce(enough & (adj < lo), F.lit(False)),
         "sma20": w.sma("adj", 20), "_sum10": F.sum("adj").over(t(10)),
@@ -73,7 +73,7 @@ def technicals(bars: DataFrame) -> DataFrame:
     vol = F.when(F.count("log_ret").over(t(20)) >= 2, F.stddev_pop("log_ret").over(t(20)) * (w.YEAR * 100))
     df = df.withColumns({"sma50": w.full(total50 / 50, 50), "sma200": w.full(total200 / 200, 200), "rsi14": w.rsi_cutler(14), "volatility20": w.full(vol, 21)})
     df = df.withColumns({f"dist_sma{n}": F.when(F.col(f"sma{n}") != 0, (adj / F.col(f"sma{n}") - 1) * 100) for n in (20, 50, 200)})
-    df = df.drop("diff", "log_ret", "_sum10")
+    df = w.with_max_drawdown(df.drop("diff", "log_ret", "_sum10"), "max_drawdown60", 60)
     if {"bid", "offer"} <= set(df.columns):
         df = df.withColumn("spread_pct", spread_pct("bid", "offer"))
     if {"bid_vol", "offer_vol"} <= set(df.columns):

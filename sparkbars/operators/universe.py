@@ -28,7 +28,7 @@ def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: D
                     min_history: int = MIN_HISTORY, min_value: float = MIN_VALUE, min_freq: float = MIN_FREQ,
                     min_price: float = MIN_PRICE, extreme_days: int = EXTREME_DAYS, stat: str = "mean") -> DataFrame:
     """Status of every symbol on every date it has a bar, from rows up to that date only. One window
-    chain replaces the loop over dates; look-backs in calendar days are range frames over day numbers.
+    chain replaces the loop over dates; look-backs in calendar days are differences of running totals.
     ``actions`` has (sym, d, confidence); ``stat`` chooses mean or median of the last 20 bars."""
     df = bars.filter(F.col("close").isNotNull())
     if actions is not None:
@@ -36,14 +36,15 @@ def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: D
         df = df.join(high, ["sym", "d"], "left")
     else:
         df = df.withColumn("_ca", F.lit(None).cast("int"))
-    df = w.with_rn(df).withColumn("_day", F.datediff("d", F.lit("1970-01-01").cast("date")))
-    recent = Window.partitionBy("sym").orderBy("_day").rangeBetween(-EVENT_DAYS, 0)
+    df = w.with_rn(df.withColumn("d", F.col("d").cast("date")))
     move = F.when(F.col("prev") > 0, F.abs((F.col("close") - F.col("prev")) / F.col("prev")))
     idle = F.when(num("volume") > 0, 0.0).otherwise(1.0)
     middle = (lambda x: F.percentile(x, 0.5)) if stat == "median" else F.avg
     # The last 20 priced rows, not the priced ones of the last 20 rows: a row counter of priced rows as range.
     some = F.col("close") > 0
     df = df.withColumns({"_move": move, "_idle": idle, "_nth": F.count(F.when(some, 1)).over(w.so_far())})
+    flag = lambda cond: F.when(cond, 1).otherwise(0)
+    df = df.withColumns({"_warned": flag(F.col("_move") > WARNING_MOVE), "_jumped": flag(F.col("_move") >= EXTREME_MOVE)})
     df = df.withColumns({f"_{c}": F.when(some, F.col(c)) for c in ("close", "value", "freq")})
     last20 = Window.partitionBy("sym").orderBy("_nth").rangeBetween(-19, 0)
     df = df.withColumns({
@@ -53,9 +54,8 @@ def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: D
         "freq_20": middle("_freq").over(last20),
         "zero_vol_ratio": F.avg("_idle").over(w.so_far()),
         "last_active": F.max(F.when((num("volume") > 0) & (F.col("close") > 0), F.col("d"))).over(w.so_far()),
-        "_warn": F.sum(F.when(F.col("_move") > WARNING_MOVE, 1).otherwise(0)).over(recent),
-        "_extreme": F.sum(F.when(F.col("_move") >= EXTREME_MOVE, 1).otherwise(0)).over(recent),
-        "_verified": F.sum(F.coalesce("_ca", F.lit(0))).over(recent),
+        "_warn": w.count_in_days("_warned", EVENT_DAYS), "_extreme": w.count_in_days("_jumped", EVENT_DAYS),
+        "_verified": w.count_in_days("_ca", EVENT_DAYS),
     })
     if master is not None:
         df = df.join(master.select("sym", "board"), "sym", "left")

@@ -102,6 +102,13 @@ def with_means(df: DataFrame, wanted: dict[str, tuple[str, int]], step: int = 10
     return df.withColumns(out).drop(*[f"_sum_{x}" for x in bases])
 
 
+def count_in_days(flag: str, days: int) -> Column:
+    """Sum of a 0/1 column over the last calendar days, today included: the total so far less that before those days. Both frames
+    only grow, so a row is read twice however many sessions the days hold."""
+    earlier = F.expr(f"sum({flag}) over (partition by sym order by d range between unbounded preceding and {days + 1} preceding)")
+    return F.coalesce(F.sum(flag).over(so_far()), F.lit(0)) - F.coalesce(earlier, F.lit(0))
+
+
 # ---- back-adjusted prices ------------------------------------------------------------------
 
 def reference_gap(bars: DataFrame) -> DataFrame:
@@ -240,20 +247,30 @@ def hvol_percentile(df: DataFrame, n: int = 20, look: int = 60) -> DataFrame:
     return df.withColumn("hvol_pctile", value).drop("_seen")
 
 
-def max_drawdown(n: int = 60, x: str = "adj") -> Column:
-    """Worst fall below the running peak inside the trailing window, in percent (needs two rows).
-    The list is bounded by the window length."""
-    step = F.aggregate(
-        F.collect_list(x).over(trail(n)),
-        F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd")),
-        lambda a, v: F.struct(
-            F.greatest(a["peak"], v).alias("peak"),
-            F.when(F.greatest(a["peak"], v) > 0, F.least(a["dd"], v / F.greatest(a["peak"], v) - 1))
-            .otherwise(a["dd"]).alias("dd"),
-        ),
-        lambda a: a["dd"] * 100,
-    )
-    return full(step, 2)
+def with_max_drawdown(df: DataFrame, name: str, n: int = 60, x: str = "adj") -> DataFrame:
+    """Worst fall of a price (not below zero) from the running peak of the trailing window, in percent (needs two rows). The fall in two
+    successive blocks is the worst of either's and of the second's low below the first's peak, so n rows are put together
+    from five times fewer blocks at each level."""
+    df, zero = with_rn(df), F.lit(0.0)
+    fall = lambda peak, low: F.when(peak > 0, low / peak - 1)
+
+    def joined(parts: list[tuple[Column, Column, Column]]) -> dict[str, Column]:
+        """Peak, low and fall of blocks in order, oldest first; a block before the first row is NULL, and so passed over."""
+        falls = [d for _, _, d in parts]
+        for i in range(1, len(parts)):
+            falls.append(fall(F.greatest(zero, *[p for p, _, _ in parts[:i]]), parts[i][1]))
+        greatest, least = (lambda xs: F.greatest(*xs) if len(xs) > 1 else xs[0]), (lambda xs: F.least(*xs) if len(xs) > 1 else xs[0])
+        return {"_peak": greatest([p for p, _, _ in parts]), "_low": least([v for _, v, _ in parts]), "_fall": F.least(zero, *falls)}
+
+    value = F.col(x)
+    df = df.withColumns({"_peak": F.greatest(zero, value), "_low": value, "_fall": zero})
+    size = 1
+    while size < n:
+        count = next((k for k in (5, 4, 3, 2) if n % (size * k) == 0), n // size)
+        lag = lambda c, k: F.lag(c, k * size).over(by_date()) if k else F.col(c)
+        df = df.withColumns(joined([(lag("_peak", k), lag("_low", k), lag("_fall", k)) for k in reversed(range(count))]))
+        size *= count
+    return df.withColumn(name, full(F.col("_fall") * 100, 2)).drop("_peak", "_low", "_fall")
 
 
 def drawdown_ath(x: str = "close") -> Column:
