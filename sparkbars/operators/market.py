@@ -194,16 +194,10 @@ def coverage(df: DataFrame, date: str, fields: tuple[str, ...], key: str = "sym"
 
 def xs_ranks(bars: DataFrame) -> DataFrame:
     """Percentile ranks per date (mean rank of ties over the non-null count) of the 1-, 5- and
-    20-session returns and of traded value. The four measures are ranked in one pass."""
-    df = bars.withColumns({f"_r{n}": F.try_divide(F.col("close"), w.lagged("close", n)) - 1 for n in (1, 5, 20)})
-    long = df.select("d", "sym", F.explode(F.array(
-        *[F.struct(F.lit(f"return_rank_{n}d").alias("measure"), F.col(f"_r{n}").alias("x")) for n in (1, 5, 20)],
-        F.struct(F.lit("value_rank").alias("measure"), num("value").alias("x")))).alias("m")
-    ).select("d", "sym", "m.measure", "m.x")
-    ranked = scale.with_ranks(long, ["d", "measure"], "x")
-    pct = (F.col("rank") + (F.col("ties") - 1) / 2) / F.col("n")
-    names = ("return_rank_1d", "return_rank_5d", "return_rank_20d", "value_rank")
-    return ranked.groupBy("d", "sym").agg(*[F.max(F.when(F.col("measure") == m, pct)).alias(m) for m in names])
+    20-session returns and of traded value. A row is sent once for each measure."""
+    x = {f"return_rank_{n}d": F.try_divide(F.col("close"), w.lagged("close", n)) - 1 for n in (1, 5, 20)} | {"value_rank": num("value")}
+    ranked = scale.with_all_ranks(bars.select("d", "sym", *[c.alias(name) for name, c in x.items()]), ["d"], list(x))
+    return ranked.select("d", "sym", *[((F.col(f"rank_{m}") + (F.col(f"ties_{m}") - 1) / 2) / F.col(f"n_{m}")).alias(m) for m in x])
 
 
 def market_features(bars: DataFrame) -> DataFrame:

@@ -18,9 +18,12 @@ PER_OCTAVE = 4096.0  # buckets per factor e; neighbours in one bucket differ by
 OFFSET = 3_000_000   # above PER_OCTAVE * 710, the exponent range of doubles
 
 
-def bucket(v: Column) -> Column:
+COARSE = 64.0        # the same where rows themselves meet in a bucket: neighbours within 1.6%
+
+
+def bucket(v: Column, per_octave: float = PER_OCTAVE) -> Column:
     """Monotone bucket number of a double: logarithmic on both sides of zero."""
-    size = F.floor(F.log(F.abs(v)) * PER_OCTAVE) + OFFSET
+    size = F.floor(F.log(F.abs(v)) * per_octave) + OFFSET
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
@@ -65,26 +68,61 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return c.select(*group, value, "ties", (F.col("ties_before") + 1).alias("rank"), F.col("ties_all").alias("n"))
 
 
+def with_all_ranks(df: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Every row with ``rank_<value>`` (least, 1-based), ``ties_<value>`` and ``n_<value>`` of its value in its group; NULL where
+    the value is not a finite number. Values become doubles. A row meets only those of its group in the same coarse bucket,
+    once for each value; where the buckets start is counted for all values in one pass, and that table is bounded by the
+    groups and the resolution. The bucket number names the value as well, so one table serves all joins."""
+    count = len(values)
+    df = df.withColumns({v: F.col(v).cast("double") + F.lit(0.0) for v in values})
+    known = {v: F.abs(v) < F.lit(float("inf")) for v in values}
+    keys = {v: F.when(known[v], bucket(F.col(v), COARSE) * count + i) for i, v in enumerate(values)}
+    totals = (df.select(*group, F.explode(F.array_compact(F.array(*keys.values()))).alias("_b"))
+              .groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n")))
+    whole = Window.partitionBy(*group, F.pmod("_b", F.lit(count)))
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_all"))
+    for v in values:
+        rows = df.withColumn("_b", keys[v])
+        inside = Window.partitionBy(*group, "_b")
+        rows = rows.withColumns({f"rank_{v}": F.rank().over(inside.orderBy(v)), f"ties_{v}": F.count(F.lit(1)).over(Window.partitionBy(*group, "_b", v))})
+        rows = rows.join(starts, [*group, "_b"], "left")
+        placed = F.col("_start").isNotNull()
+        df = rows.withColumns({
+            f"rank_{v}": F.col("_start") + F.col(f"rank_{v}"), f"ties_{v}": F.when(placed, F.col(f"ties_{v}")), f"n_{v}": F.col("_all"),
+        }).drop("_b", "_start", "_all")
+    return df
+
+
 def with_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Every row with the rank of its value; rows with NULL keep NULL ranks. The join key holds the
-    value itself, and adaptive execution splits a value that very many rows share."""
-    ranks = value_ranks(df, group, value)
-    keyed = df.withColumn(value, F.col(value).cast("double") + F.lit(0.0))
-    return keyed.join(ranks, [*group, value], "left")
+    """Every row with ``rank``, ``ties`` and ``n`` of its value; rows without a finite value keep NULL ranks."""
+    ranked = with_all_ranks(df, group, [value])
+    return ranked.withColumnsRenamed({f"{k}_{value}": k for k in ("rank", "ties", "n")})
 
 
 def group_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group without holding a group in one place."""
-    ranks = value_ranks(df, group, value)
-    last = F.col("rank") + F.col("ties") - 1
-    aggs = []
-    for name, q in qs.items():
-        pos = (F.col("n") - 1) * F.lit(q) + 1
-        for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            aggs.append(F.max(F.when((F.col("rank") <= k) & (k <= last), F.col(value))).alias(f"_{name}_{side}"))
-    out = ranks.groupBy(*group).agg(F.max("n").alias("_n"), *aggs)
+    """Exact interpolated quantiles per group without holding a group in one place: coarse buckets are counted first, then only
+    the values of the buckets that a quantile falls into are looked at. These are two a group and quantile, so their names
+    are sent to every task."""
+    v = F.col(value).cast("double") + F.lit(0.0)
+    rows = df.filter(F.abs(v) < F.lit(float("inf"))).select(*group, v.alias("_v"), bucket(v, COARSE).alias("_b"))
+    totals = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_b", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_all"))
+    places = {f"_{name}_{side}": edge((F.col("_all") - 1) * F.lit(q) + 1) for name, q in qs.items() for side, edge in (("lo", F.floor), ("hi", F.ceil))}
+    hit = F.lit(False)
+    for k in places.values():
+        hit = hit | ((k > F.col("_start")) & (k <= F.col("_start") + F.col("_n")))
+    wanted = starts.filter(hit).drop("_n")
+    values = rows.join(F.broadcast(wanted), [*group, "_b"]).groupBy(*group, "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_ties"), F.first("_start").alias("_start"), F.first("_all").alias("_all"))
+    last = F.col("_start") + F.sum("_ties").over(Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("_last", last)
+    out = values.groupBy(*group).agg(F.max("_all").alias("_all"), *[
+        F.max(F.when((F.col("_last") - F.col("_ties") < k) & (k <= F.col("_last")), F.col("_v"))).alias(name) for name, k in places.items()])
     for name, q in qs.items():
-        frac = (F.col("_n") - 1) * F.lit(q) % 1
+        frac = (F.col("_all") - 1) * F.lit(q) % 1
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out = out.withColumn(name, lo + (hi - lo) * frac)
     return out.select(*group, *qs)

@@ -1,5 +1,7 @@
 """Exact order statistics under ties and skew."""
 
+import math
+import random
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -63,3 +65,32 @@ def test_numbered_equals_one_sort(spark):
     key = lambda r: (r[2] is None or r[2] != r[2], 0.0 if r[2] is None or r[2] != r[2] else -r[2], r[0], r[1])
     assert got["rank"].tolist() == list(range(1, len(rows) + 1))
     assert list(zip(got["g"], got["id"])) == [(g, i) for g, i, _ in sorted(rows, key=key)]
+
+
+def test_all_ranks_meet_in_coarse_buckets(spark):
+    """Several values ranked beside each other, ties, odd values and both signs; a row is sent once a value, and no window holds a group."""
+    rng = random.Random(7)
+    odd = [None, float("nan"), float("inf"), 0.0, -0.0, 1e-300, -1e300]
+    rows = [(g, i, *[rng.choice(odd) if rng.random() < 0.1 else round(rng.gauss(0, 1), 2) for _ in "ab"]) for g in ("x", "y") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id int, a double, b double")
+    ranked = scale.with_all_ranks(df, ["g"], ["a", "b"])
+    got = {(r.g, r.id): r for r in ranked.collect()}
+    assert len(got) == len(rows)
+    for g, i, *values in rows:
+        for k, (name, v) in enumerate(zip("ab", values)):
+            r, others = got[g, i], [row[2 + k] for row in rows if row[0] == g and row[2 + k] is not None and math.isfinite(row[2 + k])]
+            known = v is not None and math.isfinite(v)
+            want = (1 + sum(x < v for x in others), sum(x == v for x in others), len(others)) if known else (None, None, None)
+            assert (r[f"rank_{name}"], r[f"ties_{name}"], r[f"n_{name}"]) == want
+
+
+def test_quantiles_look_at_few_buckets_only(spark):
+    """Only values of the buckets a quantile falls into are grouped by value."""
+    df = spark.range(2000).selectExpr("id % 3 AS g", "CAST(id * id % 1999 AS DOUBLE) - 700 AS x")
+    out = scale.group_quantiles(df, ["g"], "x", {"m": 0.5, "p": 0.9})
+    pdf = df.toPandas()
+    for r in out.collect():
+        xs = pdf[pdf.g == r.g].x
+        assert math.isclose(r.m, xs.quantile(0.5), rel_tol=1e-12) and math.isclose(r.p, xs.quantile(0.9), rel_tol=1e-12)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
