@@ -26,7 +26,7 @@ def _write_csv(df: DataFrame, path: str, sep: str) -> None:
        B1 + f", q AS (SELECT sym, d, {CENTS} AS close, volume, freq FROM bars)")
 def _(t: Tables):
     """Three layouts in one folder: other headers, column orders, date formats and separators."""
-    bars = t.bars().select("sym", "d", (F.floor(F.col("close") * 100) / 100).alias("close"), "volume", "freq").withColumn(
+    bars = t.bars(windows=False).select("sym", "d", (F.floor(F.col("close") * 100) / 100).alias("close"), "volume", "freq").withColumn(
         "k", F.substring("sym", 2, 20).cast("long") % 3)
     path = work_path(t.spark, "layouts")
     day = F.date_format("d", "dd/MM/yyyy")
@@ -109,7 +109,7 @@ def _(t: Tables):
        B1 + """, q AS (SELECT kind, sym, d, close, volume, 'a "b", c' AS name FROM bars, (SELECT UNNEST(['csv', 'json', 'parquet']) AS kind))""")
 def _(t: Tables):
     """What the sinks write, as a reader finds it: a mark before the first header, quotes doubled, NULL fields kept."""
-    bars = t.bars().select("sym", "d", "close", "volume", F.lit('a "b", c').alias("name"), F.lit(None).cast("string").alias("nothing"))
+    bars = t.bars(windows=False).select("sym", "d", "close", "volume", F.lit('a "b", c').alias("name"), F.lit(None).cast("string").alias("nothing"))
     path = work_path(t.spark, "exports")
     store.write_csv(bars, f"{path}/csv")
     store.write_json(bars, f"{path}/json")

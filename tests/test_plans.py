@@ -11,6 +11,11 @@ from sparkbars.operators import labels as lb
 from sparkbars.operators import market
 from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
+from sparkbars.plans import catalogue
+from sparkbars.plans.base import Tables
+from sparkbars.sources import trades
+
+SMALLEST = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +94,19 @@ def test_fold_bounds_are_read_once(stored):
     span = rows.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
     text = plan(ml.fold_rows(rows, ml.folds(stored.sparkSession, F.lit(span.a), F.lit(span.b), 6, 2, 5, 2)))
     assert len(re.findall(r"FileScan", text)) <= 2
+
+
+def test_parts_per_symbol_follow_the_table(spark, monkeypatch):
+    """A task's share of the windows stays the same size however many trades there are, by the exchange that is there anyway."""
+    rows = spark.read.parquet(f"{SMALLEST}/lineitem.parquet").count()
+    queries = [catalogue()[name] for name in ("market_movers", "accumulation_by_period")]
+    before = [sorted(map(tuple, q.run(spark, SMALLEST).collect())) for q in queries]
+    exchanges = [plan(q.run(spark, SMALLEST)).count("Exchange hashpartitioning") for q in queries]
+    monkeypatch.setattr(trades, "ROWS_A_PART", 500)
+    parts = -(-rows // 500)
+    for q, rows_before, count in zip(queries, before, exchanges):
+        df = q.run(spark, SMALLEST)
+        text = plan(df)
+        assert len(re.findall(rf"Exchange hashpartitioning\(sym#\d+, {parts}\)", text)) == 1 and text.count("Exchange hashpartitioning") == count
+        assert sorted(map(tuple, df.collect())) == rows_before
+    assert f", {parts})" not in plan(Tables(spark, SMALLEST).bars(windows=False))
