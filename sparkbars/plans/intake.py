@@ -111,9 +111,11 @@ def _(t: Tables):
     """What the sinks write, as a reader finds it: a mark before the first header, quotes doubled, NULL fields kept."""
     bars = t.bars(windows=False).select("sym", "d", "close", "volume", F.lit('a "b", c').alias("name"), F.lit(None).cast("string").alias("nothing"))
     path = work_path(t.spark, "exports")
-    store.write_csv(bars, f"{path}/csv")
-    store.write_json(bars, f"{path}/json")
     store.write_bars(bars, f"{path}/parquet")
+    # The bars are worked out once; the text sinks write what was stored.
+    stored = t.spark.read.parquet(f"{path}/parquet").select(*bars.columns)
+    store.write_csv(stored, f"{path}/csv")
+    store.write_json(stored, f"{path}/json")
     csv = t.spark.read.csv(f"{path}/csv", header=True, escape='"')
     csv = csv.withColumnRenamed(csv.columns[0], csv.columns[0].removeprefix(store.BOM))
     found = {"csv": csv, "json": t.spark.read.schema(csv.schema).json(f"{path}/json"), "parquet": t.spark.read.parquet(f"{path}/parquet")}

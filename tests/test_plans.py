@@ -13,7 +13,7 @@ from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
 from sparkbars.plans import catalogue
 from sparkbars.plans.base import Tables
-from sparkbars.sources import trades
+from sparkbars.sources import store, trades
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -99,7 +99,7 @@ def test_fold_bounds_are_read_once(stored):
 def test_parts_per_symbol_follow_the_table(spark, monkeypatch):
     """A task's share of the windows stays the same size however many trades there are, by the exchange that is there anyway."""
     rows = spark.read.parquet(f"{SMALLEST}/lineitem.parquet").count()
-    queries = [catalogue()[name] for name in ("market_movers", "accumulation_by_period")]
+    queries = [catalogue()[name] for name in ("market_movers", "accumulation_by_period", "flow_rankings", "identical_breakdown_alarm")]
     before = [sorted(map(tuple, q.run(spark, SMALLEST).collect())) for q in queries]
     exchanges = [plan(q.run(spark, SMALLEST)).count("Exchange hashpartitioning") for q in queries]
     monkeypatch.setattr(trades, "ROWS_A_PART", 500)
@@ -110,3 +110,13 @@ def test_parts_per_symbol_follow_the_table(spark, monkeypatch):
         assert len(re.findall(rf"Exchange hashpartitioning\(sym#\d+, {parts}\)", text)) == 1 and text.count("Exchange hashpartitioning") == count
         assert sorted(map(tuple, df.collect())) == rows_before
     assert f", {parts})" not in plan(Tables(spark, SMALLEST).bars(windows=False))
+
+
+def test_exported_bars_are_worked_out_once(spark, monkeypatch):
+    """The text sinks write what the first sink stored, rather than aggregating the trades again."""
+    plans = []
+    for name in ("write_csv", "write_json"):
+        monkeypatch.setattr(store, name, lambda df, path, sink=getattr(store, name): (plans.append(plan(df)), sink(df, path)))
+    got = catalogue()["exported_files"].run(spark, SMALLEST)
+    assert len(plans) == 2 and not any("lineitem" in p or "Exchange" in p for p in plans)
+    assert {r["count"] for r in got.groupBy("kind").count().collect()} == {Tables(spark, SMALLEST).bars().count()}
