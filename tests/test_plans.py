@@ -13,7 +13,7 @@ from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
 from sparkbars.plans import catalogue
 from sparkbars.plans.base import Tables
-from sparkbars.sources import store, trades
+from sparkbars.sources import landing, store, trades
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -120,3 +120,14 @@ def test_exported_bars_are_worked_out_once(spark, monkeypatch):
     got = catalogue()["exported_files"].run(spark, SMALLEST)
     assert len(plans) == 2 and not any("lineitem" in p or "Exchange" in p for p in plans)
     assert {r["count"] for r in got.groupBy("kind").count().collect()} == {Tables(spark, SMALLEST).bars().count()}
+
+
+def test_header_lines_are_found_without_sorting_lines(spark, tmp_path):
+    """Several files a task, some empty, one with a header only and one that is its own neighbour's copy."""
+    texts = {f"{k}.csv": f"date,code,h{k % 3}\n" + f"2024-01-02,A{k},1\n" * (k * 40) for k in range(9)} | {"none.csv": "", "last.csv": "date;code"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    df = landing.headers(spark, str(tmp_path))
+    assert not re.search(r"Sort|Aggregate|Exchange", plan(df))
+    got = df.collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.header) for r in got) == sorted((n, x.split("\n")[0]) for n, x in texts.items() if x)
