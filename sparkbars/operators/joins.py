@@ -92,9 +92,13 @@ def one_page(rows: DataFrame, order: Sequence[Column], page: int, size: int) ->
     return top.filter(F.ceil(F.col("_n") / size) == F.col("page")).drop("_n")
 
 
-def eod_panel(tech: DataFrame, liquidity: DataFrame, flow: DataFrame, master: DataFrame) -> DataFrame:
-    """Technical rows with the liquidity and flow tables of the same (symbol, date), named."""
-    out = tech.join(liquidity, ["sym", "d"], "left").join(flow, ["sym", "d"], "left")
+def eod_panel(tech: DataFrame, liquidity: DataFrame | None, flow: DataFrame | None, master: DataFrame) -> DataFrame:
+    """Technical rows with the liquidity and flow tables of the same (symbol, date), named. A table is None where ``tech`` has
+    its columns already: what comes from the same bars is worked out in one pass over them and needs no join."""
+    out = tech
+    for table in (liquidity, flow):
+        if table is not None:
+            out = out.join(table, ["sym", "d"], "left")
     return with_name(out, master)
 
 

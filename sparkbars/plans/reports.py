@@ -293,11 +293,8 @@ def _(t: Tables):
        q AS (SELECT e.*, COALESCE(name, sym) AS name, mid + 2 * sd AS bb_upper, mid - 2 * sd AS bb_lower,
          CASE WHEN sc >= 80 THEN 'high' WHEN sc >= 50 THEN 'medium' WHEN sc IS NOT NULL THEN 'low' END AS liq_level FROM e LEFT JOIN master USING (sym))""")
 def _(t: Tables):
-    bars = t.bars()
-    tech = w.stoch(w.bollinger(bars, ddof=1), flat="null")
-    liq = w.liquidity_score(bars).select("sym", "d", "liq_level")
-    flow = w.with_rn(bars).withColumns(w.flow_20d()).select("sym", "d", "flow_net_20", "flow_pct_20")
-    return j.eod_panel(tech, liq, flow, t.master())
+    tech = w.stoch(w.bollinger(t.bars(), ddof=1), flat="null")
+    return j.eod_panel(w.liquidity_score(tech).withColumns(w.flow_20d()), None, None, t.master())
 
 
 @query("range_positions", "A15 D4", "sym min_close:4 max_close:4 latest_close:4 days range_pos_pct:6",

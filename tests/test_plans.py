@@ -131,3 +131,8 @@ def test_header_lines_are_found_without_sorting_lines(spark, tmp_path):
     assert not re.search(r"Sort|Aggregate|Exchange", plan(df))
     got = df.collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.header) for r in got) == sorted((n, x.split("\n")[0]) for n, x in texts.items() if x)
+
+
+def test_panel_is_one_pass_over_the_trades(spark):
+    text = plan(catalogue()["eod_panel"].run(spark, SMALLEST))
+    assert len(re.findall(r"FileScan parquet \[l_", text)) == 1 and "round(" not in text
