@@ -228,6 +228,21 @@ def hvol(n: int) -> Column:
     return full(F.stddev_samp("pc").over(trail(n)) * YEAR, n + 1)
 
 
+def with_hvols(df: DataFrame, n: int = 20, blocks: int = 3) -> DataFrame:
+    """``hvol`` of n rows and of ``blocks`` times as many. The wide one is put together from the counts, means and squared
+    deviations of lagged blocks of n rows, so a row is read n times and not (1 + blocks) * n times."""
+    frame, zero = trail(n), F.lit(0.0)
+    df = df.withColumns({"_sd": F.stddev_samp("pc").over(frame), "_k": F.count("pc").over(frame), "_m": F.coalesce(F.avg("pc").over(frame), zero)})
+    df = df.withColumn("_q", F.coalesce(F.col("_sd") * F.col("_sd") * (F.col("_k") - 1), zero))
+    parts = [{c: F.coalesce(lagged(c, i * n) if i else F.col(c), F.lit(0)) for c in ("_k", "_m", "_q")} for i in range(blocks)]
+    df = df.withColumns({"_n": sum((p["_k"] for p in parts), F.lit(0)), "_sum": sum((p["_k"] * p["_m"] for p in parts), zero)})
+    df = df.withColumn("_mean", F.try_divide("_sum", F.col("_n")))
+    squares = sum((p["_q"] + p["_k"] * (p["_m"] - F.col("_mean")) * (p["_m"] - F.col("_mean")) for p in parts), zero)
+    wide = F.when(F.col("_n") > 1, F.sqrt(squares / (F.col("_n") - 1))) * YEAR
+    df = df.withColumns({f"hvol{n}": full(F.col("_sd") * YEAR, n + 1), f"hvol{n * blocks}": full(wide, n * blocks + 1)})
+    return df.drop("_sd", "_k", "_m", "_q", "_n", "_sum", "_mean")
+
+
 def downside_vol(n: int) -> Column:
     """Rising and undefined days count as zero."""
     down = F.when(F.col("pc") < 0, F.col("pc")).otherwise(F.lit(0.0))
