@@ -76,7 +76,7 @@ def _(t: Tables):
        q AS (SELECT payload FROM m WHERE CAST(y AS INT) % 2 = 0)""")
 def _(t: Tables):
     """A file per month, of which the odd years' are in the ledger already; each is landed twice."""
-    months = t.bars().groupBy(F.date_format("d", "yyyy-MM").alias("m")).agg(F.count(F.lit(1)).alias("n")).select(
+    months = t.bars(windows=False).groupBy(F.date_format("d", "yyyy-MM").alias("m")).agg(F.count(F.lit(1)).alias("n")).select(
         "m", F.concat_ws(":", "m", "n").alias("value"))
     path = work_path(t.spark, "ledger")
     for copy in ("a", "b"):
@@ -93,7 +93,7 @@ def _(t: Tables):
 def _(t: Tables):
     """All dates; a correction of the last sixty days that dies once and is repeated; the last six days emptied; a batch
     that is written and never published."""
-    bars = t.bars().select("sym", "d", "close")
+    bars = t.bars(windows=False).select("sym", "d", "close")
     last = bars.agg(F.max("d").alias("z")).first().z
     table = Snapshots(t.spark, work_path(t.spark, "snapshots"))
     table.commit(bars, "b1")

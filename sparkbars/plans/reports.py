@@ -62,20 +62,20 @@ def _(t: Tables):
        B1 + """, q AS (SELECT COUNT(DISTINCT sym) AS symbols, SUM(fbuy - fsell) AS net_foreign, SUM((fbuy - fsell) * close) AS net_foreign_value,
          CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM bars WHERE d >= (SELECT MAX(d) FROM bars) - 364)""")
 def _(t: Tables):
-    bars = t.bars()
+    bars = t.bars(windows=False)
     return a.totals(a.accumulate(bars, dates.period_start(dates.latest_date(bars), "year")))
 
 
 @query("period_keys", "P9", "d:date " + " ".join(f"k_{k}" for k in KEYS_SQL),
        B1 + ", q AS (SELECT DISTINCT d, " + ", ".join(f"{x} AS k_{k}" for k, x in KEYS_SQL.items()) + " FROM bars)")
 def _(t: Tables):
-    return t.bars().select("d").distinct().select("d", *[dates.period_key("d", k).alias(f"k_{k}") for k in dates.PERIOD_KINDS])
+    return t.bars(windows=False).select("d").distinct().select("d", *[dates.period_key("d", k).alias(f"k_{k}") for k in dates.PERIOD_KINDS])
 
 
 @query("trailing_period_starts", "P10", "d:date " + " ".join(f"s_{k}:date" for k in dates.TRAILING_DAYS),
        B1 + ", q AS (SELECT DISTINCT d, " + ", ".join(f"d - {n - 1} AS s_{k}" for k, n in dates.TRAILING_DAYS.items()) + " FROM bars)")
 def _(t: Tables):
-    return t.bars().select("d").distinct().select("d", *[dates.period_start("d", k).alias(f"s_{k}") for k in dates.TRAILING_DAYS])
+    return t.bars(windows=False).select("d").distinct().select("d", *[dates.period_start("d", k).alias(f"s_{k}") for k in dates.TRAILING_DAYS])
 
 
 # ---- brokers ----------------------------------------------------------------------------------------
@@ -231,13 +231,13 @@ def _(t: Tables):
 @query("bars_of_eligible_symbols", "J4", "sym d:date close:4",
        B1 + f", {MASTER}, q AS (SELECT * FROM bars WHERE sym IN (SELECT sym FROM master WHERE board = 'EUROPE'))")
 def _(t: Tables):
-    return j.restrict(t.bars(), t.master().filter(F.col("board") == "EUROPE"))
+    return j.restrict(t.bars(windows=False), t.master().filter(F.col("board") == "EUROPE"))
 
 
 @query("ohlcv_view", "S22", "date:date ticker open:4 high:4 low:4 close:4 volume",
        B1 + ", q AS (SELECT d AS date, sym AS ticker, open, high, low, close, volume FROM bars)")
 def _(t: Tables):
-    return j.ohlcv_view(t.bars())
+    return j.ohlcv_view(t.bars(windows=False))
 
 
 FUND_SQL = """fund AS (SELECT 'S' || l_suppkey AS sym, year(l_shipdate) * 10 + quarter(l_shipdate) AS yq, CAST(MAX(l_shipdate) AS DATE) AS as_of, CAST(MAX(l_shipdate) AS DATE) AS synced_at,
@@ -275,14 +275,14 @@ def _(t: Tables):
 @query("point_in_time_fundamentals", "J7 J8", "sym d:date as_of_asof:date per:2 roa:2",
        B1 + f", {FUND_SQL}, q AS (SELECT bars.sym, bars.d, fund.as_of AS as_of_asof, fund.per, fund.roa FROM bars ASOF LEFT JOIN fund ON bars.sym = fund.sym AND bars.d >= fund.as_of)")
 def _(t: Tables):
-    return j.asof_join(t.bars().select("sym", "d"), _fund(t), "sym", "d", ["per", "roa"], right_on="as_of")
+    return j.asof_join(t.bars(windows=False).select("sym", "d"), _fund(t), "sym", "d", ["per", "roa"], right_on="as_of")
 
 
 @query("asof_with_tolerance", "J7", "sym d:date as_of_asof:date roa:2",
        B1 + f""", {FUND_SQL}, x AS (SELECT bars.sym, bars.d, fund.as_of AS as_of, fund.roa FROM bars ASOF LEFT JOIN fund ON bars.sym = fund.sym AND bars.d >= fund.as_of),
        q AS (SELECT sym, d, CASE WHEN d - as_of <= 30 THEN as_of END AS as_of_asof, CASE WHEN d - as_of <= 30 THEN roa END AS roa FROM x)""")
 def _(t: Tables):
-    return j.asof_join(t.bars().select("sym", "d"), _fund(t), "sym", "d", ["roa"], right_on="as_of", tolerance_days=30)
+    return j.asof_join(t.bars(windows=False).select("sym", "d"), _fund(t), "sym", "d", ["roa"], right_on="as_of", tolerance_days=30)
 
 
 @query("eod_panel", "J10 K12", "sym d:date name close:4 bb_upper:4 bb_lower:4 stoch_k:5 liq_level flow_net_20:2 flow_pct_20:9",

@@ -295,7 +295,7 @@ def _(t: Tables):
 @query("recently_active_symbols", "A5", "active_symbols",
        B1 + ", q AS (SELECT COUNT(DISTINCT sym) AS active_symbols FROM bars WHERE d > (SELECT MAX(d) FROM bars) - 60 AND volume > 0)")
 def _(t: Tables):
-    return m.active_symbols(t.bars())
+    return m.active_symbols(t.bars(windows=False))
 
 
 @query("source_coverage", "A6", "date_from:date date_to:date dates keys row_count has_prev has_change loss_making",
@@ -371,4 +371,4 @@ def _(t: Tables):
 @query("data_signature", "signature helper", "newest:date rows_newest row_count",
        B1 + ", q AS (SELECT MAX(d) AS newest, COUNT(*) FILTER (WHERE d = (SELECT MAX(d) FROM bars)) AS rows_newest, COUNT(*) AS row_count FROM bars)")
 def _(t: Tables):
-    return s.signature(t.bars())
+    return s.signature(t.bars(windows=False))
