@@ -1,18 +1,21 @@
 """The 129 model features of every (symbol, date).
 
-Native windows on one exchange and sort give all but the recursive ones; those come from one
-grouped map at the end, which keeps the partitioning. A feature of date d never reads a later row.
+All of them come from one pass over the sorted bars of many symbols at a time (``feature_arrays``). Where only some are
+wanted, native windows on one exchange and sort give all but the recursive ones; those come from one grouped map at
+the end, which keeps the partitioning. A feature of date d never reads a later row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import num
+from . import feature_arrays as arrays
 from . import windows as w
 from .recurrences import with_recurrences
 
@@ -74,17 +77,40 @@ RECURRENCES = [
 ]
 
 
+SHAPE = {"returns": RETURN_LAGS, "ranges": RANGE_WINDOWS, "sma": SMA_WINDOWS, "ema": EMA_WINDOWS, "rsi": RSI_WINDOWS, "atr": ATR_WINDOWS,
+         "vols": VOL_WINDOWS, "flows": FLOW_WINDOWS}
+
+
+def inputs(bars: DataFrame) -> DataFrame:
+    return bars.select("sym", "d", F.col("open").cast("double").alias("open"), *[F.col(x).cast("double").alias(x) for x in ("high", "low", "close")],
+                       *[num(x).alias(x) for x in ("volume", "value", "freq", "fbuy", "fsell")])
+
+
+def all_features(bars: DataFrame) -> DataFrame:
+    """``features`` with nothing left out. The row number is the one window: it brings a symbol's bars together in date order, and
+    tells the map that follows where a symbol begins."""
+    df = inputs(bars).withColumn("rn", F.row_number().over(w.by_date()))
+    names, kind = feature_names(), dict(df.dtypes)
+    schema = ", ".join([*[f"{n} {kind[n]}" for n in ("sym", "d", "close", "rn")], *[f"{n} double" for n in names]])
+
+    def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in arrays.whole_symbols(batches):
+            yield from arrays.by_symbols(table, names, SHAPE, VOLUME_BLOCK, MIN_ROWS)
+
+    return df.mapInArrow(of_part, schema)
+
+
 def features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """sym, d, close and the feature columns; the first four rows of a symbol carry none. ``only`` names the features wanted,
-    else there are all 129: a grouped map needs every column it is given, so Spark cannot leave out what nobody reads.
+    else there are all 129: a map needs every column it is given, so Spark cannot leave out what nobody reads.
 
-    The windows are laid out in three levels, by what they read: previous rows of the input, then
-    frames over those, then frames over frames. Each level is one pass over the sorted rows; the
-    operators of ``windows`` say what each column means."""
+    The windows for some of them are laid out in three levels, by what they read: previous rows of the
+    input, then frames over those, then frames over frames. Each level is one pass over the sorted rows;
+    the operators of ``windows`` say what each column means."""
+    if only is None:
+        return all_features(bars)
     c, nul = F.col("close"), F.lit(None).cast("double")
-    df = bars.select("sym", "d", F.col("open").cast("double").alias("open"), *[F.col(x).cast("double").alias(x) for x in ("high", "low", "close")],
-                     *[num(x).alias(x) for x in ("volume", "value", "freq", "fbuy", "fsell")])
-    df = df.withColumn("tp", (F.col("high") + F.col("low") + c) / 3)
+    df = inputs(bars).withColumn("tp", (F.col("high") + F.col("low") + c) / 3)
 
     # Level 1: lags.
     base = {n: w.lagged("close", n) for n in RETURN_LAGS}
@@ -169,10 +195,10 @@ def features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
         **{f"close_vs_sma{n}": F.when(F.col(f"sma{n}") > 0, c / F.col(f"sma{n}") - 1) for n in SMA_WINDOWS},
         "volume_today": F.col("volume"), "value_today": F.col("value"), "freq_today": F.col("freq"),
     })
-    unknown = sorted(set(only or ()) - set(feature_names()))
+    unknown = sorted(set(only) - set(feature_names()))
     if unknown:
         raise ValueError(f"unknown features: {unknown}")
-    wanted = feature_names() if only is None else [n for n in feature_names() if n in set(only)]
+    wanted = [n for n in feature_names() if n in set(only)]
     read = {*wanted, "volume_today", *(("sma20", "sma50", "sma200") if set(wanted) & set(STRUCTURE) else ())}
     df = df.select("sym", "d", "rn", "close", "high", "low", *[n for n in feature_names() if n in df.columns and n in read])
     needed = [spec for names, spec in RECURRENCES if set(names) & set(wanted)]

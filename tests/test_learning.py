@@ -2,13 +2,16 @@
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkbars.functions.dates import market_calendar
+from sparkbars.operators import feature_arrays
 from sparkbars.operators import features as ft
 from sparkbars.operators import labels as lb
 from sparkbars.operators import models as ml
@@ -326,3 +329,39 @@ def test_wanted_features_alone(bars, feats):
     assert "FlatMapGroupsInArrow" not in ft.features(bars, ["return_5d"])._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError, match="unknown"):
         ft.features(bars, ["return_7d"])
+
+
+def test_whole_table_is_one_pass(spark, walk):
+    """All 129 features come from the bars in one pass with no window but the row number, and equal the native columns, with prices
+    missing, flat prices, idle days, and symbols of one to a few hundred rows."""
+    odd = walk.drop(columns=["prev", "change", "shares"]).astype({"volume": float, "freq": float})
+    for sym, n in (("D", 1), ("E", 4), ("F", 5), ("G", 27)):
+        odd = pd.concat([odd, walk[walk.sym == "AAAA"].head(n).assign(sym=sym)[odd.columns]], ignore_index=True)
+    rng = np.random.default_rng(5)
+    for x in ("open", "high", "low", "close", "volume", "value"):
+        odd.loc[(odd.sym == "BBBB") & (rng.random(len(odd)) < 0.06), x] = np.nan
+    odd.loc[odd[odd.sym == "CCCC"].index[40:80], ["open", "high", "low", "close"]] = 50.0
+    odd.loc[odd[odd.sym == "CCCC"].index[100:130], ["volume", "fbuy"]] = 0.0
+    rows = [tuple(None if isinstance(v, float) and v != v else v for v in r) for r in odd.itertuples(index=False, name=None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{x} {'string' if x == 'sym' else 'date' if x == 'd' else 'double'}" for x in odd.columns))
+    whole = ft.features(df)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan)) == 1 and "MapInArrow" in plan and "FlatMapGroups" not in plan
+    a, b = (x.toPandas().sort_values(["sym", "d"], ignore_index=True) for x in (whole, ft.features(df, ft.feature_names())))
+    assert len(a) == sum(max(0, n - 4) for n in odd.groupby("sym").size())
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_symbols_stay_whole_over_batches():
+    """Batches end in the middle of symbols; a symbol longer than a table is not cut."""
+    sizes = (3, 40, 7, 200, 1, 1, 12)
+    rn = np.concatenate([np.arange(1, n + 1) for n in sizes])
+    sym = np.repeat([f"S{i}" for i in range(len(sizes))], sizes)
+    table = pa.table({"sym": sym, "d": rn, **{x: rn + 0.5 for x in feature_arrays.INPUTS}, "rn": rn})
+    parts = list(feature_arrays.whole_symbols(iter(table.to_batches(max_chunksize=11)), 30))
+    assert len(parts) > 2 and pa.concat_tables(parts).equals(table)
+    assert all(p["rn"][0].as_py() == 1 for p in parts)
+    names = ["return_1d", "sma5"]
+    got = pa.Table.from_batches([b for p in parts for b in feature_arrays.by_symbols(p, ft.feature_names(), ft.SHAPE, ft.VOLUME_BLOCK, 5)])
+    want = {(s, r): (1 / (r - 0.5), r - 1.5) for s, r in zip(sym.tolist(), rn.tolist()) if r >= 5}
+    assert {(s, r): pytest.approx(v) for s, r, *v in zip(*(got[c].to_pylist() for c in ("sym", "rn", *names)))} == {k: list(v) for k, v in want.items()}
