@@ -24,14 +24,17 @@ WARNING_MOVE = 0.25
 ELIGIBLE = ("ELIGIBLE", "CORPORATE_ACTION_WARNING")
 
 
-def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: DataFrame | None = None,
+def universe_series(bars: DataFrame, master: DataFrame | None = None, actions: DataFrame | str | None = None,
                     min_history: int = MIN_HISTORY, min_value: float = MIN_VALUE, min_freq: float = MIN_FREQ,
                     min_price: float = MIN_PRICE, extreme_days: int = EXTREME_DAYS, stat: str = "mean") -> DataFrame:
     """Status of every symbol on every date it has a bar, from rows up to that date only. One window
     chain replaces the loop over dates; look-backs in calendar days are differences of running totals.
-    ``actions`` has (sym, d, confidence); ``stat`` chooses mean or median of the last 20 bars."""
+    ``actions`` has (sym, d, confidence), or names a column of the bars that is 1 on the days of verified ones, which then
+    need not be joined; ``stat`` chooses mean or median of the last 20 bars."""
     df = bars.filter(F.col("close").isNotNull())
-    if actions is not None:
+    if isinstance(actions, str):
+        df = df.withColumnRenamed(actions, "_ca")
+    elif actions is not None:
         high = actions.filter(F.col("confidence") == "HIGH").select("sym", "d", F.lit(1).alias("_ca")).distinct()
         df = df.join(high, ["sym", "d"], "left")
     else:

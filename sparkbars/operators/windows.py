@@ -610,6 +610,26 @@ def vol_price_corr(n: int = 5, x: str = "close") -> Column:
     return full(F.try_divide(F.covar_pop(v, F.col(x)).over(frame), spread), n)
 
 
+def _split_like(share_ratio: Column, price_ratio: Column) -> Column:
+    larger = F.greatest(share_ratio, price_ratio)
+    agrees = F.abs(share_ratio - price_ratio) / larger <= 0.25
+    fits = ((share_ratio > 1) & (price_ratio > 1.02)) | ((share_ratio < 1) & (price_ratio < 0.98))
+    return (F.abs(share_ratio - 1) > 0.05) & agrees & fits
+
+
+def with_splits(bars: DataFrame, name: str, shares: str = "shares") -> DataFrame:
+    """Adds ``name``: 1 on the bars that ``corporate_actions`` calls split-like, else NULL. It comes from the windows per symbol, so bars
+    that go on to others need not be worked out twice and joined to their actions."""
+    traded = (num("close") > 0) & (num("volume") > 0) & (num(shares) > 0)
+    earlier = by_date().rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda x: F.last(F.when(traded, F.col(x)), ignorenulls=True).over(earlier)
+    df = bars.withColumns({"_shares_1": last(shares), "_close_1": last("close")})
+    known = traded & F.col("_shares_1").isNotNull()
+    df = df.withColumns({"_share_ratio": F.when(known, F.col(shares) / F.col("_shares_1")), "_price_ratio": F.when(known, F.col("_close_1") / F.col("close"))})
+    flag = F.when(_split_like(F.col("_share_ratio"), F.col("_price_ratio")), 1)
+    return df.withColumn(name, flag).drop("_shares_1", "_close_1", "_share_ratio", "_price_ratio")
+
+
 def corporate_actions(bars: DataFrame) -> DataFrame:
     """Share-count changes above 1% between consecutive traded days. A split-like event also has
     a price move that fits the share ratio: within 25% of it and in the opposite direction."""
@@ -619,11 +639,7 @@ def corporate_actions(bars: DataFrame) -> DataFrame:
     price_ratio = F.col("close_1") / F.col("close")
     df = df.withColumns({"share_ratio": share_ratio, "price_ratio": price_ratio})
     df = df.filter((F.col("shares_1") > 0) & (F.abs(F.col("share_ratio") - 1) > 0.01))
-    larger = F.greatest("share_ratio", "price_ratio")
-    agrees = F.abs(F.col("share_ratio") - F.col("price_ratio")) / larger <= 0.25
-    fits = ((F.col("share_ratio") > 1) & (F.col("price_ratio") > 1.02)) | (
-        (F.col("share_ratio") < 1) & (F.col("price_ratio") < 0.98))
-    split = (F.abs(F.col("share_ratio") - 1) > 0.05) & agrees & fits
+    split = _split_like(F.col("share_ratio"), F.col("price_ratio"))
     return df.select(
         "sym", "d", "shares_1", "shares", "close_1", "close", "share_ratio", "price_ratio",
         F.when(split, "SPLIT_LIKE").otherwise("CAPITAL_CHANGE").alias("action"),

@@ -14,6 +14,7 @@ from ..operators import signals as sg
 from ..operators import universe as un
 from ..operators import windows as w
 from ..session import work_path
+from ..sources.trades import densify
 from .base import B1, B2, B3, MASTER, REGISTRY, Tables, W, over, query
 from .indicators import PC, SERIES, _macd_sql, _sma_sql, reduce_sql, seeded_sql
 
@@ -122,11 +123,17 @@ ACTIONS_SQL = f"""sh AS (SELECT *, CASE WHEN month(d) % 3 = 0 THEN 2 ELSE 1 END
   ca AS (SELECT sym, d FROM lg WHERE ABS(sr - 1) > 0.05 AND ABS(sr - pr) / GREATEST(sr, pr) <= 0.25 AND ((sr > 1 AND pr > 1.02) OR (sr < 1 AND pr < 0.98)))"""
 
 
+def _watched(t: Tables):
+    return t.master().withColumn("board", F.when((F.col("board") == "ASIA") & (F.length("sym") == 3), "Watchlist").otherwise(F.col("board")))
+
+
+def _quarterly_shares():
+    return F.when(F.month("d") % 3 == 0, 2).otherwise(1) * F.col("shares")
+
+
 def _universe_inputs(t: Tables):
-    bars = t.dense_bars()
-    master = t.master().withColumn("board", F.when((F.col("board") == "ASIA") & (F.length("sym") == 3), "Watchlist").otherwise(F.col("board")))
-    actions = w.corporate_actions(t.bars().withColumn("shares", F.when(F.month("d") % 3 == 0, 2).otherwise(1) * F.col("shares")))
-    return bars, master, actions
+    actions = w.corporate_actions(t.bars().withColumn("shares", _quarterly_shares()))
+    return t.dense_bars(), _watched(t), actions
 
 
 @query("universe_every_date", "U1 U2 D9", UNI_SPEC,
@@ -139,8 +146,8 @@ def _universe_inputs(t: Tables):
          board = 'Watchlist' OR ext >= 4 AS pump_flag FROM st LEFT JOIN wb USING (sym)),
        q AS (SELECT *, """ + STATUS.format(z="0.20") + " AS status FROM fl)")
 def _(t: Tables):
-    bars, master, actions = _universe_inputs(t)
-    return un.universe_series(bars, master, actions, min_value=2e3, min_freq=0.1)
+    bars = w.with_splits(t.bars().withColumn("_shares", _quarterly_shares()), "split", "_shares").drop("_shares")
+    return un.universe_series(densify(bars, ("split",)), _watched(t), "split", min_value=2e3, min_freq=0.1)
 
 
 @query("universe_as_of", "U1 J11", UNI_SPEC,

@@ -11,6 +11,7 @@ from sparkbars.operators import labels as lb
 from sparkbars.operators import market
 from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
+from sparkbars.operators import windows as w
 from sparkbars.plans import catalogue
 from sparkbars.plans.base import Tables
 from sparkbars.sources import landing, store, trades
@@ -136,3 +137,30 @@ def test_header_lines_are_found_without_sorting_lines(spark, tmp_path):
 def test_panel_is_one_pass_over_the_trades(spark):
     text = plan(catalogue()["eod_panel"].run(spark, SMALLEST))
     assert len(re.findall(r"FileScan parquet \[l_", text)) == 1 and "round(" not in text
+
+
+def test_dense_rows_are_never_exchanged(spark):
+    """Bars are stretched over all sessions where they lie by symbol; the calendar goes to them and splits are found on the bars."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # large tables look too large to be sent
+        text = plan(catalogue()["universe_every_date"].run(spark, SMALLEST))
+        assert "Exchange" not in text.split("Generate explode")[0]
+        assert len(re.findall(r"FileScan parquet \[l_[^\]]*l_extendedprice", text)) == 1
+        assert "Exchange" not in plan(catalogue()["training_rows"].run(spark, SMALLEST)).split("Generate explode")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_splits_as_a_column(spark):
+    """The flag of each bar is that of the list of actions, over days without trades or shares; stretched rows have none."""
+    day = lambda k: f"2024-01-{k:02d}"
+    rows = [("A", day(1), 100.0, 5, 1000), ("A", day(2), 0.0, 0, 4000), ("A", day(3), None, 0, None), ("A", day(4), 50.0, 5, 2000), ("A", day(5), 101.0, 5, 1000),
+            ("A", day(8), 101.0, 5, 1005), ("B", day(1), 10.0, 0, 500), ("B", day(2), 10.0, 3, 500), ("B", day(5), 10.0, 3, 1000), ("C", day(9), 1.0, 1, 0)]
+    bars = spark.createDataFrame(rows, "sym string, d string, close double, volume long, shares long").withColumn("d", F.to_date("d"))
+    want = {(r.sym, r.d) for r in w.corporate_actions(bars).filter("confidence = 'HIGH'").collect()}
+    marked = w.with_splits(bars, "split")
+    assert marked.columns == [*bars.columns, "split"]
+    assert {(r.sym, r.d) for r in marked.filter("split = 1").collect()} == want and len(want) == 2
+    dense = trades.densify(marked, ("split",))
+    assert {(r.sym, r.d) for r in dense.filter("split = 1").collect()} == want and dense.count() > bars.count()
