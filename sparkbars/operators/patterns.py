@@ -173,14 +173,30 @@ def derived_table(bars: DataFrame) -> DataFrame:
 
 # ---- anomaly proxies ---------------------------------------------------------------------------
 
-def robust_distance(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Adds ``name``: the distance of a value from its group's median in normal-consistent median absolute deviations. Both
-    medians are exact and no group is held whole; NULL where the value is or where half of the group is equal."""
-    middle = scale.group_quantiles(df.select(*group, value), group, value, {"_median": 0.5})
-    df = df.join(middle, group, "left").withColumn("_apart", F.abs(F.col(value) - F.col("_median")))
-    spread = scale.group_quantiles(df.select(*group, "_apart"), group, "_apart", {"_mad": 0.5})
-    df = df.join(spread, group, "left")
-    return df.withColumn(name, F.try_divide(0.6745 * (F.col(value) - F.col("_median")), F.col("_mad"))).drop("_median", "_apart", "_mad")
+def with_places(df: DataFrame, group: list[str], wanted: dict) -> DataFrame:
+    """``scale.group_places`` beside every row of its group, NULL groups included."""
+    found = scale.group_places(df, group, wanted).withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    return df.join(F.broadcast(found), same, "left").drop(*[f"_of_{g}" for g in group])
+
+
+def middle(n: Column) -> Column:
+    """Place of the median among n."""
+    return (n - 1) * F.lit(0.5) + 1
+
+
+def robust_distance(df: DataFrame, group: list[str], names: dict[str, str], also: dict | None = None) -> DataFrame:
+    """Adds, for each value in ``names``, under its name there the distance from its group's median in normal-consistent median
+    absolute deviations. Both medians are exact and no group is held whole; NULL where the value is or where half of the
+    group is equal. Groups are few (dates): their medians go to every task and the rows stay where they are. ``also`` has
+    places wanted besides, found in the same passes."""
+    df = with_places(df, group, {**{f"_mid_{v}": (v, middle) for v in names}, **(also or {})})
+    df = df.withColumns({f"_apart_{v}": F.abs(F.col(v) - F.col(f"_mid_{v}")) for v in names})
+    df = with_places(df, group, {f"_mad_{v}": (f"_apart_{v}", middle) for v in names})
+    df = df.withColumns({name: F.try_divide(0.6745 * (F.col(v) - F.col(f"_mid_{v}")), F.col(f"_mad_{v}")) for v, name in names.items()})
+    return df.drop(*[f"_{kind}_{v}" for v in names for kind in ("mid", "apart", "mad")])
 
 
 def anomaly_proxies(bars: DataFrame, bound: float = 3.5, share: float = 0.02) -> DataFrame:
@@ -191,12 +207,10 @@ def anomaly_proxies(bars: DataFrame, bound: float = 3.5, share: float = 0.02) ->
     (at least one), ties included, by an exact cut."""
     df = bars.filter((num("volume") > 0) & (num("freq") > 0) & (num("close") > 0)).select(
         "sym", "d", F.log(F.col("value") / F.col("freq")).alias("trade_value"), (F.try_divide(F.col("high") - F.col("low"), F.col("close"))).alias("spread"))
-    df = robust_distance(robust_distance(df, ["d"], "trade_value", "value_z"), ["d"], "spread", "spread_z")
-    # Rank from above: rows of the date less those up to and including this value, plus one.
-    ranked = scale.with_ranks(df, ["d"], "trade_value")
-    from_above = F.col("n") - (F.col("rank") + F.col("ties") - 1) + 1
+    # A value is among the first k from above if it is not below the k-th.
+    cut = lambda n: n - F.greatest(F.lit(1), F.floor(share * n)) + 1
+    df = robust_distance(df, ["d"], {"trade_value": "value_z", "spread": "spread_z"}, {"_cut": ("trade_value", cut)})
     large, wide = F.coalesce(F.col("value_z") > bound, F.lit(False)), F.coalesce(F.col("spread_z") > bound, F.lit(False))
     calm = F.coalesce(F.col("spread_z") <= 0, F.lit(True))
-    return ranked.withColumns({
-        "crossing_proxy": large & calm, "anomaly_proxy": large | wide,
-        "top_value": F.coalesce(from_above <= F.greatest(F.lit(1), F.floor(share * F.col("n"))), F.lit(False))}).drop("rank", "ties", "n")
+    top = (F.col("trade_value") >= F.col("_cut")) & (F.abs("trade_value") < F.lit(float("inf")))
+    return df.withColumns({"crossing_proxy": large & calm, "anomaly_proxy": large | wide, "top_value": F.coalesce(top, F.lit(False))}).drop("_cut")

@@ -9,7 +9,7 @@ resolution); everything else happens inside a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,6 +128,45 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, qs: dict[st
     return out.select(*group, *qs)
 
 
+def group_places(df: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """One row per group with exact order statistics of several values in two passes over the rows, for groups that are few (dates).
+    ``wanted`` maps a new column to a value and its place, 1-based from below, given the number n of its finite values; between
+    two places it is interpolated. As in ``group_quantiles``, coarse buckets are counted first and then only those that a
+    place falls into are looked at; here one count serves all values, as the bucket number names the value as well. Groups
+    meet by null-safe equality, which leaves the rows' own plan as it is in every pass, so what makes them is exchanged once."""
+    values = list(dict.fromkeys(value for value, _ in wanted.values()))
+    count = len(values)
+
+    def entry(i: int) -> Column:
+        v = F.col(values[i]).cast("double") + F.lit(0.0)
+        return F.when(F.abs(v) < F.lit(float("inf")), F.struct((bucket(v, COARSE) * count + i).alias("_b"), v.alias("_v")))
+
+    rows = df.select(*group, F.explode(F.array_compact(F.array(*[entry(i) for i in range(count)]))).alias("_e")).select(*group, "_e._b", "_e._v")
+    whole = Window.partitionBy(*group, F.pmod("_b", F.lit(count)))
+    earlier = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumns({
+        "_start": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_all": F.sum("_n").over(whole), "_of": F.pmod("_b", F.lit(count))})
+    of = {name: F.col("_of") == values.index(value) for name, (value, _) in wanted.items()}
+    places = {(name, side): edge(place(F.col("_all"))) for name, (_, place) in wanted.items() for side, edge in (("lo", F.floor), ("hi", F.ceil))}
+    hit = F.lit(False)
+    for (name, _), k in places.items():
+        hit = hit | (of[name] & (k > F.col("_start")) & (k <= F.col("_start") + F.col("_n")))
+    names = starts.filter(hit).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_b").alias("_at"), "_start", "_all", "_of")
+    same = F.col("_b").eqNullSafe(F.col("_at"))
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    met = rows.join(F.broadcast(names), same).groupBy(*group, "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_ties"), *[F.first(c).alias(c) for c in ("_start", "_all", "_of")])
+    upto = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_last", F.col("_start") + F.sum("_ties").over(upto))
+    here = lambda k: (F.col("_last") - F.col("_ties") < k) & (k <= F.col("_last"))
+    out = met.groupBy(*group).agg(
+        *[F.max(F.when(of[name] & here(k), F.col("_v"))).alias(f"_{name}_{side}") for (name, side), k in places.items()],
+        *[F.max(F.when(of[name], place(F.col("_all")) % 1)).alias(f"_{name}_part") for name, (_, place) in wanted.items()])
+    between = {n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part") for n in wanted}
+    return out.select(*group, *[x.alias(n) for n, x in between.items()])
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group. Spark keeps only k rows per group and task before the
     exchange (window group limit), so a huge group costs no more than many small ones."""

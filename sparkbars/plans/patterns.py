@@ -118,7 +118,7 @@ def _(t: Tables):
        q AS (SELECT sym, d, trade_value, spread, value_z, spread_z, COALESCE(value_z > 3.5, FALSE) AND COALESCE(spread_z <= 0, TRUE) AS crossing_proxy,
          COALESCE(value_z > 3.5, FALSE) OR COALESCE(spread_z > 3.5, FALSE) AS anomaly_proxy, k <= GREATEST(1, FLOOR(0.02 * n)) AS top_value FROM z)""")
 def _(t: Tables):
-    return p.anomaly_proxies(t.bars())
+    return p.anomaly_proxies(t.bars(windows=False))
 
 
 @query("entry_zone_outcomes", "2.15 E4", "sym d:date entry_price:4 next_open:4 zone_status decided_on:date realized_return:6",

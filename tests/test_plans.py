@@ -9,6 +9,7 @@ from sparkbars.functions.dates import sessions_cutoff
 from sparkbars.operators import features as ft
 from sparkbars.operators import labels as lb
 from sparkbars.operators import market
+from sparkbars.operators import patterns
 from sparkbars.operators import scale
 from sparkbars.operators import snapshot as sn
 from sparkbars.operators import windows as w
@@ -164,3 +165,28 @@ def test_splits_as_a_column(spark):
     assert {(r.sym, r.d) for r in marked.filter("split = 1").collect()} == want and len(want) == 2
     dense = trades.densify(marked, ("split",))
     assert {(r.sym, r.d) for r in dense.filter("split = 1").collect()} == want and dense.count() > bars.count()
+
+
+def test_anomalies_exchange_their_bars_once(spark):
+    """Medians and cuts per date go to the rows: these are exchanged where trades become bars and nowhere else, in whatever pass."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = catalogue()["anomaly_proxies"].run(spark, SMALLEST)
+        df.collect()
+        final = plan(df).split("== Initial Plan ==")[0]
+        rows = re.findall(r"(ReusedExchange [^\n]*)?Exchange hashpartitioning\(sym", final)
+        assert rows.count("") == 1 and "SortMergeJoin" not in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_anomalies_of_the_null_date(spark):
+    """Bars without a date are compared with each other, as a group like any other."""
+    rows = [(f"S{i}", None if i % 2 else "2024-01-02", 110.0, 100.0, 100.0, float(2 ** (i // 2)), 1, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "sym string, d string, high double, low double, close double, value double, volume long, freq long")
+    got = patterns.anomaly_proxies(df.withColumn("d", F.to_date("d")), share=0.2).collect()
+    for d in {r.d for r in got}:
+        part = sorted((r for r in got if r.d == d), key=lambda r: r.trade_value)
+        assert len(part) == 10 and [r.top_value for r in part] == [False] * 8 + [True] * 2
+        assert all(abs(r.value_z - 0.6745 * (k - 4.5) / 2.5) < 1e-9 for k, r in enumerate(part))

@@ -94,3 +94,22 @@ def test_quantiles_look_at_few_buckets_only(spark):
         assert math.isclose(r.m, xs.quantile(0.5), rel_tol=1e-12) and math.isclose(r.p, xs.quantile(0.9), rel_tol=1e-12)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_places_of_several_values(spark):
+    """Medians, quantiles and the k-th from above of two values at once; ties, missing and endless values, a group without values and
+    the NULL group, which is a group like any other."""
+    rows = [(None if k % 4 == 3 else k % 4, float(k * k % 37) - 9, None if k % 5 == 0 else float("inf") if k % 11 == 0 else 1.5 ** (k % 50)) for k in range(900)]
+    rows += [(9, None, float("nan")), (8, 2.0, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    wanted = {"a_mid": ("a", lambda n: (n - 1) * 0.5 + 1), "b_mid": ("b", lambda n: (n - 1) * 0.5 + 1), "b_q": ("b", lambda n: (n - 1) * 0.9 + 1),
+              "a_7th": ("a", lambda n: n - F.least(n, F.lit(7)) + 1)}
+    got = {r.g: r for r in scale.group_places(df, ["g"], wanted).collect()}
+    assert set(got) == {0, 1, 2, None, 8}
+    for g, r in got.items():
+        a, b = ([row[k] for row in rows if row[0] == g and row[k] is not None and math.isfinite(row[k])] for k in (1, 2))
+        assert math.isclose(r.a_mid, np.quantile(a, 0.5)) and r.a_7th == sorted(a)[-min(7, len(a))]
+        if b:
+            assert math.isclose(r.b_mid, np.quantile(b, 0.5)) and math.isclose(r.b_q, np.quantile(b, 0.9))
+        else:
+            assert r.b_mid is None and r.b_q is None
