@@ -257,8 +257,9 @@ def all_features(b: dict[str, np.ndarray], names: Sequence[str], shape: dict[str
 INPUTS = ("open", "high", "low", "close", "volume", "value", "freq", "fbuy", "fsell")
 
 
-def by_symbols(table: pa.Table, names: Sequence[str], shape: dict[str, Sequence[int]], blocked: Sequence[str], least: int) -> Iterator[pa.RecordBatch]:
-    """Features of whole symbols, whose rows follow each other in date order, numbered from 1 by ``rn``. Symbols of like length are put
+def by_symbols(table: pa.Table, names: Sequence[str], shape: dict[str, Sequence[int]], blocked: Sequence[str], least: int,
+               ids: Sequence[str] = ("sym", "d", "close", "rn")) -> Iterator[pa.RecordBatch]:
+    """The columns ``ids`` as they are and the features of whole symbols, whose rows follow each other in date order, numbered from 1 by ``rn``. Symbols of like length are put
     side by side, so at most half of the cells are empty. The first ``least`` - 1 rows of a symbol are left out."""
     table = table.combine_chunks()
     rn = table.column("rn").to_numpy()
@@ -285,9 +286,8 @@ def by_symbols(table: pa.Table, names: Sequence[str], shape: dict[str, Sequence[
         with np.errstate(all="ignore"):
             flat = np.concatenate([f.ravel()[cells] for f in all_features(bars, names, shape, blocked)])
         values = pa.array(flat, pa.float64(), from_pandas=True)
-        ids = table.select(["sym", "d", "close", "rn"]).take(pa.array(rows)).combine_chunks()
-        columns = [c.chunk(0) for c in ids.columns] + [values.slice(i * len(rows), len(rows)) for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays(columns, names=["sym", "d", "close", "rn", *names])
+        columns = [c.chunk(0) for c in table.select(list(ids)).take(pa.array(rows)).combine_chunks().columns] + [values.slice(i * len(rows), len(rows)) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*ids, *names])
 
 
 def whole_symbols(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:

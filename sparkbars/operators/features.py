@@ -81,36 +81,37 @@ SHAPE = {"returns": RETURN_LAGS, "ranges": RANGE_WINDOWS, "sma": SMA_WINDOWS, "e
          "vols": VOL_WINDOWS, "flows": FLOW_WINDOWS}
 
 
-def inputs(bars: DataFrame) -> DataFrame:
-    return bars.select("sym", "d", F.col("open").cast("double").alias("open"), *[F.col(x).cast("double").alias(x) for x in ("high", "low", "close")],
+def inputs(bars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return bars.select("sym", "d", *keep, F.col("open").cast("double").alias("open"), *[F.col(x).cast("double").alias(x) for x in ("high", "low", "close")],
                        *[num(x).alias(x) for x in ("volume", "value", "freq", "fbuy", "fsell")])
 
 
-def all_features(bars: DataFrame) -> DataFrame:
+def all_features(bars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``features`` with nothing left out. The row number is the one window: it brings a symbol's bars together in date order, and
     tells the map that follows where a symbol begins."""
-    df = inputs(bars).withColumn("rn", F.row_number().over(w.by_date()))
-    names, kind = feature_names(), dict(df.dtypes)
-    schema = ", ".join([*[f"{n} {kind[n]}" for n in ("sym", "d", "close", "rn")], *[f"{n} double" for n in names]])
+    df = inputs(bars, keep).withColumn("rn", F.row_number().over(w.by_date()))
+    names, ids, kind = feature_names(), ["sym", "d", "close", "rn", *keep], dict(df.dtypes)
+    schema = ", ".join([*[f"{n} {kind[n]}" for n in ids], *[f"{n} double" for n in names]])
 
     def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in arrays.whole_symbols(batches):
-            yield from arrays.by_symbols(table, names, SHAPE, VOLUME_BLOCK, MIN_ROWS)
+            yield from arrays.by_symbols(table, names, SHAPE, VOLUME_BLOCK, MIN_ROWS, ids)
 
     return df.mapInArrow(of_part, schema)
 
 
-def features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+def features(bars: DataFrame, only: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """sym, d, close and the feature columns; the first four rows of a symbol carry none. ``only`` names the features wanted,
-    else there are all 129: a map needs every column it is given, so Spark cannot leave out what nobody reads.
+    else there are all 129: a map needs every column it is given, so Spark cannot leave out what nobody reads. Columns of
+    the bars named by ``keep``, such as labels, are carried along.
 
     The windows for some of them are laid out in three levels, by what they read: previous rows of the
     input, then frames over those, then frames over frames. Each level is one pass over the sorted rows;
     the operators of ``windows`` say what each column means."""
     if only is None:
-        return all_features(bars)
+        return all_features(bars, keep)
     c, nul = F.col("close"), F.lit(None).cast("double")
-    df = inputs(bars).withColumn("tp", (F.col("high") + F.col("low") + c) / 3)
+    df = inputs(bars, keep).withColumn("tp", (F.col("high") + F.col("low") + c) / 3)
 
     # Level 1: lags.
     base = {n: w.lagged("close", n) for n in RETURN_LAGS}
@@ -200,7 +201,7 @@ def features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
         raise ValueError(f"unknown features: {unknown}")
     wanted = [n for n in feature_names() if n in set(only)]
     read = {*wanted, "volume_today", *(("sma20", "sma50", "sma200") if set(wanted) & set(STRUCTURE) else ())}
-    df = df.select("sym", "d", "rn", "close", "high", "low", *[n for n in feature_names() if n in df.columns and n in read])
+    df = df.select("sym", "d", *keep, "rn", "close", "high", "low", *[n for n in feature_names() if n in df.columns and n in read])
     needed = [spec for names, spec in RECURRENCES if set(names) & set(wanted)]
     df = with_recurrences(df, needed) if needed else df
     df = ma_structure(df) if set(wanted) & set(STRUCTURE) else df
@@ -214,7 +215,7 @@ def features(bars: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     df = df.withColumns({n: x for n, x in late.items() if n in wanted})
     traded = (F.col("rn") >= 2) & (F.coalesce("volume_today", F.lit(0.0)) > 0)
     out = [(F.when(traded, F.col(n)) if n in VOLUME_BLOCK else F.col(n)).cast("double").alias(n) for n in wanted]
-    return df.filter(F.col("rn") >= MIN_ROWS).select("sym", "d", "close", "rn", *out)
+    return df.filter(F.col("rn") >= MIN_ROWS).select("sym", "d", "close", "rn", *keep, *out)
 
 
 # Columns that identify a row or hold an outcome; never inputs of a model.

@@ -65,17 +65,29 @@ def labels_fast(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit:
     """Training label on the symbol's own bars: entry at the close, exit h bars later, target and stop
     by the extremes of the bars after the entry. ``legacy_window`` looks h - 1 bars further instead. ``exit_date`` is
     the last date that the label looks at: a training row must have it before the validation starts."""
+    df = with_labels_fast(bars, h, target, take_profit, stop_loss, legacy_window).filter(F.col("exit_price").isNotNull())
+    return df.select("sym", "d", F.col("close").alias("entry_price"), *OUTCOME)
+
+
+#: What ``with_labels_fast`` adds.
+OUTCOME = ("exit_price", "exit_date", "trade_return", "label")
+
+
+def with_labels_fast(bars: DataFrame, h: int = 5, target: float = 0.02, take_profit: float = 0.05, stop_loss: float = -0.02,
+                     legacy_window: bool = False) -> DataFrame:
+    """``labels_fast`` beside the bars, all of which stay: without an exit price there is no label. Bars that go on to ``features``
+    carry them along in the same exchange, so the two need not be joined."""
     lo, hi = (h - 1, 2 * h - 2) if legacy_window else (1, h)
     frame = w.by_date().rowsBetween(lo, hi)
     df = bars.withColumns({
         "exit_price": F.lead("close", h).over(w.by_date()), "exit_date": F.lead("d", hi).over(w.by_date()), "_hi": F.max("high").over(frame), "_lo": F.min("low").over(frame)})
     entry = F.when(F.col("close") != 0, F.col("close"))
-    df = df.filter(F.col("exit_price").isNotNull()).withColumn("trade_return", (F.col("exit_price") - F.col("close")) / entry)
+    df = df.withColumn("trade_return", (F.col("exit_price") - F.col("close")) / entry)
     tp = F.coalesce((F.col("_hi") - F.col("close")) / entry >= take_profit, F.lit(False))
     sl = F.coalesce((F.col("_lo") - F.col("close")) / entry <= stop_loss, F.lit(False))
-    label = (F.when(tp & sl, (F.col("trade_return") > 0).cast("int")).when(tp, 1).when(sl, 0)
+    label = (F.when(F.col("exit_price").isNull(), None).when(tp & sl, (F.col("trade_return") > 0).cast("int")).when(tp, 1).when(sl, 0)
              .otherwise((F.col("trade_return") >= target).cast("int")))
-    return df.select("sym", "d", F.col("close").alias("entry_price"), "exit_price", "exit_date", "trade_return", label.alias("label"))
+    return df.withColumn("label", label).drop("_hi", "_lo")
 
 
 LABEL_COLUMNS = ("weekly_bullish", "label", "tp_sl_success", "trade_return", "future_return_5d")

@@ -190,3 +190,31 @@ def test_anomalies_of_the_null_date(spark):
         part = sorted((r for r in got if r.d == d), key=lambda r: r.trade_value)
         assert len(part) == 10 and [r.top_value for r in part] == [False] * 8 + [True] * 2
         assert all(abs(r.value_z - 0.6745 * (k - 4.5) / 2.5) < 1e-9 for k, r in enumerate(part))
+
+
+def test_training_rows_are_one_pass(spark, monkeypatch):
+    """Labels go through the exchange of the features: one pass over the trades, no join, and the same rows as joined ones."""
+    from sparkbars.operators import models as ml
+    from sparkbars.plans.outcomes import MODEL_FEATURES
+    seen = []
+    monkeypatch.setattr(ml, "walk_forward", lambda df, *args, **kwargs: seen.append(df) or {}["stop here"])
+    with pytest.raises(KeyError, match="stop here"):
+        catalogue()["walk_forward_logistic"].run(spark, SMALLEST)
+    got = seen[0].filter(F.col("label").isin(0, 1))
+    text = plan(got)
+    assert "Join" not in text and len(re.findall(r"FileScan parquet \[l_", text)) == 1 and text.count("Exchange hashpartitioning") == 2
+    bars = Tables(spark, SMALLEST).bars()
+    want = lb.dataset(ft.features(bars, MODEL_FEATURES), lb.labels_fast(bars)).select(*got.columns)
+    assert got.count() == want.count() > 4000 and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("only", [None, ["return_5d", "rsi14"]])
+def test_features_carry_labels(spark, bars, only):
+    """Columns kept beside the features are those of their rows; bars without an exit have no label and stay."""
+    odd = bars.withColumn("close", F.when(F.col("d") == "2024-06-03", None).otherwise(F.col("close")))
+    got = ft.features(lb.with_labels_fast(odd), only, lb.OUTCOME)
+    assert got.count() == bars.count() - 3 * 4 and got.columns[4:8] == list(lb.OUTCOME)
+    left = got.filter("exit_price IS NOT NULL").select("sym", "d", *lb.OUTCOME)
+    want = lb.labels_fast(odd).join(got.select("sym", "d"), ["sym", "d"]).select(*left.columns)
+    assert left.count() == want.count() and left.exceptAll(want).count() == 0
+    assert got.filter("exit_price IS NULL AND label IS NOT NULL").count() == 0 < got.filter("exit_price IS NULL").count()
