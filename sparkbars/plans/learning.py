@@ -147,7 +147,7 @@ def _universe_inputs(t: Tables):
        q AS (SELECT *, """ + STATUS.format(z="0.20") + " AS status FROM fl)")
 def _(t: Tables):
     bars = w.with_splits(t.bars().withColumn("_shares", _quarterly_shares()), "split", "_shares").drop("_shares")
-    return un.universe_series(densify(bars, ("split",)), _watched(t), "split", min_value=2e3, min_freq=0.1)
+    return un.universe_series(densify(bars, ("split",), t.bars(windows=False)), _watched(t), "split", min_value=2e3, min_freq=0.1)
 
 
 @query("universe_as_of", "U1 J11", UNI_SPEC,

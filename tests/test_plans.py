@@ -140,8 +140,9 @@ def test_panel_is_one_pass_over_the_trades(spark):
     assert len(re.findall(r"FileScan parquet \[l_", text)) == 1 and "round(" not in text
 
 
-def test_dense_rows_are_never_exchanged(spark):
-    """Bars are stretched over all sessions where they lie by symbol; the calendar goes to them and splits are found on the bars."""
+def test_dense_rows_are_never_exchanged(spark, monkeypatch):
+    """Bars are stretched over all sessions where they lie by symbol; the calendar goes to them and splits are found on the bars.
+    Dates are read from the trades, also where bars are dealt over parts by size."""
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # large tables look too large to be sent
@@ -149,6 +150,8 @@ def test_dense_rows_are_never_exchanged(spark):
         assert "Exchange" not in text.split("Generate explode")[0]
         assert len(re.findall(r"FileScan parquet \[l_[^\]]*l_extendedprice", text)) == 1
         assert "Exchange" not in plan(catalogue()["training_rows"].run(spark, SMALLEST)).split("Generate explode")[0]
+        monkeypatch.setattr(trades, "ROWS_A_PART", 500)
+        assert len(re.findall(r"Exchange hashpartitioning\(sym#\d+, d", plan(catalogue()["universe_every_date"].run(spark, SMALLEST)))) == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
 
